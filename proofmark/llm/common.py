@@ -59,6 +59,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
+#: For words without punctuation: runs of ASCII letters, digits and bytes above 127.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 _BASE = 0x9E3779B97F4A7C15
 _COEF = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _pow: dict[str, np.ndarray] = {}
@@ -84,8 +87,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-    """Hash every word of some documents.
+def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, table: np.ndarray = _WORD):
+    """Hash every word (run of the bytes of ``table``) of some documents.
 
     ``data`` are their UTF-8 bytes, document ``i`` at ``offsets[i]:offsets[i+1]``.  Returns the
     hashes, the index of each document's first word (one more at the end), and the words' byte
@@ -94,7 +97,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     if not len(data):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
-    word = _WORD[data]
+    word = table[data]
     edge = np.empty(len(data) + 1, dtype=bool)
     edge[0] = word[0]
     edge[-1] = word[-1]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, topk
+from . import langid, mixing, quality, secrets, topk, warc
 
 QUERIES = {
+    "op1_language_mixture": langid.op1,
+    "op2_warc_normalise": warc.op2,
+    "op3_quality_fourier": quality.op3,
     "op4_secret_randomness": secrets.op4,
     "op6_waterfill_mix": mixing.op6,
     "op10_exact_topk": topk.op10,
 }
 ORACLES = {
+    "op2_warc_normalise": warc.ORACLE,
     "op6_waterfill_mix": mixing.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }
