@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, secrets, topk, warc
+from . import decontam, langid, licenses, mixing, quality, secrets, topk, warc
 
 QUERIES = {
     "op1_language_mixture": langid.op1,
     "op2_warc_normalise": warc.op2,
     "op3_quality_fourier": quality.op3,
     "op4_secret_randomness": secrets.op4,
+    "op5_license_spans": licenses.op5,
     "op6_waterfill_mix": mixing.op6,
+    "op8_benchmark_decontam": decontam.op8,
     "op10_exact_topk": topk.op10,
 }
 ORACLES = {
