@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, mixing, quality, secrets, topk, warc
+from . import decontam, jaccard, langid, licenses, mixing, quality, secrets, substrings, topk, warc
 
 QUERIES = {
     "op1_language_mixture": langid.op1,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_secret_randomness": secrets.op4,
     "op5_license_spans": licenses.op5,
     "op6_waterfill_mix": mixing.op6,
+    "op7_jaccard_components": jaccard.op7,
     "op8_benchmark_decontam": decontam.op8,
+    "op9_substring_dedup": substrings.op9,
     "op10_exact_topk": topk.op10,
 }
 ORACLES = {
