@@ -114,7 +114,7 @@ def _band(n: Column) -> Column:
 
 
 def thresholds(tokens: DataFrame, fdr: float) -> dict[str, float]:
-    """The lowest p-value to report for each 'encoding:band', from rows of (enc, n, p)."""
+    """The lowest p-value to report, 0.01 at least, for each 'encoding:band', from rows of (enc, n, p)."""
     bins = 100
     h = (tokens.groupBy("enc", _band(F.col("n")).alias("band"), F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int").alias("b"))
          .agg(F.count("*").alias("c")))
@@ -123,7 +123,7 @@ def thresholds(tokens: DataFrame, fdr: float) -> dict[str, float]:
     uniform = 2 * F.sum(F.when(F.col("b") >= bins // 2, F.col("c")).otherwise(0)).over(by)
     surplus = F.col("seen") - F.col("uniform") * (1 - F.col("b") / bins)
     rows = (h.withColumn("seen", F.sum("c").over(up)).withColumn("uniform", uniform)
-            .where((F.col("uniform") > 0) & (surplus <= fdr * F.col("seen")))
+            .where((F.col("uniform") > 0) & (F.col("b") > 0) & (surplus <= fdr * F.col("seen")))
             .groupBy("enc", "band").agg(F.min("b").alias("b")).collect())  # at most 3 encodings x 9 bands
     return {f"{r['enc']}:{r['band']}": r["b"] / bins for r in rows}
 

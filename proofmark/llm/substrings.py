@@ -347,8 +347,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _join_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     """Join on id (null as the largest) and check; broadcast only if counted to few rows."""
     n = spans.count()
+    value = spans.columns[2]
+    spans = spans.select(F.col("id").alias("__id"), F.col("check").alias("__of"), F.col(value).alias(f"__{value}"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL_ID)))
-    return docs.join(F.broadcast(spans) if n <= BROADCAST_ROWS // 2 else spans, (key == spans["id"]) & (docs["__check"] == spans["check"]), how).drop("id", "check")
+    return docs.join(F.broadcast(spans) if n <= BROADCAST_ROWS // 2 else spans, (key == F.col("__id")) & (F.col("__check") == F.col("__of")), how).drop("__id", "__of")
 
 
 def removals(docs: DataFrame, folder: str) -> DataFrame:
@@ -359,7 +361,7 @@ def removals(docs: DataFrame, folder: str) -> DataFrame:
     occur = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__check", "text").mapInArrow(emit_anchors(buckets), "bucket int, rows binary")
     marks = occur.repartition("bucket").mapInArrow(repeated_anchors, "id long, check long, pos int")
     marks = materialize(marks.groupBy("id", "check").agg(F.collect_set("pos").alias("marks")), folder, "anchors")
-    cut = _join_spans(rows, marks, "inner").select(F.col("doc_id").cast("long").alias("doc_id"), "__check", "text", "marks")
+    cut = _join_spans(rows, marks, "inner").select(F.col("doc_id").cast("long").alias("doc_id"), "__check", "text", "__marks")
     segments = cut.mapInArrow(emit_segments(buckets), "bucket int, heads binary, words binary, repeats binary")
     found = segments.repartition("bucket").mapInArrow(search_shards, "id long, check long, span long")
     return materialize(found.groupBy("id", "check").agg(F.collect_set("span").alias("spans")), folder, "spans")
@@ -378,7 +380,7 @@ def _finish(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     schema = docs.select(*columns).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
         schema = schema.add("kept", "string")
-    joined = _join_spans(_keyed(docs), spans, "left").select(*columns, "text", "spans") if not with_text else _join_spans(_keyed(docs), spans, "left").select(*columns, F.col("text").alias("__text"), "spans")
+    joined = _join_spans(_keyed(docs), spans, "left").select(*columns, "text", "__spans") if not with_text else _join_spans(_keyed(docs), spans, "left").select(*columns, F.col("text").alias("__text"), "__spans")
     n = len(columns)
 
     def run(batches):

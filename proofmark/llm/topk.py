@@ -52,11 +52,11 @@ def pack(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
 
 
-def scores(a: np.ndarray, b: np.ndarray, top_a: float, top_b: float) -> np.ndarray:
-    """a @ b.T as int64, exactly."""
+def scores(a: np.ndarray, b: np.ndarray, top_a: float, top_b: float, wanted: np.ndarray) -> np.ndarray:
+    """a @ b.T as int64, exactly where ``wanted``."""
     if top_a * top_b < 2.0**104:  # each partial sum is at most |a| |b|, below 2**52
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    out = a.astype(object) @ b.astype(object).T
+    out = np.where(wanted, a.astype(object) @ b.astype(object).T, 0)
     if out.size and max(abs(int(out.max())), abs(int(out.min()))) >= 1 << 62:
         raise OverflowError("a score is beyond 62 bits")
     return out.astype(np.int64)
@@ -73,7 +73,8 @@ def _blocks(batches, queries):
                 c = np.frombuffer(row["vectors"], np.int64).reshape(len(c_ids), row["dim"])
                 for at in range(0, len(ids), 1024):
                     part = ids[at : at + 1024]
-                    yield row["dim"], at, part, c_ids, scores(q[at : at + 1024], c, top, row["top"]), part[:, None] != c_ids[None, :]
+                    other = part[:, None] != c_ids[None, :]
+                    yield row["dim"], at, part, c_ids, scores(q[at : at + 1024], c, top, row["top"], other), other
 
 
 def _histogram(queries, ranges, width: int, k: int):
