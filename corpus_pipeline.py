@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from proofmark.llm import decontam, jaccard, langid, mixing, secrets
 from proofmark.llm.common import materialize, shared_dir
 
-#: No language reaches this share: the text is rejected, as is one without a letter.
-LEAST_SHARE = 0.4
+#: Only a text in which no language reaches this share is rejected, and one without a letter: a short text with a
+#: license line in another language is clean.
+LEAST_SHARE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
