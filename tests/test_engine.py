@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from proofmark.functions import numeric, similarity, strokes, text
 from proofmark.model import LABEL
-from proofmark.operators import batch, bold, budget, gate, matchers, rotation
+from proofmark.operators import batch, bold, budget, matchers, rotation
 from proofmark.operators.verify import beverage_class, verify
 from proofmark.rulebook import Rulebook, load
 from proofmark.sources import applications, images
