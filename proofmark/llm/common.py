@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass handles; a longer document is a chunk of its own.
@@ -44,13 +43,6 @@ def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int | None = None,
-                 limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join, broadcasting ``small`` only if it is counted to at most ``limit`` rows."""
-    n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= limit else small, on, how)
-
-
 # ---------------------------------------------------------------- words
 
 _rng = np.random.default_rng(20240229)

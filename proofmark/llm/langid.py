@@ -24,8 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, shared_dir
-
 BUCKETS = 1 << 15
 CANDIDATES = 6
 #: Characters that one numpy pass handles.

@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import ALNUM, chunks, gram_hashes, hash_words, text_bytes
 
@@ -125,7 +124,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                             done = g
                             m, x, y = align(index.words[t], text, g + band // 2, band)
                             if m >= coverage * len(index.words[t]):
-                                base = part[d - 0] - part[0]
+                                base = part[d] - part[0]
                                 s, e = int(starts[a + x]), int(ends[a + y - 1])
                                 at = len(own[base:s].tobytes().decode(errors="ignore"))
                                 matched = own[s:e].tobytes().decode()

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, join_checked, materialize, shared_dir
+from .common import WORD_PATTERN, materialize, shared_dir
 
 MADE = ["size", "source_size", "target", "taken"]
 
