@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, chunks, gram_hashes, hash_words, materialize, mix64, shared_dir, text_bytes
 
 K = 5
-POPULAR = 16
+POPULAR = 8
 CLUSTER = 256
 PIVOTS = 8
 SEEDS = 4
@@ -269,35 +269,58 @@ def candidate_edges(surviving: DataFrame, lows: list[int], folder: str) -> DataF
     grouped = materialize(sent.repartition("bucket").mapInArrow(group_signatures, GROUPED), folder, "grouped")
     popular = grouped.where("popular").select(F.col("a").alias("set"), "key", F.col("slack_a").alias("slack"), "sig")
     left_out = materialize(popular.groupBy("set", "key").agg(F.count("*").alias("out"), F.max("slack").alias("slack")), folder, "left_out")
+    n_out = left_out.count()
     pairs = (grouped.where("NOT popular").groupBy("a", "b", "key")
              .agg(F.sum("n").alias("n"), F.max("slack_a").alias("slack_a"), F.max("slack_b").alias("slack_b")))
     for side in ("a", "b"):
         out = left_out.select(F.col("set").alias(side), "key", F.col("out").alias(f"out_{side}"))
-        pairs = pairs.join(out, [side, "key"], "left")
+        pairs = pairs.join(_small(out, n_out), [side, "key"], "left")
     room = F.greatest(*[F.col(f"slack_{s}") - F.coalesce(F.col(f"out_{s}"), F.lit(0)) for s in ("a", "b")])
     pairs = pairs.where(F.col("n") >= F.greatest(F.lit(1), 1 + room)).select("a", "b")
-    kept = popular.join(left_out.where("out > slack").select("set", "key"), ["set", "key"]).select("set", "sig")
-    hubs = kept.groupBy("sig").agg(F.min("set").alias("hub"))
-    stars = kept.join(hubs, "sig").where("hub <> set").select(F.col("hub").alias("a"), F.col("set").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    kept = popular.join(_small(left_out.where("out > slack").select("set", "key")), ["set", "key"]).select("set", "sig")
+    hubs = materialize(kept.groupBy("sig").agg(F.min("set").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), folder, "hubs")
+    stars = kept.join(_small(hubs), "sig").where("hub <> set").select(F.col("hub").alias("a"), F.col("set").alias("b"))
+    return pairs.unionByName(stars)
 
 
 # ---------------------------------------------------------------- components
 
+def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Marked for broadcast if counted to few rows; otherwise the join shuffles."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
-    """(node, label): the smallest node of its component, for every node with an edge."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder, f"{name}_edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), folder, f"{name}_0")
-    step = 0
+    """(node, label): the smallest node of its component, for every node with an edge.
+
+    Each round every node takes the smallest label next to it, then its label's label, and the graph is contracted:
+    edges within a label go, so a dense group costs its edges once.
+    """
+    rest = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), folder, f"{name}_edges0")
+    total, step = None, 0
     while True:
         step += 1
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
-        up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
-        new = materialize(low.join(up, "low").select("node", F.least("low", "up").alias("label"), "old"), folder, f"{name}_{step}")
-        labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
-            return labels
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), folder, f"{name}_hook{step}")
+        n = hook.count()
+        if not n:
+            break
+        up = hook.select(F.col("node").alias("label"), F.col("label").alias("__up"))
+        near = materialize(hook.join(_small(up, n), "label").select("node", F.col("__up").alias("label")), folder, f"{name}_near{step}")
+        for side in ("a", "b"):
+            rest = rest.join(_small(near.select(F.col("node").alias(side), F.col("label").alias(f"__{side}")), n), side)
+        rest = rest.where("__a <> __b").select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).distinct()
+        rest = materialize(rest, folder, f"{name}_edges{step}")
+        if total is None:
+            total = near
+        else:
+            over = near.select(F.col("node").alias("label"), F.col("label").alias("__over"))
+            total = total.join(_small(over, n), "label", "left").select("node", F.coalesce("__over", "label").alias("label"))
+            total = materialize(total, folder, f"{name}_labels{step}")
+    if total is None:
+        return edges.sparkSession.createDataFrame([], "node long, label long")
+    least = total.groupBy("label").agg(F.min("node").alias("__least"))
+    return materialize(total.join(least, "label").select("node", F.least("__least", "label").alias("label")), folder, f"{name}_labels")
 
 
 # ---------------------------------------------------------------- verification
@@ -333,18 +356,21 @@ def _tokens(column) -> list[np.ndarray]:
 
 
 def verify_cluster(table: pa.Table) -> pa.Table:
-    """(a, b): links that connect what is connected, from all pairs of a small cluster."""
+    """(set_id, label): the exact components of a small cluster, from all pairs not connected already."""
     ids, sets = table.column("set_id").to_pylist(), _tokens(table.column("tokens"))
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    u, links = Union(len(ids)), []
+    order = np.argsort([len(s) for s in sets], kind="stable").tolist()
+    u = Union(len(ids))
     for x, i in enumerate(order):
         for j in order[x + 1 :]:
             if DEN * len(sets[i]) < NUM * len(sets[j]):
                 break
-            if ids[i] != ids[j] and u.find(int(i)) != u.find(int(j)) and similar(sets[i], sets[j]):
-                u.join(int(i), int(j))
-                links.append((ids[i], ids[j]))
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+            if u.find(i) != u.find(j) and (ids[i] == ids[j] or similar(sets[i], sets[j])):
+                u.join(i, j)
+    least: dict[int, int] = {}
+    for i, sid in enumerate(ids):
+        least[u.find(i)] = min(sid, least.get(u.find(i), sid))
+    got = sorted({(sid, least[u.find(i)]) for i, sid in enumerate(ids)})
+    return pa.table({"set_id": pa.array([x[0] for x in got], pa.int64()), "label": pa.array([x[1] for x in got], pa.int64())})
 
 
 def compare_blocks(table: pa.Table) -> pa.Table:
@@ -360,6 +386,7 @@ def large_links(members: DataFrame, folder: str) -> DataFrame:
     spark = members.sparkSession
     # set ids are hashes: one in so many, by id, is a random choice of about PIVOTS a cluster; the smallest id is always one
     chance = F.col("size") / F.lit(PIVOTS)
+    members = materialize(members.select("set_id", "tokens", "cluster", "size"), folder, "large_members")
     pivots = materialize(members.where((F.col("set_id") == F.col("cluster")) | (F.pmod(F.xxhash64("set_id"), F.greatest(chance, F.lit(1.0)).cast("long")) == 0))
                          .select("cluster", F.col("set_id").alias("pivot"), F.col("tokens").alias("pivot_tokens")).distinct(), folder, "pivots")
     few = pivots.count() <= 20_000
@@ -372,18 +399,21 @@ def large_links(members: DataFrame, folder: str) -> DataFrame:
     met = members.join(F.broadcast(pivots) if few else pivots, "cluster").where("pivot <> set_id")
     first = materialize(met.select(F.col("pivot").alias("a"), F.col("set_id").alias("b"), "pivot_tokens", "tokens").mapInArrow(against, "a long, b long"), folder, "pivot_links")
     labels = components(first, folder, "pivot")
-    labelled = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    labelled = members.join(_small(labels.withColumnRenamed("node", "set_id")), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     labelled = materialize(labelled, folder, "labelled")
     sizes = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     blocks = F.greatest(F.ceil(F.col("size") / CLUSTER), F.lit(1)).cast("int")
     block = F.pmod(F.xxhash64("set_id"), blocks.cast("long")).cast("int")
-    odd = labelled.join(main, "cluster").where("label <> main")
-    odd_sizes = odd.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("odd_blocks"))
+    main = materialize(main, folder, "main")
+    odd = labelled.join(_small(main), "cluster").where("label <> main")
+    odd_sizes = materialize(odd.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("odd_blocks")), folder, "odd_sizes")
+    if odd_sizes.isEmpty():
+        return first
     cols = ["cluster", "x", "y", "side", "set_id", "label", "tokens"]
-    left = (odd.join(odd_sizes, "cluster").withColumn("x", F.pmod(F.xxhash64("set_id"), F.col("odd_blocks").cast("long")).cast("int"))
+    left = (odd.join(_small(odd_sizes), "cluster").withColumn("x", F.pmod(F.xxhash64("set_id"), F.col("odd_blocks").cast("long")).cast("int"))
             .withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(0)).select(cols))
-    right = (labelled.join(odd_sizes, "cluster").withColumn("y", block)
+    right = (labelled.join(_small(odd_sizes), "cluster").withColumn("y", block)
              .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1))).withColumn("side", F.lit(1)).select(cols))
     rest = left.unionByName(right).groupBy("cluster", "x", "y").applyInArrow(compare_blocks, "a long, b long")
     return first.unionByName(rest)
@@ -416,24 +446,26 @@ def set_components(docs: DataFrame, sets: DataFrame, folder: str, k: int = K) ->
     edges = candidate_edges(surviving, bands(stats["largest"]), folder)
     clusters = components(edges, folder, "cluster")
     sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
-    placed = materialize(clusters.join(sizes, "label").select(F.col("node").alias("set_id"), F.col("label").alias("cluster"), "size"), folder, "placed")
-    n = placed.count()
-    members = surviving.join(F.broadcast(placed) if n <= BROADCAST_ROWS else placed, "set_id")
-    small = members.where(F.col("size") <= CLUSTER).groupBy("cluster").applyInArrow(verify_cluster, "a long, b long")
-    links = materialize(small, folder, "links")
+    placed = materialize(clusters.join(_small(sizes), "label").select(F.col("node").alias("set_id"), F.col("label").alias("cluster"), "size"), folder, "placed")
+    members = surviving.join(_small(placed), "set_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = members.where(F.col("size") <= CLUSTER).repartition(parts, "cluster").groupBy("cluster").applyInArrow(verify_cluster, "set_id long, label long")
+    labels = materialize(small, folder, "small_labels")
     if not placed.where(F.col("size") > CLUSTER).isEmpty():
-        links = links.unionByName(materialize(large_links(members.where(F.col("size") > CLUSTER), folder), folder, "large_links"))
-    return components(links, folder, "linked").withColumnRenamed("node", "set_id")
+        links = large_links(members.where(F.col("size") > CLUSTER), folder)
+        labels = labels.unionByName(components(links, folder, "linked").select(F.col("node").alias("set_id"), "label"))
+    return labels
 
 
 def join_components(docs: DataFrame, folder: str | None = None, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     folder = folder or shared_dir(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     sets = materialize(describe_sets(docs, k), folder, "sets")
     labels = set_components(docs, sets, folder, k)
     # equal sets are one class; a class's component is its label, or itself
     classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    classes = classes.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    classes = classes.join(_small(labels), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows"))
     wide = materialize(classes.join(smallest.where("rows > 1"), "label").select("set_id", F.col("component_id").alias("__component")), folder, "classes")
     n = wide.count()
