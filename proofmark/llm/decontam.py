@@ -21,11 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, chunks, hash_words, materialize, mix64, shared_dir, text_bytes
+from .common import ALNUM, chunks, hash_words, materialize, shared_dir, text_bytes
 
 HALF = 24
 ITEMS = 1000
@@ -181,6 +180,7 @@ class Retriever:
         rows = np.array(rows).reshape(len(rows), -1)
         self.rows = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).astype(np.float32).T
         self.masks = [_masks(w) for _, w in items]
+        self.counts = [np.unique(w, return_counts=True) for _, w in items]
         self.answers = [_masks(w[-ANSWER:]) for _, w in items]
         self.limits = min_cosine, min_lcs, min_paraphrase, min_answer
 
@@ -194,7 +194,10 @@ class Retriever:
         run = np.searchsorted(starts, at, side="right") - 1
         used = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         half = np.zeros((len(starts), self.word_rows.shape[1]), np.float32)
-        half[run[used]] = np.add.reduceat(self.word_rows[k], used)
+        n = np.diff(np.r_[used, len(run)])
+        for j in range(n.max()):  # the j-th known word of every run at once
+            ok = n > j
+            half[run[used[ok]]] += self.word_rows[k[used[ok] + j]]
         whole = half.copy()  # a passage is a run and the next one of its document; the last run also stands alone
         follows = np.ones(len(starts), bool)
         follows[lead[1:][np.diff(lead) > 0] - 1] = False
@@ -214,7 +217,13 @@ class Retriever:
             if (i, lo) in seen:
                 continue
             seen.add((i, lo))
-            text = w[lo:hi].tolist()
+            text = w[lo:hi]
+            words, counts = self.counts[i]
+            met = np.minimum(np.searchsorted(words, text), len(words) - 1)
+            met = met[words[met] == text]
+            if counts[np.bincount(met, minlength=len(words)) > 0].sum() < min_paraphrase * length:
+                continue  # no subsequence can be longer than the item's words that occur at all
+            text = text.tolist()
             share = lcs(self.masks[i], length, text) / length
             if share < min_paraphrase:
                 continue
