@@ -39,7 +39,7 @@ WINDOW = 20
 GRAM = 8
 HOT = 1000
 #: Bytes of segments that a task holds before it sends them on.
-HELD = 48 << 20
+HELD = 24 << 20
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -94,7 +94,7 @@ def emit_anchors(buckets: int):
                 doc, _, _, anchor, grams = anchors(w, first) if len(w) >= WINDOW else (np.zeros(0, np.int64),) * 4 + (None,)
                 if len(doc):
                     rows = np.empty(len(doc), ROW)
-                    rows["hash"], rows["id"], rows["pos"], rows["check"] = grams[anchor], ids[lo + doc], anchor - first[doc], checks[lo + doc]
+                    rows["hash"], rows["id"], rows["pos"], rows["check"] = grams[anchor], ids[lo + doc], np.arange(len(doc)) - np.searchsorted(doc, doc), checks[lo + doc]
                     parts.append(rows)
             if parts:
                 rows = np.concatenate(parts)
@@ -104,7 +104,7 @@ def emit_anchors(buckets: int):
 
 
 def repeated_anchors(batches):
-    """(id, check, pos) of anchors that occur more than once; a hot anchor's pos is -1 - pos."""
+    """(id, check, pos) of anchors that occur more than once, numbered within their document; a hot anchor's pos is -1 - pos."""
     blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
     rows = np.frombuffer(b"".join(blobs), ROW)
     del blobs
@@ -124,6 +124,42 @@ def repeated_anchors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got["id"][cut])), pa.array(got["check"][cut].astype(np.int64)), pa.array(pos[cut])], names=["id", "check", "pos"])
 
 
+_HOT_RANGE = 1 << 62
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers as ranges, first << 32 | last."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.diff(x) != 1)
+    return x[np.r_[0, cut + 1]] << 32 | x[np.r_[cut, len(x) - 1]]
+
+
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Spans, start << 32 | end, merged where they overlap or touch."""
+    spans = np.sort(spans)
+    start, end = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+    new = np.r_[True, start[1:] > end[:-1]]
+    return start[new] << 32 | end[np.r_[np.flatnonzero(new)[1:] - 1, len(end) - 1]]
+
+
+def _each_list(function):
+    """Apply a function to the third column's list of each row; keeps what is joined to the documents small."""
+    def run(batches):
+        for batch in batches:
+            column = batch.column(2)
+            values, at = column.values.to_numpy(zero_copy_only=False).astype(np.int64), column.offsets.to_numpy()
+            lists = [function(values[a:b]) for a, b in zip(at, at[1:])]
+            out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in lists])], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=batch.schema.names)
+    return run
+
+
+def mark_ranges(pos: np.ndarray) -> np.ndarray:
+    pos = np.sort(pos)
+    return np.r_[_runs(pos[pos >= 0]), _runs(np.sort(-1 - pos[pos < 0])) | _HOT_RANGE]
+
+
 def segment_hash(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A hash of each run of ``lengths`` words."""
     if not len(lengths):
@@ -152,10 +188,11 @@ def take_segments(heads: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple
     return heads[at], words[index]
 
 
-def _intervals(heads: np.ndarray) -> np.ndarray:
-    out = np.empty(len(heads), SEGMENT)
-    out[:] = heads
-    return out
+def _covered(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, a, 1)
+    np.add.at(step, b, -1)
+    return np.cumsum(step)[:n] > 0
 
 
 def emit_segments(buckets: int):
@@ -183,11 +220,11 @@ def emit_segments(buckets: int):
                 if len(w) < WINDOW:
                     continue
                 doc, start, end, anchor, grams = anchors(w, first)
-                pos = marks[mark_at[lo] : mark_at[hi]].astype(np.int64)
-                of = np.repeat(np.arange(hi - lo), np.diff(mark_at[lo : hi + 1]))
-                state = np.zeros(len(w), np.int8)
-                state[np.where(pos < 0, -1 - pos, pos) + first[of]] = np.where(pos < 0, 2, 1)
-                whole, single = state[anchor] == 1, state[anchor] == 2
+                r = marks[mark_at[lo] : mark_at[hi]].astype(np.int64)
+                base = np.searchsorted(doc, np.repeat(np.arange(hi - lo), np.diff(mark_at[lo : hi + 1])))
+                hot = r >= _HOT_RANGE
+                r = r & (_HOT_RANGE - 1)
+                whole, single = (_covered(len(doc), (base + (r >> 32))[k], (base + (r & 0xFFFFFFFF) + 1)[k]) for k in (~hot, hot))
                 n = (end - start)[single]  # windows of hot anchors, one by one
                 a = np.r_[start[whole], np.repeat(start[single] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 b = np.r_[end[whole], np.repeat(start[single] - (np.cumsum(n) - n), n) + np.arange(n.sum()) + 1]
@@ -360,11 +397,13 @@ def removals(docs: DataFrame, folder: str) -> DataFrame:
     rows = _keyed(docs.select("doc_id", "text"))
     occur = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__check", "text").mapInArrow(emit_anchors(buckets), "bucket int, rows binary")
     marks = occur.repartition("bucket").mapInArrow(repeated_anchors, "id long, check long, pos int")
-    marks = materialize(marks.groupBy("id", "check").agg(F.collect_set("pos").alias("marks")), folder, "anchors")
+    marks = marks.groupBy("id", "check").agg(F.collect_set("pos").alias("marks")).mapInArrow(_each_list(mark_ranges), "id long, check long, marks array<long>")
+    marks = materialize(marks, folder, "anchors")
     cut = _join_spans(rows, marks, "inner").select(F.col("doc_id").cast("long").alias("doc_id"), "__check", "text", "__marks")
     segments = cut.mapInArrow(emit_segments(buckets), "bucket int, heads binary, words binary, repeats binary")
     found = segments.repartition("bucket").mapInArrow(search_shards, "id long, check long, span long")
-    return materialize(found.groupBy("id", "check").agg(F.collect_set("span").alias("spans")), folder, "spans")
+    spans = found.groupBy("id", "check").agg(F.collect_set("span").alias("spans")).mapInArrow(_each_list(_merged), "id long, check long, spans array<long>")
+    return materialize(spans, folder, "spans")
 
 
 def dedup(docs: DataFrame, folder: str | None = None) -> DataFrame:
