@@ -115,7 +115,8 @@ def ocr_blob(spark, sf_dir):
 
 
 def field_support_scores(spark, sf_dir):
-    rows = _conversations(spark, sf_dir).select("conv_id", F.substring(squash(gate.blob(F.col("lines"))), 1, 400).alias("read"), F.substring(squash(F.element_at("lines", -1)["text"]), 3, 40).alias("quote"))
+    last = F.array_max(F.transform("lines", lambda x: F.struct(x["pos"].alias("pos"), x["text"].alias("text"))))["text"]  # by position, as in the blob
+    rows = _conversations(spark, sf_dir).select("conv_id", squash(gate.blob(F.col("lines"))).alias("read"), squash(last).alias("quote"))
     return rows.select("conv_id", F.round(field_support("quote", "read"), 4).alias("support"))
 
 

@@ -1,7 +1,11 @@
 """Every query of the engine against the same rows in SQL."""
 
+import re
+from collections import defaultdict
+
 import pytest
 
+from proofmark.functions.similarity import partial_ratio
 from proofmark.plans.queries import ORACLES, QUERIES
 
 from .conftest import SF
@@ -17,6 +21,20 @@ def test_field_support_scores_match_the_definition(spark):
     assert rows and all(r["support"] is None or 0 <= r["support"] <= 1 for r in rows)
 
 
+def test_field_support_compares_whole_texts(spark):
+    squashed = lambda t: re.sub("[^a-z0-9]", "", (t or "").lower().replace("ß", "ss"))
+    lines = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        lines[r["conv_id"]].append((r["turn"], r["text"]))
+    expected = {}
+    for conv, rows in lines.items():
+        rows.sort()
+        read, quote = squashed(" ".join(t or "" for _, t in rows)), squashed(rows[-1][1])
+        expected[conv] = None if rows[-1][1] is None else round(partial_ratio(quote, read) / 100, 4) if quote else 0.0
+    assert any(len(squashed(" ".join(t or "" for _, t in rows))) > 400 for rows in lines.values())
+    assert {r["conv_id"]: r["support"] for r in QUERIES["field_support_scores"](spark, SF).collect()} == expected
+
+
 def test_entry_has_rows_and_a_stable_schema(spark):
     import __spark_entry__ as e
 
