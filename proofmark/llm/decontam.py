@@ -8,6 +8,11 @@ a benchmark passage reaches ``min_cosine`` are candidates.  They are decided on
 common subsequence of the item and the passage's surroundings must cover ``min_lcs`` of the item, or
 ``min_paraphrase`` of it together with ``min_answer`` of its last ``ANSWER`` words (the answer).
 
+No match of ``min_lcs`` depends on the cosine, as the rank is smaller than a large block's row space.  A
+second, exact route counts rare words: of an item of n words of which m must be met, any n - m + r hold r
+that are met.  The rarest are taken; windows of ``4 * HALF`` words more than the item, at every multiple of
+``HALF``, that hold r of them are candidates too.  Paraphrases below ``min_lcs`` still need the cosine.
+
 Documents are read twice and never shuffled; what tasks send is a count a vocabulary word.  Items are
 handled in blocks of ``ITEMS``, so the vocabulary, the basis and what is broadcast are bounded
 whatever the size of the benchmark.
@@ -31,6 +36,9 @@ ITEMS = 1000
 RANK = 160
 ANSWER = 8
 LEAST = 6
+#: Rare words that a window must hold, and occurrences of them that one numpy pass handles (a longer document is a pass of its own).
+RARE = 4
+OCCURRENCES = 1 << 21
 
 
 def item_words(text: str | None) -> np.ndarray:
@@ -183,10 +191,72 @@ class Retriever:
         self.counts = [np.unique(w, return_counts=True) for _, w in items]
         self.answers = [_masks(w[-ANSWER:]) for _, w in items]
         self.limits = min_cosine, min_lcs, min_paraphrase, min_answer
+        self.columns = np.searchsorted([i for i, _ in self.owner], np.arange(len(items) + 1))
+        self.lengths = np.array([len(w) for _, w in items], np.int64)
+        words, patterns, self.least = [], [], []
+        for _, w in items:
+            m = max(int(np.ceil(min_lcs * len(w) - 1e-9)), 1)
+            r = min(RARE, m)
+            k = vocabulary.find(w)[1]
+            k = np.unique(k[np.argsort(-idf[k], kind="stable")[: len(w) - m + r]])
+            words.append(k)
+            patterns.append(np.full(len(k), len(self.least)))
+            self.least.append(r)
+        words, patterns, self.least = np.concatenate(words), np.concatenate(patterns), np.array(self.least)
+        order = np.argsort(words, kind="stable")
+        self.patterns = patterns[order]
+        self.of_word = np.searchsorted(words[order], np.arange(len(idf) + 1))
+
+    def windows(self, at: np.ndarray, k: np.ndarray, first: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """(half passage, item) of the windows, by their first half passage, that hold enough rare words of an item."""
+        n = np.diff(self.of_word)[k]
+        total = np.r_[0, np.cumsum(n)]
+        cuts = np.searchsorted(at, first)  # documents in word positions
+        group = total[cuts[:-1]] // OCCURRENCES
+        cuts = np.r_[cuts[:-1][np.r_[True, group[1:] != group[:-1]]], len(at)]
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            size = int(total[b] - total[a])
+            pattern = self.patterns[np.repeat(self.of_word[k[a:b]] - (total[a:b] - total[a]), n[a:b]) + np.arange(size)]
+            order = np.argsort(pattern, kind="stable")
+            pattern, x = pattern[order], np.repeat(at[a:b], n[a:b])[order]
+            last = np.arange(size) + self.least[pattern] - 1
+            here = np.flatnonzero(last < size)
+            here = here[pattern[last[here]] == pattern[here]]
+            item = pattern[here]
+            x, y = x[here], x[last[here]]
+            wide = 4 * HALF + self.lengths[item]
+            doc = np.searchsorted(first, x, side="right") - 1
+            near = (y - x < wide) & (y < first[doc + 1])
+            x, y, item, wide, doc = x[near], y[near], item[near], wide[near], doc[near]
+            low = np.maximum(-((first[doc] + wide - y - 1) // HALF), 0)
+            high = (x - first[doc]) // HALF
+            count = high - low + 1
+            run = np.repeat(lead[doc] + low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            found.append(np.unique(run * len(self.items) + np.repeat(item, count)))
+        key = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return np.stack([key // len(self.items), key % len(self.items)], 1)
+
+    def measure(self, i: int, text: np.ndarray) -> tuple[float, float] | None:
+        """(lcs, answer) of an item and a text, if they match."""
+        _, min_lcs, min_paraphrase, min_answer = self.limits
+        length = len(self.items[i][1])
+        words, counts = self.counts[i]
+        met = np.minimum(np.searchsorted(words, text), len(words) - 1)
+        met = met[words[met] == text]
+        if counts[np.bincount(met, minlength=len(words)) > 0].sum() < min_paraphrase * length:
+            return None  # no subsequence can be longer than the item's words that occur at all
+        text = text.tolist()
+        share = lcs(self.masks[i], length, text) / length
+        if share < min_paraphrase:
+            return None
+        n = min(ANSWER, length)
+        answer = lcs(self.answers[i], n, text) / n
+        return (share, answer) if share >= min_lcs or answer >= min_answer else None
 
     def hits(self, w: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
         """(document, item, cosine, lcs, answer, word) for each hit."""
-        min_cosine, min_lcs, min_paraphrase, min_answer = self.limits
+        min_cosine = self.limits[0]
         starts, lead = _half_passages(first)
         at, k = self.vocabulary.find(w)
         if not len(at):
@@ -217,21 +287,15 @@ class Retriever:
             if (i, lo) in seen:
                 continue
             seen.add((i, lo))
-            text = w[lo:hi]
-            words, counts = self.counts[i]
-            met = np.minimum(np.searchsorted(words, text), len(words) - 1)
-            met = met[words[met] == text]
-            if counts[np.bincount(met, minlength=len(words)) > 0].sum() < min_paraphrase * length:
-                continue  # no subsequence can be longer than the item's words that occur at all
-            text = text.tolist()
-            share = lcs(self.masks[i], length, text) / length
-            if share < min_paraphrase:
-                continue
-            n = min(ANSWER, length)
-            answer = lcs(self.answers[i], n, text) / n
-            if share >= min_lcs or answer >= min_answer:
-                got = (share, answer, float(cosine[p, c]), int(starts[p] - first[d]))
+            if got := self.measure(i, w[lo:hi]):
+                got = (*got, float(cosine[p, c]), int(starts[p] - first[d]))
                 best[d, i] = max(best.get((d, i), (0.0,)), got)
+        for p, i in self.windows(at, k, first, lead).tolist():
+            d = doc_of[p]
+            got = self.measure(i, w[starts[p] : min(first[d + 1], starts[p] + 4 * HALF + self.lengths[i])])
+            if got and got > best.get((d, i), (0.0,))[:2]:
+                near = cosine[p : min(lead[d + 1], p + 4 + self.lengths[i] // HALF), self.columns[i] : self.columns[i + 1]].max(1)
+                best[d, i] = (*got, float(near.max()), int(starts[p + near.argmax()] - first[d]))
         return [(int(d), i, x[2], x[0], x[1], x[3]) for (d, i), x in sorted(best.items())]
 
 

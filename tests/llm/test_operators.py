@@ -293,6 +293,36 @@ def test_decontamination_finds_exact_passages(spark):
     assert exact <= got and len(got) <= len(exact) + 2
 
 
+def test_decontamination_needs_no_cosine():
+    """With a basis that says nothing, every pair that a plain search finds at 0.75 is found, and none that does not match."""
+    rng = random.Random(70)
+    pool = [f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(4000)]
+    texts = [[rng.choice(pool) for _ in range(rng.randrange(6, 130))] for _ in range(60)] + [["rare"] * 20]
+    items = [(i, decontam.item_words(" ".join(t))) for i, t in enumerate(texts)]
+    rows = []
+    for t in texts:
+        for drop, add in ((0, 0), (0.15, 0), (0.1, 0.3), (0.35, 0), (0.5, 0.2)):
+            part = [x for w in t for x in ([] if rng.random() < drop else [w]) + ([rng.choice(pool)] if rng.random() < add else [])]
+            rows.append([rng.choice(pool) for _ in range(rng.randrange(90))] + part + [rng.choice(pool) for _ in range(rng.randrange(90))])
+    hashed = [decontam.item_words(" ".join(r)) for r in rows]
+    first = np.r_[0, np.cumsum([len(h) for h in hashed])]
+    vocabulary = decontam.Vocabulary(np.concatenate([w for _, w in items]))
+    size = len(vocabulary.hashes)
+    retriever = decontam.Retriever(items, vocabulary, np.random.default_rng(1).random(size) + 0.1, np.zeros((size, 1)), 0.4, 0.75, 0.6, 0.75)
+    expected = {}
+    for d, h in enumerate(hashed):
+        for i, w in items:
+            masks, answers, n = decontam._masks(w), decontam._masks(w[-8:]), min(8, len(w))
+            for at in range(0, len(h), decontam.HALF):
+                x = h[at : at + 4 * decontam.HALF + len(w)].tolist()
+                share, answer = decontam.lcs(masks, len(w), x) / len(w), decontam.lcs(answers, n, x) / n
+                if share >= 0.75 or share >= 0.6 and answer >= 0.75:
+                    expected[d, i] = max(expected.get((d, i), (0, 0)), (share, answer))
+    got = {(h[0], h[1]): (h[3], h[4]) for h in retriever.hits(np.concatenate(hashed), first)}
+    whole = {x: s for x, s in expected.items() if s[0] >= 0.75}
+    assert len(whole) > 150 and whole.items() <= got.items() and set(got) <= set(expected)
+
+
 def test_lcs_bit_parallel():
     rng = random.Random(1)
     for _ in range(50):
