@@ -5,10 +5,10 @@ A null array of lines means that there was no second read; an empty one means th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.similarity import field_support
+from ..functions.similarity import lacks_support
 from ..functions.text import squash
 
 #: Below this share a claim is not confirmed; what a usable read holds at least.
@@ -34,14 +34,18 @@ def confirms_exactly(reference: Column, text: Column) -> Column:
     return F.coalesce((target != "") & F.contains(squash(text), target), F.lit(False))
 
 
-def unconfirmed(rows: DataFrame, claims: dict[str, Column], squashed: str, alive: str) -> DataFrame:
-    """``rows`` with a column for each claim: whether a usable second read (squashed) does not support it.
+_lacks = lacks_support(SUPPORT_FLOOR)
 
-    Only claims that the read does not hold as they are reach the similarity function.
+
+def asks(claim: Column, squashed: Column, usable: Column) -> Column:
+    """The squashed claim if it has to be scored against the second read (squashed).
+
+    Null where nothing has to be: no claim, no usable read, or a read that holds the claim as it is.
     """
-    rows = rows.withColumns({f"{name}_quote": squash(claim) for name, claim in claims.items()})
-    open_ = {name: F.col(alive) & (F.coalesce(claim, F.lit("")) != "") for name, claim in claims.items()}
-    rows = rows.withColumns({f"{name}_ask": F.when(open_[name] & ((F.col(f"{name}_quote") == "") | ~F.contains(squashed, f"{name}_quote")), F.col(f"{name}_quote")) for name in claims})
-    rows = rows.withColumns({f"{name}_score": field_support(F.col(f"{name}_ask"), F.col(squashed)) for name in claims})
-    rows = rows.withColumns({name: F.coalesce(F.col(f"{name}_score") < SUPPORT_FLOOR, F.lit(False)) for name in claims})
-    return rows.drop(*[f"{name}_{x}" for name in claims for x in ("quote", "ask", "score")])
+    quote = squash(claim)
+    return F.when(usable & (F.coalesce(claim, F.lit("")) != "") & ((quote == "") | ~F.contains(squashed, quote)), quote)
+
+
+def unsupported(ask: Column, squashed: Column) -> Column:
+    """Whether the read's support of an asked claim is below the floor; an empty claim has none."""
+    return F.coalesce(_lacks(ask, squashed), F.lit(False))

@@ -6,11 +6,14 @@ explode and no shuffle.  Labels without a finding keep their row and go to revie
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DIFF, FINDING
-from ..rulebook import Rulebook
+from ..rulebook import Rule, Rulebook
 from . import gate
 from .matchers import STRATEGIES, asserted, prepare
 
@@ -36,21 +39,26 @@ def verify(labels: DataFrame, rulebook: Rulebook, unicode: bool = True) -> DataF
     """(*columns, beverage, findings, verdict, rulebook_version) of labels (``model.LABEL``).
 
     ``unicode=False`` leaves out the functions for other than ASCII text, where the texts are known to be ASCII.
+    Rules come before the gate: a claim is scored against the second read only if a pass or fail hangs on it.
     """
     columns = labels.columns
+    rules = [(i, r) for i, r in enumerate(rulebook.rules) if r.match.strategy in STRATEGIES]
     reference = rulebook.warning.match.reference if rulebook.warning else ""
-    brand_field = next((r.match.field for r in rulebook.rules if r.match.strategy == "brand_match" and r.match.field), "brand_name")
+    brand_field = next((r.match.field for _, r in rules if r.match.strategy == "brand_match" and r.match.field), "brand_name")
     out = prepare(labels, reference or "", brand_field, unicode)
-    out = out.withColumn("__alive", gate.is_alive(F.col("ocr_lines")))
-    fields = sorted({r.match.field for r in rulebook.rules if r.match.field})
-    out = gate.unconfirmed(out, {f"__open_{f}": asserted(f) for f in fields}, "__blob", "__alive")
     filed = F.nullif(F.col("application.class_type"), F.lit(""))
-    out = out.withColumn("beverage", beverage_class(F.coalesce(filed, F.col("fields.class_type.value"))))
-    made = {f"__rule_{i}": STRATEGIES[r.match.strategy](r, unicode) for i, r in enumerate(rulebook.rules) if r.match.strategy in STRATEGIES}
-    out = out.withColumns(made)
-
-    def finding(i: int) -> Column:
-        rule, got = rulebook.rules[i], F.col(f"__rule_{i}")
+    made = {f"__rule_{i}": STRATEGIES[r.match.strategy](r, unicode) for i, r in rules}
+    out = out.withColumns(made | {"__alive": gate.is_alive(F.col("ocr_lines")), "beverage": beverage_class(F.coalesce(filed, F.col("fields.class_type.value")))})
+    decided = lambda i, r: r.applies(F.col("beverage")) & F.col(f"__rule_{i}.verdict").isin("pass", "fail")
+    by_field: dict[str, list[Column]] = {}
+    for i, r in rules:
+        if r.match.field:
+            by_field.setdefault(r.match.field, []).append(decided(i, r))
+    out = out.withColumns({f"__ask_{f}": gate.asks(asserted(f), F.col("__blob"), F.col("__alive") & reduce(or_, held)) for f, held in by_field.items()})
+    out = out.withColumns({f"__open_{f}": gate.unsupported(F.col(f"__ask_{f}"), F.col("__blob")) for f in by_field})
+
+    def finding(i: int, rule: Rule) -> Column:
+        got = F.col(f"__rule_{i}")
         held = (F.col(f"__open_{rule.match.field}") if rule.match.field else F.lit(False)) & got["verdict"].isin("pass", "fail")
         row = F.struct(
             F.lit(i).alias("rule_pos"), F.lit(rule.id).alias("rule_id"), F.lit(rule.title).alias("title"), F.lit(rule.citation).alias("citation"),
@@ -59,8 +67,7 @@ def verify(labels: DataFrame, rulebook: Rulebook, unicode: bool = True) -> DataF
             F.when(held, F.array().cast(DIFF)).otherwise(got["diff"]).alias("diff"))
         return F.when(rule.applies(F.col("beverage")), row.cast(FINDING))
 
-    rows = [finding(i) for i in range(len(rulebook.rules)) if f"__rule_{i}" in made]
-    out = out.select(*columns, "beverage", F.array_compact(F.array(*rows)).alias("findings"))
+    out = out.select(*columns, "beverage", F.array_compact(F.array(*[finding(i, r) for i, r in rules])).alias("findings"))
     return out.withColumns({"verdict": worst(F.col("findings")), "rulebook_version": F.lit(rulebook.version)})
 
 
