@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = "decimal(20,10)"
+# How labels state alcohol by volume and proof; the digits behind a dot or digit are no number of their own.
 PERCENT = r"(?U)(?<![\d.])(\d{1,2}(?:\.\d+)?)\s*%"
 PERCENT_WORD = r"(?iU)alc(?:ohol)?\.?\s*(\d{1,2}(?:\.\d+)?)\s*percent"
 PROOF = r"(?iU)(?<![\d.])(\d{1,3}(?:\.\d+)?)\s*proof"

@@ -6,6 +6,7 @@ characters pass an Arrow function, which gets null for the ASCII ones.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -23,6 +24,13 @@ LEGAL_SUFFIXES = ("inc", "incorporated", "llc", "ltd", "limited", "co", "corp",
 # Folds to ASCII beyond lower() and beyond decomposition.
 CASE_FOLDS = {"ß": "ss", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"}
+# Romanisation of Cyrillic and Greek letters.
+CYRILLIC = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n",
+            "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y",
+            "ь": "", "э": "e", "ю": "yu", "я": "ya", "ё": "yo", "і": "i", "ї": "yi", "є": "ye", "ґ": "g"}
+GREEK = {"α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o",
+         "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o"}
+ROMAN = LETTERS | CYRILLIC | GREEK
 
 _ASCII = r"^\p{ASCII}*$"
 
@@ -42,32 +50,55 @@ def _nfkc(column: pa.Array) -> pa.Array:
 
 
 def repair(text: str) -> str:
-    """Undo UTF-8 read as a single-byte encoding, if that decodes and gets shorter."""
-    for encoding in ("cp1252", "latin-1"):
-        try:
-            fixed = text.encode(encoding).decode("utf-8")
-        except UnicodeError:
-            continue
-        if len(fixed) < len(text):
-            return fixed
+    """Undo UTF-8 read as a single-byte encoding, once or twice, where that decodes and gets shorter."""
+    for _ in range(2):
+        for encoding in ("cp1252", "latin-1"):
+            try:
+                fixed = text.encode(encoding).decode("utf-8")
+            except UnicodeError:
+                continue
+            if len(fixed) < len(text):
+                break
+        else:
+            return text
+        text = fixed
     return text
 
 
+def _roman(c: str) -> str:
+    if c.isascii():
+        return c
+    if (low := c.lower()) in ROMAN:
+        return ROMAN[low] if low == c else ROMAN[low].title()
+    kind, _, name = unicodedata.name(c, "").partition(" SYLLABLE " if "SYLLABLE" in unicodedata.name(c, "") else " LETTER ")
+    if kind in ("HANGUL", "HIRAGANA", "KATAKANA") and name:
+        return name.removeprefix("SMALL ").lower()  # these are named by their sound
+    return c
+
+
 def transliterate(text: str) -> str:
-    """Latin letters to ASCII; other scripts stay, and so never equal an ASCII name."""
-    plain = unicodedata.normalize("NFKD", text)
-    plain = "".join(c for c in plain if not unicodedata.combining(c))
-    return "".join(LETTERS.get(c, LETTERS[c.lower()].title() if c.lower() in LETTERS else c) for c in plain)
+    """Letters to ASCII: Latin without its marks, Cyrillic, Greek, kana and Hangul by sound; other scripts stay, and so never equal an ASCII name."""
+    out = []
+    for c in unicodedata.normalize("NFC", text):
+        got = _roman(c)
+        if got == c and not c.isascii():
+            got = "".join(_roman(x) for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        out.append(got)
+    return "".join(out)
 
 
-@F.arrow_udf(T.StringType())
-def _repair(column: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else repair(x) for x in column.to_pylist()], pa.string())
+def latin_name(text: str) -> str:
+    """A name with other than ASCII letters, ready for the steps that follow for every name."""
+    x = unicodedata.normalize("NFKC", re.sub(r"-\s*\n\s*", "", repair(text)))
+    return " ".join(transliterate(x.translate(_PUNCTUATION)).split())
+
+
+_PUNCTUATION = str.maketrans(SINGLE_QUOTES + DOUBLE_QUOTES + DASHES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES), DELETED)
 
 
 @F.arrow_udf(T.StringType())
-def _transliterate(column: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else transliterate(x) for x in column.to_pylist()], pa.string())
+def _latin_names(column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else latin_name(x) for x in column.to_pylist()], pa.string())
 
 
 def canon_statutory(text: Column, unicode: bool = True) -> Column:
@@ -89,9 +120,8 @@ def squash(text: Column) -> Column:
 
 def canon_brand(text: Column, unicode: bool = True) -> Column:
     """Form for equality of brand names: no case, accents, punctuation, articles or legal suffixes."""
-    x = _on_unicode(text, _repair(_other(text))) if unicode else text
-    x = canon_statutory(x, unicode)
-    x = _on_unicode(x, _transliterate(_other(x))) if unicode else x
+    x = _on_unicode(text, _latin_names(_other(text))) if unicode else text
+    x = canon_statutory(x, False)
     x = F.replace(F.replace(F.lower(x), F.lit("&"), F.lit(" and ")), F.lit("'"), F.lit(""))
     x = F.concat(F.lit(" "), F.regexp_replace(x, r"(?U)[^\w]+", " "), F.lit(" "))
     x = F.regexp_replace(x, rf" (?:(?:{'|'.join(ARTICLES)}) )+", " ")

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import neutralize_csv_cell, pairing_key
 from ..model import APPLICATION, SEVERITY
 from ..rulebook import Rulebook
+from ..storage import small
 
 # Limits of an upload.
 FILE_BYTES, CSV_BYTES, BATCH_BYTES, BATCH_FILES = 5 << 20, 5 << 20, 1600 << 20, 1000
 FINISHED_JOBS = 50
-BROADCAST_ROWS = 200_000
+#: What an error row says if its cause is not for showing.
+FAILED = "The label could not be checked."
 
 
 def pair(labels: DataFrame, applications: DataFrame) -> DataFrame:
     """Every label with the filing of its file name; without one, an empty filing.
 
-    ``applications`` has one row a key (``sources.applications``); it is broadcast only if counted to be small.
+    ``applications`` has one row a key (``sources.applications``); it is broadcast only if measured to be small.
     """
-    filed = applications.select("key", F.struct("brand_name", "class_type", "fanciful_name").alias("application"))
-    side = F.broadcast(filed) if filed.count() <= BROADCAST_ROWS else filed
+    filed = small(applications.select("key", "brand_name", "class_type", "fanciful_name")).select("key", F.struct("brand_name", "class_type", "fanciful_name").alias("application"))
     empty = F.struct(*[F.lit("").alias(f) for f in APPLICATION.names])
-    joined = labels.drop("application").withColumn("key", pairing_key(F.col("filename"))).join(side, "key", "left")
+    joined = labels.drop("application").withColumn("key", pairing_key(F.col("filename"))).join(filed, "key", "left")
     return joined.withColumn("matched", F.col("application").isNotNull()).withColumn("application", F.coalesce("application", empty)).drop("key")
 
 
@@ -34,6 +35,19 @@ def pairing_counts(labels: DataFrame, applications: DataFrame) -> DataFrame:
     return applications.agg(F.countDistinct("key").alias("csv_rows")).crossJoin(unmatched)  # one row each
 
 
+def pairing_gate(labels: DataFrame, applications: DataFrame, *by: str) -> DataFrame:
+    """(*by, uploaded, matched, problem): distinct uploaded keys, those that are filed too, and why a batch is turned down.
+
+    The keys in common are an intersection, so both sides shrink to distinct keys before they meet.
+    """
+    keys = labels.select(*by, pairing_key(F.col("filename")).alias("key"))
+    shared = keys.intersect(applications.select(*by, "key")).groupBy(*by).agg(F.count("*").alias("matched"))
+    uploaded = keys.groupBy(*by).agg(F.countDistinct("key").alias("uploaded"))
+    joined = uploaded.join(shared, list(by), "left") if by else uploaded.crossJoin(shared)  # one row each
+    return joined.withColumn("matched", F.coalesce("matched", F.lit(0).cast("long"))).withColumn(
+        "problem", F.when(F.col("matched") == 0, "The applications file matches none of the images."))
+
+
 def summary(items: DataFrame, *by: str) -> DataFrame:
     """Counts of a batch from (status, verdict): every key is there, pending rows only count in the total."""
     of = lambda v: F.count_if((F.col("status") != "error") & (F.col("verdict") == v))
@@ -59,26 +73,64 @@ def rule_map(findings: Column) -> Column:
     return F.map_from_entries(F.transform(findings, lambda f: F.struct(f["rule_id"], f["verdict"])))
 
 
-def to_items(reports: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """Batch items of reports, and after them the rejected files of (pos, filename, detail)."""
+def isolate(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels that were read, and error rows (*columns, detail) of those whose reading failed.
+
+    ``reader_error`` is a message that may be shown, ``failed`` any other failure.  One label's failure is its own.
+    """
+    bad = F.col("reader_error").isNotNull() | F.coalesce("failed", F.lit(False))
+    errors = labels.where(bad).withColumn("detail", F.coalesce("reader_error", F.lit(FAILED)))
+    return labels.where(~bad).drop("reader_error", "failed"), errors.drop("reader_error", "failed")
+
+
+def _bare(rows: DataFrame, group: int, status: str, detail: Column, keep: tuple[str, ...]) -> DataFrame:
+    return rows.select(
+        F.lit(group).alias("grp"), F.col("pos").cast("long").alias("pos"), "filename", F.lit(status).alias("status"), F.lit(None).cast("string").alias("verdict"),
+        detail.alias("detail"), F.create_map().cast("map<string,string>").alias("rule_verdicts"), *keep)
+
+
+def to_items(reports: DataFrame, errors: DataFrame | None = None, rejected: DataFrame | None = None, pending: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Batch items: reports, labels that failed (pos, filename, detail) and labels that wait (pos, filename) in the order
+    of upload, and after them the rejected files (pos, filename, detail).  ``keep`` names columns that all of them have."""
     items = reports.select(
         F.lit(0).alias("grp"), F.col("label_id").alias("pos"), "filename", F.lit("done").alias("status"), "verdict",
-        headline(F.col("findings"), F.col("verdict")).alias("detail"), rule_map(F.col("findings")).alias("rule_verdicts"))
-    if errors is None:
-        return items
-    return items.unionByName(errors.select(
-        F.lit(1).alias("grp"), F.col("pos").cast("long").alias("pos"), "filename", F.lit("error").alias("status"), F.lit(None).cast("string").alias("verdict"),
-        "detail", F.create_map().cast("map<string,string>").alias("rule_verdicts")))
+        headline(F.col("findings"), F.col("verdict")).alias("detail"), rule_map(F.col("findings")).alias("rule_verdicts"), *keep)
+    for rows, group, status, detail in ((errors, 0, "error", F.col("detail")), (pending, 0, "pending", F.lit(None).cast("string")), (rejected, 1, "error", F.col("detail"))):
+        if rows is not None:
+            items = items.unionByName(_bare(rows, group, status, detail, keep))
+    return items
+
+
+def in_order(items: DataFrame, *by: str) -> DataFrame:
+    """``items`` with ``place``: 1, 2, ... within each batch."""
+    return items.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("grp", "pos")))
 
 
-def grid(items: DataFrame, rulebook: Rulebook) -> DataFrame:
-    """The export: filename, status, verdict, detail and a column a rule, safe for spreadsheets."""
+def grid(items: DataFrame, rulebook: Rulebook, *keep: str) -> DataFrame:
+    """The export: filename, status, verdict, detail and a column a rule, safe for spreadsheets.
+
+    Rows are not sorted here: ``sources.applications.write_grid`` sorts a batch when it writes it.
+    """
     safe = lambda c: neutralize_csv_cell(F.coalesce(c, F.lit("")))
-    return items.orderBy("grp", "pos").select(
-        *[safe(F.col(c)).alias(c) for c in ("filename", "status", "verdict", "detail")],
+    return items.select(
+        *keep, *[safe(F.col(c)).alias(c) for c in ("filename", "status", "verdict", "detail")],
         *[safe(F.try_element_at("rule_verdicts", F.lit(r.id))).alias(r.id) for r in rulebook.rules])
 
 
+def evaluate(reports: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(defect, expected, labels, agreeing, false_pass, false_fail, missing) of reports against a manifest of (label_id, defect, expected)."""
+    got = manifest.select("label_id", "defect", "expected").join(reports.select("label_id", "verdict"), "label_id", "left")
+    wrong = F.col("verdict") != F.col("expected")
+    return got.groupBy("defect", "expected").agg(
+        F.count("*").alias("labels"), F.count_if(F.col("verdict") == F.col("expected")).alias("agreeing"), F.count_if(wrong & (F.col("verdict") == "pass")).alias("false_pass"),
+        F.count_if(wrong & (F.col("verdict") == "fail")).alias("false_fail"), F.count_if(F.col("verdict").isNull()).alias("missing"))
+
+
+def job_id() -> Column:
+    """A random name of 32 hexadecimal digits."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
 def display_status(status: Column, verdict: Column) -> Column:
     """What a list shows: error, else the verdict, else pending."""
     return F.when(status == "error", "error").otherwise(F.coalesce(verdict, F.lit("pending")))
@@ -92,14 +144,15 @@ def display_text(status: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in VERDICT_LABELS.items() for x in kv]), status)
 
 
-def retain(jobs: DataFrame, keep: int = FINISHED_JOBS) -> DataFrame:
-    """Jobs (created_seq, finished) that stay: all that run, and the newest ``keep`` finished ones.
+def retain(jobs: DataFrame, keep: int = FINISHED_JOBS, key: str = "created_seq") -> DataFrame:
+    """Jobs (created_seq, finished) that stay: all that run, and the newest ``keep`` finished ones; ``key`` decides ties.
 
     The cut is a top-k over the finished jobs, so no task gets them all.
     """
-    newest = jobs.where("finished").select(F.col("created_seq").alias("__seq")).orderBy(F.desc("created_seq")).limit(keep)
-    oldest = newest.agg(F.min("__seq").alias("__cut"))
-    return jobs.join(F.broadcast(oldest)).where(~F.col("finished") | (F.col("created_seq") >= F.col("__cut"))).drop("__cut")
+    order = F.struct("created_seq", key)
+    newest = jobs.where("finished").select(order.alias("__at")).orderBy(F.desc("__at")).limit(keep)
+    oldest = newest.agg(F.min("__at").alias("__cut"))
+    return jobs.join(F.broadcast(oldest)).where(~F.col("finished") | (order >= F.col("__cut"))).drop("__cut")  # one row
 
 
 def upload_gate(size: Column, head: Column) -> Column:
@@ -110,8 +163,8 @@ def upload_gate(size: Column, head: Column) -> Column:
             .when(~is_image(head), "The file is not a PNG or JPEG image."))
 
 
-def batch_gate(files: DataFrame) -> DataFrame:
-    """(files, bytes, accepted, problem) of a batch of (length, head)."""
+def batch_gate(files: DataFrame, *by: str) -> DataFrame:
+    """(*by, files, bytes, accepted, problem) of batches of (length, head)."""
     ok = upload_gate(F.col("length"), F.col("head")).isNull()
-    out = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_if(ok).alias("accepted"))
+    out = files.groupBy(*by).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_if(ok).alias("accepted"))
     return out.withColumn("problem", F.when(F.col("files") > BATCH_FILES, "too many files").when(F.col("bytes") > BATCH_BYTES, "too large").when(F.col("accepted") == 0, "no image"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,22 @@ def recover(labels: DataFrame, reads: DataFrame, reference: str) -> DataFrame:
     return joined.withColumn("ocr_lines", F.when(F.col("__lacks") & F.col("best").isNotNull(), F.concat("ocr_lines", turned)).otherwise(F.col("ocr_lines"))).drop("__lacks", "best")
 
 
+def retry(labels: DataFrame, read: Callable[[DataFrame], DataFrame], reference: str) -> DataFrame:
+    """``labels`` after at most three more reads of those whose upright read lacks the reference.
+
+    ``read`` turns (label_id, rotation) rows into (label_id, rotation, lines).  A label is asked for the next rotation
+    only while none held the reference, and the first that does is added to the upright lines.
+    """
+    open_ = labels.where(F.col("ocr_lines").isNotNull() & ~confirms_exactly(F.lit(reference), blob(F.col("ocr_lines")))).select("label_id")
+    hits = None
+    for turn in ROTATIONS:
+        got = read(open_.withColumn("rotation", F.lit(turn))).where((F.col("rotation") == turn) & confirms_exactly(F.lit(reference), blob(F.col("lines"))))
+        got = got.select("label_id", "rotation", "lines")
+        hits = got if hits is None else hits.unionByName(got)
+        open_ = open_.join(got.select("label_id"), "label_id", "left_anti")
+    return recover(labels, hits, reference)
+
+
 def parse_option(text) -> F.Column:
     """0, 90, 180 or 270; null for anything else."""
     return F.when(text.isin("0", *[str(r) for r in ROTATIONS]), text.cast("int"))

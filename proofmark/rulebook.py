@@ -64,10 +64,15 @@ class Rulebook(BaseModel):
         return spark.createDataFrame(rows, "rule_pos int, id string, title string, citation string, beverage_classes array<string>, strategy string, field string, reference string, version string")
 
 
+def texts(folder: str = str(RULES)) -> list[tuple[str, str]]:
+    """(name, text) of the rule files, in the order of their names."""
+    files = sorted(p for p in Path(folder).iterdir() if p.suffix in (".yaml", ".yml"))
+    return [(p.name, p.read_text(encoding="utf-8")) for p in files]
+
+
 @lru_cache(maxsize=4)
 def load(folder: str = str(RULES)) -> Rulebook:
     """Rules in file-name order; an unknown strategy, a missing title or citation, or no rule is an error."""
-    files = sorted(p for p in Path(folder).iterdir() if p.suffix in (".yaml", ".yml"))
-    texts = [p.read_text(encoding="utf-8") for p in files]
-    rules = [r for t in texts for r in (yaml.safe_load(t) or {}).get("rules", [])]
-    return Rulebook(rules=rules, version=hashlib.sha256("".join(texts).encode()).hexdigest()[:12])
+    files = [t for _, t in texts(folder)]
+    rules = [r for t in files for r in (yaml.safe_load(t) or {}).get("rules", [])]
+    return Rulebook(rules=rules, version=hashlib.sha256("".join(files).encode()).hexdigest()[:12])

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import pairing_key
+from ..operators.batch import BATCH_FILES, grid
+from ..rulebook import Rulebook
 
 COLUMNS = ("filename", "brand_name", "class_type", "fanciful_name")
 CSV_BYTES = 5 << 20
+NO_CSV = "The applications file is not a CSV file."
+#: Control characters, and what stands for bytes that are not UTF-8.
+NOT_TEXT = re.compile("[\x00-\x1f\ufffd]")
 
 
 class ApplicationsError(ValueError):
@@ -25,24 +31,30 @@ def parse(data: bytes) -> list[tuple[int, str, str, str, str]]:
     """
     if len(data) > CSV_BYTES:
         raise ApplicationsError("The applications file is larger than 5 MB.")
-    rows = csv.reader(io.StringIO(data.decode("utf-8-sig", errors="replace"), newline=""))
     try:
-        header = [h.strip().lower() for h in next(iter(rows), [])]
-        if not header:
-            return []
-        if any("�" in h or any(ord(c) < 32 for c in h) for h in header):
-            raise ApplicationsError("The applications file is not a CSV file.")
-        if "filename" not in header:
-            raise ApplicationsError("The applications file has no column named filename.")
-        at = {h: i for i, h in enumerate(header)}
-        out = []
-        for pos, row in enumerate(rows):
-            cells = [row[at[c]].strip() if c in at and at[c] < len(row) else "" for c in COLUMNS]
-            if cells[0]:
-                out.append((pos, *cells))
-        return out
+        table = list(csv.reader(io.StringIO(data.decode("utf-8-sig", errors="replace"), newline="")))
     except csv.Error as e:
-        raise ApplicationsError("The applications file is not a CSV file.") from e
+        raise ApplicationsError(NO_CSV) from e
+    if not table or not table[0]:
+        return []
+    places = _places([x.strip().lower() for x in table[0]])
+    found = []
+    for pos, row in enumerate(table[1:]):
+        cell = dict(enumerate(row))
+        values = [cell.get(places.get(c, -1), "").strip() for c in COLUMNS]
+        if values[0]:
+            found.append((pos, *values))
+    return found
+
+
+def _places(names: list[str]) -> dict[str, int]:
+    """Where each header stands, the last of equal ones; an error unless they can be headers of applications."""
+    if NOT_TEXT.search("".join(names)):
+        raise ApplicationsError(NO_CSV)
+    places = dict(zip(names, range(len(names))))
+    if COLUMNS[0] not in places:
+        raise ApplicationsError(f"The applications file has no column named {COLUMNS[0]}.")
+    return places
 
 
 def last_wins(rows: DataFrame) -> DataFrame:
@@ -68,15 +80,18 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
     return last_wins(raw.select("pos", *cells).where("filename <> ''"))
 
 
-def write_grid(grid: DataFrame, path: str) -> None:
-    """One CSV file, in the order of the grid."""
-    grid.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+def write_grid(items: DataFrame, rulebook: Rulebook, path: str) -> None:
+    """The grid of one batch (at most BATCH_FILES items) as one CSV file, in the order of upload."""
+    ordered = items.coalesce(1).sortWithinPartitions("grp", "pos")
+    grid(ordered, rulebook).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def progress_json(counts: DataFrame, items: DataFrame, pairing: DataFrame) -> DataFrame:
-    """One row of JSON: counts, pairing and the items of a batch (at most BATCH_FILES of them) in order."""
-    rows = items.agg(F.array_sort(F.collect_list(F.struct("grp", "pos", "filename", "status", "verdict", "detail"))).alias("items"))
-    shown = F.transform("items", lambda i: F.struct(i["filename"].alias("filename"), i["status"].alias("status"), i["verdict"].alias("verdict"), i["detail"].alias("detail")))
+    """One row of JSON: counts, pairing and the items of a batch in order; more items than a batch may hold are an error."""
+    one = F.struct("grp", "pos", "filename", "status", "verdict", "detail")
+    rows = items.limit(BATCH_FILES + 1).agg(F.array_sort(F.collect_list(one)).alias("items"))
+    whole = F.when(F.size("items") > BATCH_FILES, F.raise_error(F.lit(f"a batch has at most {BATCH_FILES} items"))).otherwise(F.col("items"))
+    shown = F.transform(whole, lambda i: F.struct(i["filename"].alias("filename"), i["status"].alias("status"), i["verdict"].alias("verdict"), i["detail"].alias("detail")))
     keys = ("pass", "needs_review", "fail", "error", "not_evaluable")
     return counts.crossJoin(pairing).crossJoin(rows).select(  # one row each
         F.to_json(F.struct("total", "done", F.struct(*keys).alias("summary"), "csv_rows", "csv_unmatched", shown.alias("items")), {"ignoreNullFields": "false"}).alias("json"))

@@ -25,12 +25,16 @@ class DayCounter(StatefulProcessor):
         self.spent = handle.getValueState("spent", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n = self.spent.get()[0] if self.spent.exists() else 0
-        got = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # a micro-batch of one day
-        room = max(0, self.limit - n)
-        admitted = [i < room for i in range(len(got))]
-        self.spent.update((n + min(room, len(got)),))
-        yield pd.DataFrame({"day": key[0], "event_id": got["event_id"].to_numpy(), "admitted": admitted})
+        room = max(0, self.limit - (self.spent.get()[0] if self.spent.exists() else 0))
+        first = pd.DataFrame({"ts": pd.Series(dtype="datetime64[ns]"), "event_id": pd.Series(dtype="int64")})
+        for part in rows:  # at most ``room`` checks and one piece of the micro-batch are held
+            got = (pd.concat([first, part[["ts", "event_id"]]]) if len(first) else part[["ts", "event_id"]]).sort_values(["ts", "event_id"])
+            first, refused = got.iloc[:room], got.iloc[room:]
+            if len(refused):
+                yield pd.DataFrame({"day": key[0], "event_id": refused["event_id"].to_numpy(), "admitted": False})
+        if len(first):
+            self.spent.update((self.limit - room + len(first),))
+            yield pd.DataFrame({"day": key[0], "event_id": first["event_id"].to_numpy(), "admitted": True})
 
     def close(self) -> None:
         pass
@@ -42,11 +46,16 @@ def admit_stream(checks: DataFrame, limit: Decimal | str) -> DataFrame:
     return days.groupBy("day").transformWithStateInPandas(DayCounter(allowance(limit)), OUTPUT, "Append", "None")
 
 
-def run_once(checks: DataFrame, limit: Decimal | str, checkpoint: str, name: str) -> DataFrame:
-    """Run a bounded stream to its end; the result is a table of that name."""
+def run_once(checks: DataFrame, limit: Decimal | str, folder: str) -> DataFrame:
+    """Run a bounded stream to its end; ``folder`` takes its state and its rows, and is shared by all executors."""
     spark = checks.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    query = (admit_stream(checks, limit).writeStream.format("memory").queryName(name).outputMode("append")
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.table(name)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = (admit_stream(checks, limit).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
+                 .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(OUTPUT).parquet(f"{folder}/rows")

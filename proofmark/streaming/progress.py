@@ -22,7 +22,7 @@ def run_batch(spark: SparkSession, path: str, extract: Callable[[DataFrame], Dat
     def land(files: DataFrame, number: int) -> None:
         rejected = files.where("problem IS NOT NULL").select(F.xxhash64("filename").alias("pos"), "filename", F.col("problem").alias("detail"))
         reports = verify(extract(files.where("problem IS NULL")), rulebook)
-        to_items(reports, rejected).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        to_items(reports, rejected=rejected).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return read_files(spark, path, stream=True).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from proofmark.functions import numeric, similarity, strokes, text
 from proofmark.model import LABEL
-from proofmark.operators import batch, bold, budget, matchers, rotation
+from proofmark import service
+from proofmark.operators import batch, bold, budget, corroborate, gate, matchers, page, rotation
 from proofmark.operators.verify import beverage_class, verify
 from proofmark.rulebook import Rulebook, load
+from proofmark.settings import Settings
 from proofmark.sources import applications, images
 
 REF = load().warning.match.reference
@@ -168,8 +170,8 @@ def test_applications_from_files_and_grid_round_trip(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Filename,Brand_Name\nl0.png,"Old ""Tom"", Inc"\nL0.PNG,last\n')
     got = applications.from_files(spark, str(tmp_path / "a.csv")).collect()
     assert [(r["key"], r["brand_name"]) for r in got] == [("l0.png", "last")]
-    items = batch.to_items(verify(spark.createDataFrame([label(0), label(1, warning=None)], LABEL), load()), spark.createDataFrame([(0, "=x", "The file is empty.")], "pos int, filename string, detail string"))
-    applications.write_grid(batch.grid(items, load()), str(tmp_path / "out"))
+    items = batch.to_items(verify(spark.createDataFrame([label(0), label(1, warning=None)], LABEL), load()), rejected=spark.createDataFrame([(0, "=x", "The file is empty.")], "pos int, filename string, detail string"))
+    applications.write_grid(items, load(), str(tmp_path / "out"))
     lines = next((tmp_path / "out").glob("*.csv")).read_text().splitlines()
     assert lines[0].startswith("filename,status,verdict,detail,health_warning_verbatim") and lines[3].startswith("'=x,error,,The file is empty.,,")
     counts = batch.summary(items).first()
@@ -218,18 +220,46 @@ def bars(widths, height=24, gap=12):
     return np.hstack(out)
 
 
-def test_stroke_measure_and_bands():
+def decided(spark, beside, *measures):
+    kind = "struct<beside:boolean,m:array<struct<stroke:double,cap:double>>>"
+    row = spark.createDataFrame([((beside, [m and (m.stroke, m.cap) if not isinstance(m, tuple) else m for m in measures]),)], f"x {kind}")
+    got = row.select(bold.decide(F.col("x.beside"), F.col("x.m")).alias("d")).first()["d"]
+    return got["verdict"], got["ratio"]
+
+
+def test_stroke_measure_and_bands(spark):
     thin, thick = strokes.measure(bars([4] * 6)), strokes.measure(bars([8] * 6))
     assert thin.cap == thick.cap == 24 and thick.stroke / thin.stroke > 1.5
-    assert strokes.same_line(bars([8] * 6), bars([4] * 6))[0] == "bold_ok"
-    assert strokes.same_line(bars([4] * 6), bars([8] * 6))[0] == "not_bold"
-    assert strokes.same_line(bars([5] * 6), bars([5] * 6))[0] == "review"
-    assert strokes.same_line(bars([8] * 6, 10), bars([4] * 6, 10))[0] == "review"
+    assert decided(spark, True, thick, thin)[0] == "bold_ok" and decided(spark, True, thin, thick)[0] == "not_bold" and decided(spark, True, thin, thin)[0] == "review"
+    assert decided(spark, True, strokes.measure(bars([8] * 6, 10)), strokes.measure(bars([4] * 6, 10)))[0] == "review"
+    assert decided(spark, True, None, thin) == ("review", None) and decided(spark, True, (0.5, 30.0), (1.0, 20.0))[0] == "review"  # sizes too far apart
+    for ratio, verdict in ((1.30, "bold_ok"), (1.2, "review"), (1.0, "review"), (0.90, "not_bold")):
+        assert decided(spark, True, (ratio, 20.0), (1.0, 20.0))[0] == verdict
     assert strokes.measure(np.full((3, 50), 255, np.uint8)) is None
     parts, n = strokes.label(np.array([[1, 0, 1], [0, 1, 0], [0, 0, 0]], bool))
     assert n == 1
 
 
+def test_other_lines_clear_only(spark):
+    assert decided(spark, False, (2.0, 20.0), (1.0, 20.0), (1.0, 20.0)) == ("bold_ok", 2.0)
+    assert decided(spark, False, (1.0, 20.0), (1.0, 20.0), None, (2.0, 20.0), (4.0, 20.0))[0] == "review"
+    assert decided(spark, False, (2.0, 20.0), (1.0, 20.0)) == ("review", None) and decided(spark, False, (2.0, 13.0), (1.0, 20.0), (1.0, 20.0)) == ("review", None)
+    assert decided(spark, False, (6.0, 20.0), (1.0, 20.0), (2.0, 20.0), (3.0, 20.0), (6.0, 20.0))[1] == 2.5  # the median of 6, 3, 2, 1
+
+
+def test_layout(spark):
+    at = lambda x, y, w: [(float(p), float(q)) for p, q in ((x, y), (x + w, y), (x + w, y + 32.9), (x, y + 32.9))]
+    head, body = (3, "GOVERNMENT WARNING:", 0.9, at(10.7, 5, 200), 0), [(i, t, 0.9, at(0, 60 * i, 100), r) for i, t, r in ((4, "women should not drink", 0), (5, "brewed and bottled", 0), (6, "birth defects", 90), (7, "birth defects", 0))]
+    beside = (3, "GOVERNMENT WARNING: (1) women should", 0.9, at(10, 5, 360), 0)
+    cases = [[head, *body], [beside], [], [(0, "GOVERNMENT WARNING:", 0.9, None, 0)], [head[:4] + (90,)], [(0, "GOVERNMENT WARN ING: women should", 0.9, at(0, 0, 300), 0)], [beside[:3] + (at(10, 5, 12), 0)], [(9, "GOVERNMENT WARNING:", 0.9, at(0, 0, 50), 0), head]]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, lines " + LABEL["ocr_lines"].dataType.simpleString())
+    got = [r["at"] for r in rows.select("i", bold.layout(F.col("lines")).alias("at")).orderBy("i").collect()]
+    assert [tuple(r) for r in got[0]["rectangles"]] == [(10, 5, 210, 37), (0, 240, 100, 272), (0, 420, 100, 452)] and not got[0]["beside"]
+    assert [tuple(r) for r in got[1]["rectangles"]] == [(10, 5, 190, 37), (190, 5, 370, 37)] and got[1]["beside"]
+    assert got[2] is None and got[3] is None and got[4] is None and got[5] is None and got[6]["rectangles"] is None
+    assert got[7]["rectangles"][0]["x0"] == 10  # the first in order
+
+
 def test_bold_end_to_end(spark, tmp_path):
     head, body = bars([8] * 10), bars([4] * 20)
     for name, raster in (("l0.png", np.hstack([head, body])), ("l1.png", np.hstack([body[:, : head.shape[1]], head, head])), ("l2.png", np.full((40, 400), 255, np.uint8))):
@@ -252,25 +282,214 @@ def test_bold_end_to_end(spark, tmp_path):
         images.replay(rasters.where("image.width > 0"), keyed.limit(1))
 
 
-def test_cross_line_clears_only():
-    head, body = bars([9] * 8), bars([4] * 12)
-    page = np.full((200, max(head.shape[1], body.shape[1])), 255, np.uint8)
-    page[:32, : head.shape[1]], page[60:92, : body.shape[1]], page[120:152, : body.shape[1]] = head, body, body
-    at = lambda x, y, w: [{"x": float(p), "y": float(q)} for p, q in ((x, y), (x + w, y), (x + w, y + 32), (x, y + 32))]
-    lines = [{"text": "GOVERNMENT WARNING:", "box": at(0, 0, head.shape[1]), "rotation": 0}, {"text": "women should not drink", "box": at(0, 60, body.shape[1]), "rotation": 0}, {"text": "birth defects", "box": at(0, 120, body.shape[1]), "rotation": 0}]
-    assert strokes.judge(page, lines)[0] == "bold_ok"
-    assert strokes.judge(page, lines[:2])[0] == "review"
-    assert strokes.judge(page, [lines[0] | {"rotation": 90}, *lines[1:]])[0] == "review"
+def jpeg(width, height, orientation=None, order="<"):
+    """The segments of a JPEG file up to its frame header."""
+    exif = b""
+    if orientation:
+        tiff = (b"II" if order == "<" else b"MM") + struct.pack(f"{order}HIH", 42, 8, 2) + struct.pack(f"{order}HHIHH", 0x010F, 3, 1, 7, 0) + struct.pack(f"{order}HHIHH", 0x0112, 3, 1, orientation, 0)
+        exif = b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe0\0\x04AB" + exif + b"\xff\xdb\0\x03A\xff\xc2\0\x0b\x08" + struct.pack(">HH", height, width) + b"\x01\x01\x11\0"
 
 
 def test_header_gate_reads_size_without_decoding(spark):
     huge = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", 30_000, 20_000)
-    rows = spark.createDataFrame([(bytearray(huge), 40), (bytearray(png(np.zeros((20, 30), np.uint8))), 90), (bytearray(b""), 0)], "content binary, length long")
-    got = rows.select(images.problem(F.col("length"), F.col("content")).alias("p"), images.png_size(F.col("content"))["width"].alias("w")).collect()
-    assert [r["p"] for r in got] == ["The image has too many pixels.", None, "The file is empty."] and got[1]["w"] == 30
+    files = [(huge, "The image has too many pixels.", 30_000, 1), (png(np.zeros((20, 30), np.uint8)), None, 30, 1), (b"", "The file is empty.", None, None), (jpeg(400, 300), None, 400, 1), (jpeg(30_000, 20_000), "The image has too many pixels.", 30_000, 1),
+             (jpeg(400, 300, 6), None, 400, 6), (jpeg(400, 300, 8, ">"), None, 400, 8), (jpeg(400, 300, 99), None, 400, 1), (b"\xff\xd8\xff\xda\0\x04AB", "The image cannot be read.", None, None), (b"\xff\xd8\xff", "The image cannot be read.", None, None), (b"GIF89a", "The file is not a PNG or JPEG image.", None, None)]
+    rows = spark.createDataFrame([(i, bytearray(c)) for i, (c, *_) in enumerate(files)], "i int, content binary").withColumn("facts", images.image_facts(F.col("content")))
+    got = rows.select("i", images.problem(F.length("content"), F.col("content"), F.col("facts")).alias("p"), "facts").orderBy("i").collect()
+    assert [(r["p"], r["facts"] and r["facts"]["width"], r["facts"] and r["facts"]["orientation"]) for r in got] == [tuple(f[1:]) for f in files]
+
+
+def test_only_accepted_files_are_decoded(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "sp ace%20é.png").write_bytes(png(np.arange(60, dtype=np.uint8).reshape(6, 10)))
+    assert [(r["key"], r["image"]["width"]) for r in images.read_rasters(spark, str(tmp_path / "in")).collect()] == [("sp ace%20é.png", 10)]
+    (tmp_path / "in" / "bomb.png").write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", 30_000, 20_000))
+    (tmp_path / "in" / "bomb.jpg").write_bytes(jpeg(30_000, 20_000))
+    rasters = images.read_rasters(spark, str(tmp_path / "in"))
+    assert [(r["key"], r["image"]["height"]) for r in rasters.collect()] == [("sp ace%20é.png", 6)]
+    assert not any("/in/" in r["image"]["origin"] for r in rasters.collect())
+
+
+def test_orientation_and_turns(spark):
+    grid = np.arange(6, dtype=np.uint8).reshape(2, 3)
+    seen = {1: grid, 2: grid[:, ::-1], 3: grid[::-1, ::-1], 4: grid[::-1], 5: grid.T, 6: np.rot90(grid, -1), 7: grid[::-1, ::-1].T, 8: np.rot90(grid)}
+    assert all(np.array_equal(images.orient(grid, k), v) for k, v in seen.items())
+    rows = spark.createDataFrame([(k, ("", 2, 3, 1, 0, bytearray(grid.tobytes()))) for k in range(1, 10)], "k long, image " + images.IMAGE.simpleString())
+    got = {r["k"]: np.frombuffer(r["i"]["data"], np.uint8).reshape(r["i"]["height"], r["i"]["width"]) for r in rows.select("k", images.upright(F.col("image"), F.col("k")).alias("i")).collect()}
+    assert all(np.array_equal(got[k], v) for k, v in seen.items()) and np.array_equal(got[9], grid)
+    for clockwise in (90, 180, 270):
+        turned = images.turn(rows.where("k = 1"), F.lit(clockwise)).first()["image"]
+        assert np.array_equal(np.frombuffer(turned["data"], np.uint8).reshape(turned["height"], turned["width"]), images.rotate(grid, clockwise))
+
+
+def test_vision_copy(spark, tmp_path):
+    wide = np.zeros((100, 4000), np.uint8)
+    wide[:, 2000:] = 200
+    (tmp_path / "a.png").write_bytes(png(wide))
+    small = images.read_rasters(spark, str(tmp_path)).select(images.vision_copy(F.col("image")).alias("c")).first()["c"]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "c.png").write_bytes(small)
+    back = images.read_rasters(spark, str(tmp_path / "b")).first()["image"]
+    x = np.frombuffer(back["data"], np.uint8).reshape(back["height"], back["width"], -1)
+    assert back["width"] == images.VISION_EDGE and back["height"] == 39 and x[5, 100, 0] == 0 and x[5, -100, 0] == 200
 
 
 def test_plans_stay_in_one_stage(spark):
     rows = spark.createDataFrame([label(0)], LABEL)
     plan = verify(rows, load(), unicode=False)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_gate_decides_like_the_score():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(400):
+        blob = "".join(rng.choice("abcd") for _ in range(rng.randrange(40)))
+        quote = "".join(rng.choice("abcdxyz"[: rng.choice((4, 7))]) for _ in range(rng.randrange(30)))
+        if rng.random() < 0.5 and blob:
+            at = rng.randrange(len(blob))
+            quote = "".join(c for c in blob[at : at + 20] if rng.random() < 0.8)
+        n, m = sorted((quote, blob), key=len)
+        windows = [w for a, b in ([(n, m)] if len(n) < len(m) else [(n, m), (m, n)]) for w in [(a, b[max(0, i) : max(0, min(len(b), i + len(a)))]) for i in range(1 - len(a), len(b))]]
+        plain = 0.0 if not quote or not blob else similarity.ratio(quote, blob) if len(quote) > len(blob) else max(similarity.ratio(*w) for w in windows)
+        assert similarity.support(quote, blob) == pytest.approx(plain / 100)
+        for floor in (0.3, 0.6, 0.9):
+            assert similarity.supports(quote, blob, floor) == (plain / 100 >= floor)
+
+
+def test_gate_fires_on_the_surface(spark):
+    from proofmark.plans.queries import QUERIES
+
+    from .conftest import SF
+
+    held = QUERIES["verify_findings"](spark, SF).where("held").groupBy("rule_id").count().collect()
+    assert len(held) == 4 and all(r["verdict"] == "needs_review" for r in QUERIES["verify_findings"](spark, SF).where("held").collect())
+
+
+def test_word_edits_name_what_changed():
+    diff = lambda a, b: [tuple(d.values()) for d in similarity.word_diff(a, b)]
+    assert diff("a b c", "A B C") == [] and diff("a b c", "a c") == [("delete", "b", "")] and diff("a c", "a x y c") == [("insert", "", "x y")]
+    assert diff("a b c d", "x b c y z") == [("replace", "a", "x"), ("replace", "d", "y z")] and diff("", "a") == [("insert", "", "a")] and diff("a", "") == [("delete", "a", "")]
+
+
+def test_repair_and_transliteration():
+    twice = "Rémy".encode().decode("latin-1").encode().decode("latin-1")
+    assert text.repair("RÃ©my") == "Rémy" and text.repair(twice) == "Rémy" and text.repair("Rémy") == "Rémy" and text.repair("plain") == "plain"
+    cases = {"Éß Øre": "Ess Ore", "Столичная": "Stolichnaya", "Щука": "Shchuka", "Μεταξά": "Metaxa", "サケ": "sake", "소주": "soju", "Œuf": "Oeuf", "İç": "Ic", "漢": "漢"}
+    assert {k: text.transliterate(k) for k in cases} == cases and text.latin_name("ｻｹ  x-\n y") == "sake xy"
+
+
+def test_rule_map_and_pairing_counts(spark):
+    row = spark.createDataFrame([label(0)], LABEL)
+    got = verify(row, load()).select(batch.rule_map(F.col("findings")).alias("m")).first()["m"]
+    assert set(got) == {r.id for r in load().rules} and got["health_warning_bold"] == "not_evaluable"
+    names = spark.createDataFrame([("a.png",), ("x/A.PNG",), ("b.png",)], "filename string")
+    filed = spark.createDataFrame([("a.png",), ("c.png",)], "key string")
+    assert tuple(batch.pairing_counts(names, filed).first()) == (2, 1)
+    assert tuple(batch.pairing_gate(names, filed).first()) == (2, 1, None)
+    assert batch.pairing_gate(names, filed.where("key = 'c.png'")).first()["problem"] and batch.pairing_gate(names, filed.where("false")).first()["matched"] == 0
+
+
+def test_batch_gate(spark):
+    good, bad = bytearray(b"\x89PNG\r\n\x1a\n"), bytearray(b"text")
+    files = lambda *rows: batch.batch_gate(spark.createDataFrame(list(rows), "length long, head binary")).first()["problem"]
+    assert files((9, good), (9, bad)) is None and files((9, bad), (0, bytearray())) == "no image"
+    assert files(*[(5 << 20, good)] * 321) == "too large" and files(*[(9, good)] * 1001) == "too many files"
+
+
+def test_one_failure_does_not_end_a_batch(spark):
+    rows = spark.createDataFrame([label(0), label(1), label(2)], LABEL)
+    rows = rows.withColumns({"reader_error": F.when(F.col("label_id") == 1, "The reader gave no answer."), "failed": F.col("label_id") == 2})
+    filed = spark.createDataFrame([("l0.png", "l0.png", "Old Tom", "", "")], "key string, filename string, brand_name string, class_type string, fanciful_name string")
+    got = {r["pos"]: (r["status"], r["verdict"], r["detail"]) for r in service.check_batch(rows, filed, load(), Settings()).collect()}
+    assert got[0][:2] == ("done", "pass") and got[1] == ("error", None, "The reader gave no answer.") and got[2] == ("error", None, batch.FAILED)
+
+
+def test_retry_asks_only_while_nothing_is_found(spark):
+    asked = []
+    rows = spark.createDataFrame([label(i, lines=[(0, "upright only", 0.9, None, 0)]) for i in range(4)] + [label(4)], LABEL)
+
+    def read(df):
+        asked.append(sorted(tuple(r) for r in df.collect()))
+        line = F.struct(F.lit(0).alias("pos"), F.when(F.col("rotation") >= F.col("label_id") * 90, F.lit(REF)).otherwise("noise").alias("text"), F.lit(0.9).alias("confidence"), F.lit(None).alias("box"), F.lit(0).alias("rotation"))
+        return df.where("label_id > 0").select("label_id", "rotation", F.array(line).cast(LABEL["ocr_lines"].dataType).alias("lines"))
+
+    got = {r["label_id"]: [x["rotation"] for x in r["ocr_lines"]] for r in rotation.retry(rows, read, REF).collect()}
+    assert got == {0: [0], 1: [0, 90], 2: [0, 180], 3: [0, 270], 4: [0, 0, 0]}
+    assert [len(a) for a in asked] == [4, 3, 2] and asked[2] == [(0, 270), (3, 270)]
+
+
+def test_pages_escape_and_read_back(spark):
+    reports = verify(spark.createDataFrame([label(0, brand="<b>&'\"", filed="x"), label(1, warning=REF.replace("birth defects", "<i> effects"))], LABEL), load())
+    pages = [r[0] for r in reports.orderBy("label_id").select(page.render(F.col("verdict"), F.col("findings"), F.col("fields"), F.lit(1234.5))).collect()]
+    assert "<b>&'" not in pages[0] and "&lt;b&gt;&amp;&#39;&quot;" in pages[0] and "<del>birth defects.</del> became <ins>&lt;i&gt; effects.</ins>" in pages[1]
+    back = spark.createDataFrame([(p,) for p in pages], "p string").select(page.read_verdict(F.col("p")).alias("v"), page.read_seconds(F.col("p")).alias("s"), page.read_findings(F.col("p")).alias("f")).collect()
+    assert [r["v"] for r in back] == [r["verdict"] for r in reports.orderBy("label_id").collect()] and back[0]["s"] == 1234.5 and [f["rule_id"] for f in back[0]["f"]] == [r.id for r in load().rules]
+
+
+def test_settings_pools_and_phases(spark):
+    assert Settings.of(spark) == Settings()
+    spark.conf.set("spark.proofmark.daily_limit", "0.02")
+    try:
+        assert Settings.of(spark).daily_limit == Decimal("0.02")
+        spark.conf.set("spark.proofmark.daily_limit", "-1")
+        with pytest.raises(ValueError):
+            Settings.of(spark)
+    finally:
+        spark.conf.unset("spark.proofmark.daily_limit")
+    with service.pool(spark, service.BATCH):
+        assert spark.sparkContext.getLocalProperty(service.POOL) == "batch"
+    assert spark.sparkContext.getLocalProperty(service.POOL) is None
+    phases = service.Phases()
+    with phases.phase("read"):
+        pass
+    assert phases.line().startswith("check total=") and " read=" in phases.line()
+    ids = [r[0] for r in spark.range(2).select(batch.job_id()).collect()]
+    assert len(set(ids)) == 2 and all(len(i) == 32 and int(i, 16) >= 0 for i in ids)
+    assert service.check_label(spark.createDataFrame([label(0)], LABEL), load()).first()["verdict"] == "pass"
+
+
+def test_health_and_progress_cap(spark):
+    assert applications.health(spark, "v", 4, True, True).first()["status"] == "ok"
+    items = spark.range(batch.BATCH_FILES + 1).select(F.lit(0).alias("grp"), F.col("id").alias("pos"), F.lit("f").alias("filename"), F.lit("done").alias("status"), F.lit("pass").alias("verdict"), F.lit("").alias("detail"))
+    pairing = spark.createDataFrame([(1, 0)], "csv_rows int, csv_unmatched int")
+    with pytest.raises(Exception, match="at most 1000"):
+        applications.progress_json(batch.summary(items), items, pairing).collect()
+
+
+def test_ties_at_the_cut_keep_no_more(spark):
+    jobs = spark.createDataFrame([(i // 10, i, True) for i in range(200)], "created_seq long, job long, finished boolean")
+    assert sorted(r["job"] for r in batch.retain(jobs, key="job").collect()) == list(range(150, 200))
+
+
+def test_containment_equals_a_plain_search(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    base = "".join(rng.choice("abc ") for _ in range(3000))
+    refs = [base[i : i + n] for i, n in ((0, 1), (5, 9), (100, 16), (200, 17), (300, 400), (2900, 100))] + ["", None, "not there at all", base[300:700], "abcabcabcabcabcabcq"]
+    texts = [base, base[:500], None, "", base[250:720].upper(), base[150:350]]
+    squash = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+    expected = sorted((i, j) for i, t in enumerate(texts) for j, r in enumerate(refs) if squash(r) and squash(r) in squash(t))
+    a, b = spark.createDataFrame(list(enumerate(texts)), "k long, text string"), spark.createDataFrame(list(enumerate(refs)), "r int, text string")
+    assert sorted(tuple(x) for x in corroborate.contained(a, b, "k", "r").collect()) == expected
+    monkeypatch.setattr(corroborate, "BLOCK_BYTES", 300)
+    assert sorted(tuple(x) for x in corroborate.contained(a, b, "k", "r").collect()) == expected
+    assert corroborate.contained(a, b.where("false"), "k", "r").count() == 0 and corroborate.contained(a.where("false"), b, "k", "r").count() == 0
+
+
+def test_storage_needs_a_shared_folder_off_local_masters(spark, monkeypatch):
+    from proofmark import storage
+
+    with storage.scope(spark):
+        folder = storage.shared_dir(spark)
+        assert storage.materialize(spark.range(3), folder, "t").count() == 3 and storage.table_bytes(spark.range(3)) == 96
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(f"{folder}/t").count()
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"master": "spark://x"})
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        storage.shared_dir(Cluster)

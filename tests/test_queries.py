@@ -16,11 +16,6 @@ def test_rows_equal_sql(spark, duck, same_rows, name):
     same_rows(QUERIES[name](spark, SF), duck.sql(ORACLES[name]))
 
 
-def test_field_support_scores_match_the_definition(spark):
-    rows = QUERIES["field_support_scores"](spark, SF).collect()
-    assert rows and all(r["support"] is None or 0 <= r["support"] <= 1 for r in rows)
-
-
 def test_field_support_compares_whole_texts(spark):
     squashed = lambda t: re.sub("[^a-z0-9]", "", (t or "").lower().replace("ß", "ss"))
     lines = defaultdict(list)

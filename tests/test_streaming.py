@@ -16,7 +16,7 @@ def test_budget_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "ts")
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    got = run_once(stream, Decimal("0.10"), str(tmp_path / "state"), "budget_out")
+    got = run_once(stream, Decimal("0.10"), f"file://{tmp_path}/out")
     expected = admit(events, Decimal("0.10"))
     assert got.count() == events.count()
     assert got.where("admitted").groupBy("day").count().orderBy("day").collect() == expected.where("admitted").groupBy(F.col("day").cast("string").alias("day")).count().orderBy("day").collect()
