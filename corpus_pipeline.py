@@ -1,7 +1,11 @@
 """Documents to a training mixture in five stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last
-return the columns of documents, the last adds what the mix takes.
+return the columns of documents as they came, the last adds what the mix takes.
+
+Defined results, for every stage: extra columns pass through whatever their names (but for those the last one makes);
+rows that repeat an id and a text share one fate; an empty table stays empty; texts of any length are read whole.  What nulls and
+empty texts give is said with each stage.
 """
 
 from __future__ import annotations
@@ -10,37 +14,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmark.llm import decontam, jaccard, langid, mixing, secrets
-from proofmark.llm.common import materialize, shared_dir
-
-#: Only a text in which no language reaches this share is rejected, and one without a letter: a short text with a
-#: license line in another language is clean.
-LEAST_SHARE = 0.2
+from proofmark.llm.common import materialize, remove, scope, shared_dir, spread
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language: models are learned from all labelled rows, rejected rows go."""
-    model = langid.learn(docs.select("text", "lang"))
-    found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    """Keep documents in a language: models are learned from all labelled rows.
+
+    A document goes if it has no letter (null and empty texts, too), or if its best mixture explains its letters
+    worse than chance, as in an unlearned language or in junk.  Without any label nothing is learned and all go.
+    Null ids and sources are no matter.
+    """
+    return langid.keep_known(docs, langid.learn(docs.select("text", "lang")))
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of exact and near copies."""
-    return jaccard.deduplicate(docs).select(*docs.columns)
+    """Keep the document of the smallest id of each group of exact and near copies.
+
+    Null and empty texts are in no group and stay; of a group's rows those without an id go if any has one.
+    """
+    return jaccard.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item or a paraphrase of one."""
+    """Drop documents that hold a benchmark item or a paraphrase of one; null and empty texts hold none and stay."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep every document; secrets in it become a mark."""
+    """Keep every document; secrets in it become a mark, and n_chars follows.  Null texts stay null."""
     return secrets.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target, taken and repeats."""
+    """The documents that the mix takes, with size, source_size, target, taken and repeats.
+
+    A null source is a source of its own; documents without words are not taken; ties of a hash bin are taken together.
+    """
     mixed = mixing.mix(docs)
     return mixed.where("taken > 0").withColumn("repeats", (F.col("taken") / F.col("size")).cast("int"))
 
@@ -58,8 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     folder = shared_dir(spark)
     for i, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), folder, f"stage{i}")
+        with scope(spark):  # what an operator wrote on its way goes with it
+            docs = materialize(stage(spark, docs, sf_dir), folder, f"stage{i}")
+        if i:
+            remove(spark, f"{folder}/stage{i - 1}")
     return docs
