@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: shared storage, checked broadcasts, vectorised words.
+"""Helpers shared by the operators: carried columns, joins that split hot keys, packed shuffles, vectorised words.
 
 Words are the runs of ``[^\\x20\\x09-\\x0D]`` in the UTF-8 bytes of a text.  They are hashed
 to 64 bits with a polynomial over random byte values, evaluated with prefix sums, so a whole
@@ -7,40 +7,88 @@ chunk of documents is tokenised and hashed by a few numpy passes and no Python l
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..storage import BROADCAST_BYTES, materialize, remove, scope, shared_dir, small, spread, table_bytes  # noqa: F401
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass handles; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 19
-#: Rows up to which a keyed side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Keys that a join sends to every task: no more can hold a thousandth of all rows each.
+HOT_KEYS = 1000
+
+
+# ---------------------------------------------------------------- caller's columns and joins
+
+def carried(docs: DataFrame, *columns) -> DataFrame:
+    """``docs`` as one struct column ``row`` beside the given columns: no name of a caller's can clash with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def unpacked_row(rows: DataFrame, columns: list[str], **made) -> list:
+    """The carried columns again; ``made`` replaces some of them."""
+    return [made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in columns]
 
 
-# ---------------------------------------------------------------- storage
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table of one row a key; ``left`` should be cheap to read twice, and no key may be null.
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only if that is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='proofmark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/proofmark-{uuid.uuid4().hex}"
+    A small table is broadcast.  Otherwise keys that hold over a thousandth of the rows, which can be no more than a
+    thousand, are joined by broadcast and the rest by a shuffle, so that no key meets in one task.
+    """
+    if table_bytes(right) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), keys, how)
+    counts = left.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total = left.count()
+    hot = counts.where(F.col("__n") > max(total // HOT_KEYS, 1)).select(*keys)
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    few = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return few.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+
+
+# ---------------------------------------------------------------- packed shuffles
 
+#: Bytes of packed rows that a task may get.
+TASK_BYTES = 64 << 20
 
-def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    gc.collect()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def by_bucket(rows: DataFrame, size: int = 0) -> DataFrame:
+    """Rows of (bucket, ...) with each bucket in one task, bucket after bucket; ``size`` estimates their bytes.
+
+    The number of tasks follows the size where the session's number of shuffle partitions would give larger ones.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-size // TASK_BYTES)
+    dealt = rows.repartition(wanted, "bucket") if wanted > parts else rows.repartition("bucket")
+    return dealt.sortWithinPartitions("bucket")
+
+
+def bucket_count(spark, size: int = 0) -> int:
+    """Buckets for packed rows of about so many bytes: many a task, so that one is a small part of it."""
+    return 16 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+def buckets(batches) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(bucket, its other columns) of sorted (bucket, ...) rows, one bucket in memory at a time."""
+    now, held = None, None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns):
+            if row[0] != now:
+                if now is not None:
+                    yield now, held
+                now, held = row[0], [[] for _ in row[1:]]
+            for h, x in zip(held, row[1:]):
+                h.append(x)
+    if now is not None:
+        yield now, held
 
 
 # ---------------------------------------------------------------- words

@@ -5,25 +5,27 @@ Documents are sets of hashed word shingles.  Equal sets are one node from the st
 1.  A prefix filter drops sets that cannot have a partner: of the ``n - ceil(t n) + 1 + x`` smallest
     hashes of a set with a partner, ``x + 1`` belong to another set too.
 2.  The universe of shingles is hashed into ``m`` segments, by size band.  Sets of a band pair that reach the
-    threshold differ in at most H elements, so they agree on at least ``m - H`` segments.  The
-    subset of a set in a segment, hashed, is a signature.  Very small sets (H <= 1) are one segment
-    with its one-deletion neighbourhood; ``allocate`` picks by estimated cost.
-3.  Empty subsets, and signatures of more than ``POPULAR`` sets, are left out at first: both sets of a pair agree
-    on what is left out, so a pair can only be lost if both sets leave out more than the slack
-    ``m - H - 1``.  Sets with too many empty subsets are partitioned again by another seed (the last
-    seed keeps the empty ones); sets that leave out too many popular ones keep those.
+    threshold differ in at most H elements.  Either they agree on at least ``m - H`` segments, and the
+    subset of a set in a segment, hashed, is a signature; or they differ by at most one element in ``m - H // 2`` segments, and
+    the subset with its one-deletion neighbourhood gives the signatures.  ``allocate`` estimates
+    the signatures and the false candidates of both, for several m, and takes the cheaper one for each band.
+3.  Thin subsets (empty; of one element, where one is deleted), and signatures of more than ``POPULAR`` sets, are left out at first: both sets of a pair agree
+    on what is left out, so a pair can only be lost if both sets leave out more than the slack,
+    the segments they agree on beyond one.  Sets with too many thin subsets are partitioned again by another seed (the last
+    seed keeps the thin ones); sets that leave out too many popular ones keep those.
 4.  Pairs that agree on enough signatures, and stars over the popular groups of the latter sets, form candidate clusters.
     Clusters of up to ``CLUSTER`` sets are verified in one task each, all pairs not yet connected.
-    Larger ones are compared with a few pivots; what the pivots leave outside the main component is
-    compared with every member, in blocks.  So no link between different texts is lost.
+    Larger ones are compared with a few pivots; what the pivots leave outside the main component meets others
+    through an index inside the cluster (``large_links``).  So no link between different texts is lost.
 
-Shuffles carry packed hashes, not texts; equal sets, popular signatures and large clusters are all
-split or collapsed before they meet in a task.  Hashes have 64 bits.
+Shuffles carry packed hashes, not texts, and their tasks hold one bucket at a time; equal sets, popular signatures and large clusters are all
+split or collapsed before they meet in a task, and joins on labels split hot ones.  Hashes have 64 bits.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing, not
 even each other; texts of fewer than ``k`` words are one shingle; a null doc_id is a component of
-its own or joins as the largest id; repeated rows get one result each; an empty table gives no rows; extra
-columns pass through ``deduplicate``.
+its own or joins as the largest id; repeated rows get one result each; an empty table gives no rows.  ``deduplicate``
+keeps rows of the smallest id of a component, told apart by id and text checksum, so a row is dropped for its own text only;
+linked rows without an id go if any of their component has one.  Its extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, chunks, gram_hashes, hash_words, materialize, mix64, shared_dir, text_bytes
+from .common import bucket_count, buckets, by_bucket, carried, chunks, gram_hashes, hash_words, join_unique, materialize, mix64, remove, shared_dir, small, spread, text_bytes
 
 K = 5
 POPULAR = 8
 CLUSTER = 256
 PIVOTS = 8
+#: Members of a large cluster that meet its pivots in one task.
+SALTED = 4096
 SEEDS = 4
 NUM, DEN = 3, 4  # the threshold, as a fraction
 _NULL_ID = np.iinfo(np.int64).max
@@ -68,17 +72,17 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def describe_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id); set_id is null for an empty set."""
-    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("set_id", "long")
+    """(doc_id, check, n_shingles, set_id) of (doc_id, check, text); set_id is null for an empty set."""
+    schema = docs.select("doc_id", "check").schema.add("n_shingles", "long").add("set_id", "long")
 
     def run(batches):
         for batch in batches:
             n, ids, ok = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
-            for i, s in shingle_sets(batch, 1, k):
+            for i, s in shingle_sets(batch, 2, k):
                 n[i], ids[i], ok[i] = len(s), set_id(s), True
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids, mask=~ok)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(ids, mask=~ok)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "check", "text").mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- packed shuffles
@@ -92,14 +96,6 @@ def packed(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(sorted_[cut].astype(np.int32)), pa.array([x.tobytes() for x in np.split(rows, cut[1:])], pa.binary())], names=["bucket", "rows"])
 
 
-def unpacked(batches, kind: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), kind)
-
-
-def _buckets(spark) -> int:
-    return 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # ---------------------------------------------------------------- prefix filter
 
 PREFIX = np.dtype([("token", "<u4"), ("set", "<i8")])
@@ -110,7 +106,30 @@ def extra(n):
     return n // 20
 
 
-def emit_prefixes(buckets: int, k: int):
+def in_groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: the size of each row's group, and the row's place in it."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[first, len(key)])
+    return np.repeat(n, n), np.arange(len(key)) - np.repeat(first, n)
+
+
+def send(bucket: np.ndarray, rows: np.ndarray, known: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """(bucket, rows, known): rows to group, and rows that are known without it, dealt out by set."""
+    parts: dict[int, list[bytes]] = {}
+    for i, (of, what) in enumerate(((bucket, rows), ((mix64(known["set"].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int32), known))):
+        batch = packed(of, what) if len(what) else None
+        for b, blob in zip(*(c.to_pylist() for c in batch.columns)) if batch else ():
+            parts.setdefault(b, [b"", b""])[i] = blob
+    cols = list(zip(*[(b, *x) for b, x in sorted(parts.items())])) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "rows", "known"])
+
+
+SENT = "bucket int, rows binary, known binary"
+COUNTED = np.dtype([("set", "<i8"), ("n", "<i4")])
+
+
+def emit_prefixes(n_buckets: int, k: int):
+    """Prefix tokens, at most two rows a token and batch: of more sets the rest know already that they share it."""
     def run(batches):
         for batch in batches:
             tokens, sets = [], []
@@ -119,30 +138,33 @@ def emit_prefixes(buckets: int, k: int):
                 tokens.append(s[: n - -(-NUM * n // DEN) + 1 + extra(n)])
                 sets.append(np.full(len(tokens[-1]), set_id(s), np.int64))
             if tokens:
-                t = np.concatenate(tokens)
-                rows = np.empty(len(t), PREFIX)
-                low = mix64(t)
-                rows["token"], rows["set"] = low & np.uint64(0xFFFFFFFF), np.concatenate(sets)
-                yield packed(((low >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), rows)
+                low, sets = mix64(np.concatenate(tokens)), np.concatenate(sets)
+                order = np.lexsort((sets, low))
+                low, sets = low[order], sets[order]
+                new = np.r_[True, (low[1:] != low[:-1]) | (sets[1:] != sets[:-1])]
+                low, sets = low[new], sets[new]
+                _, place = in_groups(low)
+                sent = place < 2
+                u, n = np.unique(sets[~sent], return_counts=True)
+                known, rows = np.empty(len(u), COUNTED), np.empty(int(sent.sum()), PREFIX)
+                known["set"], known["n"] = u, n
+                rows["token"], rows["set"] = low[sent] & np.uint64(0xFFFFFFFF), sets[sent]
+                yield send(((low[sent] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32), rows, known, n_buckets)
     return run
 
 
 def shared_prefixes(batches):
     """(set_id, n): how many tokens of a set here belong to another set too."""
-    got = [(b, x) for batch in batches for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-    rows = np.frombuffer(b"".join(x for _, x in got), PREFIX)
-    if not len(rows):
-        return
-    token = np.repeat(np.array([b for b, _ in got], np.int64), [len(x) // PREFIX.itemsize for _, x in got]) << 32 | rows["token"].astype(np.int64)
-    order = np.lexsort((rows["set"], token))
-    token, sets = token[order], rows["set"][order]
-    new = np.r_[True, (token[1:] != token[:-1]) | (sets[1:] != sets[:-1])]
-    token, sets = token[new], sets[new]
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    n = np.diff(np.r_[first, len(token)])
-    u, c = np.unique(sets[np.repeat(n, n) > 1], return_counts=True)
-    for at in range(0, len(u), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 100_000]), pa.array(c[at : at + 100_000])], names=["set_id", "n"])
+    for _, (blobs, known) in buckets(batches):
+        rows, told = np.frombuffer(b"".join(blobs), PREFIX), np.frombuffer(b"".join(known), COUNTED)
+        order = np.lexsort((rows["set"], rows["token"]))
+        token, sets = rows["token"][order], rows["set"][order]
+        new = np.r_[True, (token[1:] != token[:-1]) | (sets[1:] != sets[:-1])] if len(rows) else np.zeros(0, bool)
+        token, sets = token[new], sets[new]
+        u, c = np.unique(sets[in_groups(token)[0] > 1], return_counts=True)
+        u, c = np.r_[u, told["set"]], np.r_[c, told["n"].astype(np.int64)]
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["set_id", "n"])
 
 
 # ---------------------------------------------------------------- universe partition
@@ -156,18 +178,32 @@ def bands(largest: int) -> list[int]:
 
 
 def allocate(lows: list[int], k: int) -> tuple[int, int, int]:
-    """(segments, slack, deletions) for the pairs whose smaller set is in band k."""
+    """(segments, slack, deletions) for the pairs whose smaller set is in band k: the plan of least estimated cost.
+
+    The cost is a set's signatures, each more dear the likelier its subset is thin: few elements collide with sets that
+    only share a line, and too many thin subsets make a set go through another seed.
+    """
     lo, hi = lows[k], lows[k + 1] - 1
     total = np.arange(2 * lo, hi + hi * DEN // NUM + 1)
     h = int((total - 2 * -(-NUM * total // (NUM + DEN))).max())
     if h == 0:
         return 1, 0, 0
-    m = int(1.4 * (h + 1)) + 2
-    load = lo / m
-    # a signature of few elements collides with sets that only share a line
-    by_subset = m * (1 - math.exp(-load)) * (1 + 8 * math.exp(-load))
-    by_deletion = 1 + hi if h == 1 else math.inf
-    return (1, 0, 1) if by_deletion <= by_subset else (m, m - h - 1, 0)
+
+    def risky(m: int, deletions: int) -> float:
+        """How likely a subset is empty or, with deletions, has two elements at most."""
+        load = lo / m
+        return math.exp(-load) * (1 + deletions * (load + load * load / 2)) if m > 1 else 0.0
+
+    plans = []
+    for slack in {0, 1, 2, 3, 2 * (h + 1) // 5 + 1, 3 * (h + 1) // 5 + 1}:
+        for deletions, needed in ((0, h + 1), (1, h // 2 + 1)):
+            m = needed + slack
+            share = risky(m, deletions)
+            seeds = 1 + 2 * (m * share > slack)  # a set with more risky subsets sends the signatures of several seeds
+            sent = hi + m if deletions else m * (1 - share)
+            plans.append((sent * (1 + 8 * share) * seeds, m, slack, deletions))
+    cost, m, slack, deletions = min(plans)
+    return m, slack, deletions
 
 
 SIGNATURE = np.dtype([("sig", "<u8"), ("set", "<i8"), ("key", "<i2"), ("slack", "<i2")])
@@ -184,27 +220,31 @@ def signatures(tokens: np.ndarray, lows: list[int], plan: dict[int, tuple[int, i
             key = k * SEEDS + seed
             salt = mix64(np.array([key + 1], np.uint64))[0]
             value = mix64(tokens ^ salt)
-            if m == 1:
-                whole = np.add.reduce(value, keepdims=True)
-                sums = np.r_[whole, whole - value] if deletions and len(tokens) > 1 else whole
-                yield key, slack, mix64(sums ^ salt)
-                break
             where = (mix64(value + np.uint64(seed)) % np.uint64(m)).astype(np.int64)
             order = np.argsort(where, kind="stable")
-            at = np.flatnonzero(np.r_[True, np.diff(where[order]) != 0])
-            own, segments = np.add.reduceat(value[order], at), where[order][at]
-            empty = m - len(at)
-            last = seed == SEEDS - 1
-            if last and empty > slack:
-                full = np.zeros(m, np.uint64)
-                full[segments] = own
-                own, segments, empty = full, np.arange(m), 0
-            yield key, slack - empty, mix64(own ^ mix64(segments.astype(np.uint64) + salt))
-            if empty <= slack:
+            value, where = value[order], where[order]
+            size = np.bincount(where, minlength=m)
+            sums = np.zeros(m, np.uint64)
+            sums[size > 0] = np.add.reduceat(value, (np.cumsum(size) - size)[size > 0])
+            names = mix64(np.arange(m, dtype=np.uint64) + salt)
+            # a partner's subset may have one element less, and be thin where this one is not
+            out, short = (size <= deletions, int((size <= 2 * deletions).sum())) if m > 1 else (np.zeros(m, bool), 0)
+            if seed == SEEDS - 1 and short > slack:
+                out, short = np.zeros(m, bool), 0
+            sigs = mix64(sums ^ names)[~out]
+            if deletions:
+                kept = ~out[where]
+                sigs = np.unique(np.r_[sigs, mix64((sums[where] - value) ^ names[where])[kept]])
+            yield key, slack - short, sigs
+            if short <= slack:
                 break
 
 
-def emit_signatures(buckets: int, lows: list[int]):
+KNOWN = np.dtype([("set", "<i8"), ("sig", "<u8"), ("key", "<i2"), ("slack", "<i2")])
+
+
+def emit_signatures(n_buckets: int, lows: list[int], most: int):
+    """Signatures, of each at most ``most`` + 1 rows a batch: the rest of more sets know already that it is popular."""
     plan = {k: allocate(lows, k) for k in range(len(lows) - 2)}
 
     def run(batches):
@@ -217,22 +257,23 @@ def emit_signatures(buckets: int, lows: list[int]):
                     parts.append(rows)
             if parts:
                 rows = np.concatenate(parts)
-                yield packed((mix64(rows["sig"]) % np.uint64(buckets)).astype(np.int32), rows)
+                rows = rows[np.lexsort((rows["set"], rows["sig"]))]
+                rows = rows[np.r_[True, (rows["sig"][1:] != rows["sig"][:-1]) | (rows["set"][1:] != rows["set"][:-1])]]
+                _, place = in_groups(rows["sig"])
+                rest = rows[place > most]
+                known = np.empty(len(rest), KNOWN)
+                for c in KNOWN.names:
+                    known[c] = rest[c]
+                rows = rows[place <= most]
+                yield send((mix64(rows["sig"]) % np.uint64(n_buckets)).astype(np.int32), rows, known, n_buckets)
     return run
 
 
 GROUPED = "popular boolean, a long, b long, key int, n int, slack_a int, slack_b int, sig long"
 
 
-def group_signatures(batches):
+def group_signatures(popular_from: int):
     """Pairs with the number of signatures they share here, and the members of popular signatures."""
-    rows = unpacked(batches, SIGNATURE)
-    if not len(rows):
-        return
-    rows = rows[np.lexsort((rows["set"], rows["sig"]))]
-    rows = rows[np.r_[True, (rows["sig"][1:] != rows["sig"][:-1]) | (rows["set"][1:] != rows["set"][:-1])]]
-    first = np.flatnonzero(np.r_[True, rows["sig"][1:] != rows["sig"][:-1]])
-    n = np.diff(np.r_[first, len(rows)])
     names = [x.split()[0] for x in GROUPED.split(", ")]
 
     def table(popular, a, b, key, count, slack_a, slack_b, sig):
@@ -241,86 +282,94 @@ def group_signatures(batches):
             cols = [pa.array(np.full(len(a[c]), popular)), *(pa.array(np.ascontiguousarray(x[c])) for x in (a, b, key.astype(np.int32), count.astype(np.int32), slack_a.astype(np.int32), slack_b.astype(np.int32), sig))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    left, right = [], []
-    for size in range(2, POPULAR + 1):
-        start = first[n == size]
-        if len(start):
-            i, j = np.triu_indices(size, 1)
-            left.append((start[:, None] + i).ravel()), right.append((start[:, None] + j).ravel())
-    if left:
-        x, y = rows[np.concatenate(left)], rows[np.concatenate(right)]
-        order = np.lexsort((x["key"], y["set"], x["set"]))
-        x, y = x[order], y[order]
-        at = np.flatnonzero(np.r_[True, (x["set"][1:] != x["set"][:-1]) | (y["set"][1:] != y["set"][:-1]) | (x["key"][1:] != x["key"][:-1])])
-        count = np.diff(np.r_[at, len(x)])
-        x, y = x[at], y[at]
-        yield from table(False, x["set"], y["set"], x["key"], count, x["slack"], y["slack"], np.zeros(len(x), np.int64))
-    many = rows[np.repeat(n, n) > POPULAR]
-    if len(many):
-        zero = np.zeros(len(many), np.int64)
-        yield from table(True, many["set"], zero, many["key"], zero, many["slack"], zero, many["sig"].view(np.int64))
-
-
-def candidate_edges(surviving: DataFrame, lows: list[int], folder: str) -> DataFrame:
+    def run(batches):
+        for _, (blobs, known) in buckets(batches):
+            told = np.frombuffer(b"".join(known), KNOWN)
+            zero = np.zeros(len(told), np.int64)
+            yield from table(True, told["set"], zero, told["key"], zero, told["slack"], zero, told["sig"].view(np.int64) if len(told) else zero)
+            rows = np.frombuffer(b"".join(blobs), SIGNATURE)
+            if not len(rows):
+                continue
+            rows = rows[np.lexsort((rows["set"], rows["sig"]))]
+            rows = rows[np.r_[True, (rows["sig"][1:] != rows["sig"][:-1]) | (rows["set"][1:] != rows["set"][:-1])]]
+            n, place = in_groups(rows["sig"])
+            left, right = [], []
+            for size in range(2, popular_from + 1):
+                start = np.flatnonzero((n == size) & (place == 0))
+                if len(start):
+                    i, j = np.triu_indices(size, 1)
+                    left.append((start[:, None] + i).ravel()), right.append((start[:, None] + j).ravel())
+            if left:
+                x, y = rows[np.concatenate(left)], rows[np.concatenate(right)]
+                order = np.lexsort((x["key"], y["set"], x["set"]))
+                x, y = x[order], y[order]
+                at = np.flatnonzero(np.r_[True, (x["set"][1:] != x["set"][:-1]) | (y["set"][1:] != y["set"][:-1]) | (x["key"][1:] != x["key"][:-1])])
+                count = np.diff(np.r_[at, len(x)])
+                x, y = x[at], y[at]
+                yield from table(False, x["set"], y["set"], x["key"], count, x["slack"], y["slack"], np.zeros(len(x), np.int64))
+            many = rows[n > popular_from]
+            zero = np.zeros(len(many), np.int64)
+            yield from table(True, many["set"], zero, many["key"], zero, many["slack"], zero, many["sig"].view(np.int64) if len(many) else zero)
+    return run
+
+
+def candidate_edges(surviving: DataFrame, lows: list[int], folder: str, shingles: int) -> DataFrame:
     """(a, b): pairs that agree on enough signatures, and stars over popular ones."""
     spark = surviving.sparkSession
-    buckets = _buckets(spark)
-    sent = surviving.select("set_id", "tokens").mapInArrow(emit_signatures(buckets, lows), "bucket int, rows binary")
-    grouped = materialize(sent.repartition("bucket").mapInArrow(group_signatures, GROUPED), folder, "grouped")
+    size = shingles * SIGNATURE.itemsize // 2
+    sent = surviving.select("set_id", "tokens").mapInArrow(emit_signatures(bucket_count(spark, size), lows, POPULAR), SENT)
+    grouped = materialize(by_bucket(sent, size).mapInArrow(group_signatures(POPULAR), GROUPED), folder, "grouped")
     popular = grouped.where("popular").select(F.col("a").alias("set"), "key", F.col("slack_a").alias("slack"), "sig")
     left_out = materialize(popular.groupBy("set", "key").agg(F.count("*").alias("out"), F.max("slack").alias("slack")), folder, "left_out")
-    n_out = left_out.count()
     pairs = (grouped.where("NOT popular").groupBy("a", "b", "key")
              .agg(F.sum("n").alias("n"), F.max("slack_a").alias("slack_a"), F.max("slack_b").alias("slack_b")))
     for side in ("a", "b"):
         out = left_out.select(F.col("set").alias(side), "key", F.col("out").alias(f"out_{side}"))
-        pairs = pairs.join(_small(out, n_out), [side, "key"], "left")
+        pairs = pairs.join(small(out), [side, "key"], "left")
     room = F.greatest(*[F.col(f"slack_{s}") - F.coalesce(F.col(f"out_{s}"), F.lit(0)) for s in ("a", "b")])
     pairs = pairs.where(F.col("n") >= F.greatest(F.lit(1), 1 + room)).select("a", "b")
-    kept = popular.join(_small(left_out.where("out > slack").select("set", "key")), ["set", "key"]).select("set", "sig")
+    kept = materialize(popular.join(small(left_out.where("out > slack").select("set", "key")), ["set", "key"]).select("set", "sig"), folder, "kept")
     hubs = materialize(kept.groupBy("sig").agg(F.min("set").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), folder, "hubs")
-    stars = kept.join(_small(hubs), "sig").where("hub <> set").select(F.col("hub").alias("a"), F.col("set").alias("b"))
+    stars = join_unique(kept, hubs, ["sig"]).where("hub <> set").select(F.col("hub").alias("a"), F.col("set").alias("b"))
     return pairs.unionByName(stars)
 
 
 # ---------------------------------------------------------------- components
 
-def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Marked for broadcast if counted to few rows; otherwise the join shuffles."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
-
-
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, label): the smallest node of its component, for every node with an edge.
 
     Each round every node takes the smallest label next to it, then its label's label, and the graph is contracted:
-    edges within a label go, so a dense group costs its edges once.
+    edges within a label go, so a dense group costs its edges once.  Tables of a round that is over are deleted.
     """
-    rest = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), folder, f"{name}_edges0")
+    spark = edges.sparkSession
+    keep = lambda df, what: materialize(df, folder, f"{name}_{what}")
+    drop = lambda *what: remove(spark, *[f"{folder}/{name}_{x}" for x in what])
+    rest = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges0")
     total, step = None, 0
     while True:
         step += 1
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), folder, f"{name}_hook{step}")
-        n = hook.count()
-        if not n:
+        hook = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), f"hook{step}")
+        if hook.isEmpty():
+            drop(f"hook{step}", f"edges{step - 1}")
             break
-        up = hook.select(F.col("node").alias("label"), F.col("label").alias("__up"))
-        near = materialize(hook.join(_small(up, n), "label").select("node", F.col("__up").alias("label")), folder, f"{name}_near{step}")
-        for side in ("a", "b"):
-            rest = rest.join(_small(near.select(F.col("node").alias(side), F.col("label").alias(f"__{side}")), n), side)
-        rest = rest.where("__a <> __b").select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).distinct()
-        rest = materialize(rest, folder, f"{name}_edges{step}")
+        up = hook.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        near = keep(join_unique(hook, up, ["label"]).select("node", F.col("up").alias("label")), f"near{step}")
+        half = keep(join_unique(rest, near.select(F.col("node").alias("a"), F.col("label").alias("la")), ["a"]).select("la", "b"), f"half{step}")
+        rest = join_unique(half, near.select(F.col("node").alias("b"), F.col("label").alias("lb")), ["b"])
+        rest = keep(rest.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), f"edges{step}")
+        drop(f"edges{step - 1}", f"half{step}", f"hook{step}")
         if total is None:
             total = near
         else:
-            over = near.select(F.col("node").alias("label"), F.col("label").alias("__over"))
-            total = total.join(_small(over, n), "label", "left").select("node", F.coalesce("__over", "label").alias("label"))
-            total = materialize(total, folder, f"{name}_labels{step}")
+            over = near.select(F.col("node").alias("label"), F.col("label").alias("over"))
+            total = keep(join_unique(total, over, ["label"], "left").select("node", F.coalesce("over", "label").alias("label")), f"labels{step}")
+            drop(f"near{step}", f"labels{step - 1}" if step > 2 else "near1")
     if total is None:
-        return edges.sparkSession.createDataFrame([], "node long, label long")
-    least = total.groupBy("label").agg(F.min("node").alias("__least"))
-    return materialize(total.join(least, "label").select("node", F.least("__least", "label").alias("label")), folder, f"{name}_labels")
+        return spark.createDataFrame([], "node long, label long")
+    least = materialize(total.groupBy("label").agg(F.min("node").alias("least")), folder, f"{name}_least")
+    return keep(join_unique(total, least, ["label"]).select("node", F.least("least", "label").alias("label")), "labels")
 
 
 # ---------------------------------------------------------------- verification
@@ -373,67 +422,170 @@ def verify_cluster(table: pa.Table) -> pa.Table:
     return pa.table({"set_id": pa.array([x[0] for x in got], pa.int64()), "label": pa.array([x[1] for x in got], pa.int64())})
 
 
-def compare_blocks(table: pa.Table) -> pa.Table:
-    """(a, b): all links between the two sides of a block whose labels differ."""
-    side = table.column("side").to_numpy()
-    ids, labels, sets = table.column("set_id").to_pylist(), table.column("label").to_pylist(), _tokens(table.column("tokens"))
-    links = [(ids[i], ids[j]) for i in np.flatnonzero(side == 0) for j in np.flatnonzero(side == 1) if labels[i] != labels[j] and similar(sets[i], sets[j])]
+def compare_groups(table: pa.Table) -> pa.Table:
+    """(a, b): the groups of two blocks whose popular parts alone reach the threshold at the sets' whole sizes."""
+    side, ids, n, parts = table.column("side").to_numpy(), table.column("id").to_pylist(), table.column("n").to_pylist(), _tokens(table.column("tokens"))
+    links = []
+    for i in np.flatnonzero(side == 0):
+        for j in np.flatnonzero(side == 1):
+            if DEN * min(n[i], n[j]) >= NUM * max(n[i], n[j]):
+                both = len(np.intersect1d(parts[i], parts[j], assume_unique=True))
+                if DEN * both >= NUM * (n[i] + n[j] - both):
+                    links.append((ids[i], ids[j]))
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
-def large_links(members: DataFrame, folder: str) -> DataFrame:
-    """(a, b) links of clusters too large for one task, from (set_id, tokens, cluster, size)."""
+RARE = np.dtype([("token", "<u8"), ("cluster", "<i8"), ("set", "<i8"), ("label", "<i8"), ("odd", "u1")])
+
+
+def rare_tokens(n_buckets: int):
+    """Of (cluster, set_id, label, odd, tokens, popular): (bucket, rows) of the rare tokens by which a partner is met."""
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for cluster, sid, label, odd, blob, hot in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens, rare, n_popular = split_tokens(blob, hot)
+                n = len(tokens)
+                wanted = max(1, -(-NUM * n // DEN) - n_popular)  # rare tokens that a partner shares at least, if any
+                if len(rare) >= wanted:
+                    rows = np.empty(len(rare) - wanted + 1, RARE)
+                    rows["token"], rows["cluster"], rows["set"], rows["label"], rows["odd"] = rare[: len(rows)], cluster, sid, label, odd
+                    parts.append(rows)
+            if parts:
+                rows = np.concatenate(parts)
+                yield packed((mix64(rows["token"] + rows["cluster"].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32), rows)
+    return run
+
+
+def split_tokens(blob: bytes, popular: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(all, rare, number of popular ones) of a set's sorted tokens."""
+    tokens = np.frombuffer(blob, np.uint64)
+    known = np.frombuffer(popular or b"", np.uint64)
+    if not len(known):
+        return tokens, tokens, 0
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    hot = known[at] == tokens
+    return tokens, tokens[~hot], int(hot.sum())
+
+
+def rare_pairs(batches):
+    """(a, b): an odd set and another of its cluster, of another label, that share a rare token."""
+    for _, (blobs,) in buckets(batches):
+        rows = np.frombuffer(b"".join(blobs), RARE)
+        rows = rows[np.lexsort((rows["set"], rows["cluster"], rows["token"]))]
+        cut = np.flatnonzero(np.r_[True, (rows["token"][1:] != rows["token"][:-1]) | (rows["cluster"][1:] != rows["cluster"][:-1])])
+        for x, y in zip(cut, np.r_[cut[1:], len(rows)]):
+            group = rows[x:y]
+            odd = group[group["odd"] == 1]
+            if len(odd) and (group["label"] != group["label"][0]).any():
+                i, j = np.nonzero(odd["label"][:, None] != group["label"][None, :])
+                a, b = odd["set"][i], group["set"][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def popular_parts(batches):
+    """(id, cluster, n, tokens, odd): the popular part of each set that can have a partner without sharing a rare token."""
+    names = ["id", "cluster", "n", "tokens", "odd"]
+    for batch in batches:
+        rows = []
+        for cluster, sid, _, odd, blob, hot in zip(*(c.to_pylist() for c in batch.columns)):
+            tokens, rare, n_popular = split_tokens(blob, hot)
+            if DEN * n_popular >= NUM * len(tokens):
+                rows.append((sid, cluster, len(tokens), np.setdiff1d(tokens, rare, assume_unique=True).tobytes(), odd))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()))], names=names)
+
+
+def large_links(members: DataFrame, folder: str, shingles: int) -> DataFrame:
+    """(a, b) links of clusters too large for one task, from (set_id, tokens, cluster, size).
+
+    Sets that pivots do not join to the cluster's main component are odd.  A token of more than ``CLUSTER`` sets of the
+    cluster is popular there.  A partner of an odd set shares a rare token with it, and then one among those
+    that a prefix of its rare ones holds; or it does not, and then the popular parts of the two reach the
+    threshold alone.  The first are found through an inverted index of rare tokens, each in few sets; the second by
+    comparing the distinct (popular part, size) groups, whose members are then alike.
+    """
     spark = members.sparkSession
+    save = lambda df, name: materialize(df, folder, f"large_{name}")
+    salts = F.ceil(F.col("size") / SALTED).cast("int")
+    members = save(members.select("set_id", "tokens", "cluster", "size").withColumn("salt", F.pmod(F.xxhash64("set_id"), salts.cast("long")).cast("int")), "members")
     # set ids are hashes: one in so many, by id, is a random choice of about PIVOTS a cluster; the smallest id is always one
-    chance = F.col("size") / F.lit(PIVOTS)
-    members = materialize(members.select("set_id", "tokens", "cluster", "size"), folder, "large_members")
-    pivots = materialize(members.where((F.col("set_id") == F.col("cluster")) | (F.pmod(F.xxhash64("set_id"), F.greatest(chance, F.lit(1.0)).cast("long")) == 0))
-                         .select("cluster", F.col("set_id").alias("pivot"), F.col("tokens").alias("pivot_tokens")).distinct(), folder, "pivots")
-    few = pivots.count() <= 20_000
+    one_in = F.greatest(F.col("size") / F.lit(PIVOTS), F.lit(1.0)).cast("long")
+    pivots = save(members.where((F.col("set_id") == F.col("cluster")) | (F.pmod(F.xxhash64("set_id", F.lit(1)), one_in) == 0))
+                  .select("cluster", "size", F.col("set_id").alias("pivot"), F.col("tokens").alias("pivot_tokens")).distinct(), "pivots")
 
     def against(batches):
         for batch in batches:
             a, b = _tokens(batch.column(2)), _tokens(batch.column(3))
             yield batch.filter(pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_())).select([0, 1])
 
-    met = members.join(F.broadcast(pivots) if few else pivots, "cluster").where("pivot <> set_id")
-    first = materialize(met.select(F.col("pivot").alias("a"), F.col("set_id").alias("b"), "pivot_tokens", "tokens").mapInArrow(against, "a long, b long"), folder, "pivot_links")
+    everywhere = lambda df: small(df.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("size"))
+    met = members.join(everywhere(pivots), ["cluster", "salt"]).where("pivot <> set_id")
+    first = save(met.select(F.col("pivot").alias("a"), F.col("set_id").alias("b"), "pivot_tokens", "tokens").mapInArrow(against, "a long, b long"), "pivot_links")
     labels = components(first, folder, "pivot")
-    labelled = members.join(_small(labels.withColumnRenamed("node", "set_id")), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    labelled = materialize(labelled, folder, "labelled")
+    labelled = save(members.drop("size").join(small(labels.withColumnRenamed("node", "set_id")), "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "labelled")
     sizes = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    blocks = F.greatest(F.ceil(F.col("size") / CLUSTER), F.lit(1)).cast("int")
-    block = F.pmod(F.xxhash64("set_id"), blocks.cast("long")).cast("int")
-    main = materialize(main, folder, "main")
-    odd = labelled.join(_small(main), "cluster").where("label <> main")
-    odd_sizes = materialize(odd.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("odd_blocks")), folder, "odd_sizes")
-    if odd_sizes.isEmpty():
+    main = save(sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels")).where("labels > 1"), "main")
+    if main.isEmpty():
         return first
-    cols = ["cluster", "x", "y", "side", "set_id", "label", "tokens"]
-    left = (odd.join(_small(odd_sizes), "cluster").withColumn("x", F.pmod(F.xxhash64("set_id"), F.col("odd_blocks").cast("long")).cast("int"))
-            .withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(0)).select(cols))
-    right = (labelled.join(_small(odd_sizes), "cluster").withColumn("y", block)
-             .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1))).withColumn("side", F.lit(1)).select(cols))
-    rest = left.unionByName(right).groupBy("cluster", "x", "y").applyInArrow(compare_blocks, "a long, b long")
-    return first.unionByName(rest)
+    left = labelled.join(everywhere(main.select("cluster", "main", "size")), ["cluster", "salt"]).withColumn("odd", (F.col("label") != F.col("main")).cast("int"))
+
+    def each_token(batches):
+        for batch in batches:
+            counts: dict[int, list[np.ndarray]] = {}
+            for c, t in zip(batch.column(0).to_pylist(), _tokens(batch.column(1))):
+                counts.setdefault(c, []).append(t)
+            for c, parts in counts.items():
+                t, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), c)), pa.array(t.view(np.int64)), pa.array(n)], names=["cluster", "token", "n"])
+
+    def sorted_blob(key, table):
+        return pa.table({"cluster": pa.array([key[0].as_py()], pa.int64()), "popular": pa.array([np.sort(table.column("token").to_numpy().view(np.uint64)).tobytes()], pa.binary())})
+
+    counts = left.select("cluster", "tokens").mapInArrow(each_token, "cluster long, token long, n long").groupBy("cluster", "token").agg(F.sum("n").alias("n"))
+    popular = save(counts.where(F.col("n") > CLUSTER).groupBy("cluster").applyInArrow(sorted_blob, "cluster long, popular binary"), "popular")
+    popular = main.select("cluster", "size").join(popular, "cluster")
+    rows = save(left.join(everywhere(popular), ["cluster", "salt"], "left").select("cluster", "set_id", "label", "odd", "tokens", "popular"), "rows")
+    size = shingles * RARE.itemsize
+    pairs = by_bucket(rows.mapInArrow(rare_tokens(bucket_count(spark, size)), "bucket int, rows binary"), size).mapInArrow(rare_pairs, "a long, b long").distinct()
+    sets = rows.select("set_id", "tokens").distinct()
+    pairs = save(pairs, "pairs")
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("tokens").alias(f"t{side}")), side)
+    near = pairs.select("a", "b", "ta", "tb").mapInArrow(against, "a long, b long")
+    parts = save(rows.mapInArrow(popular_parts, "id long, cluster long, n long, tokens binary, odd int"), "parts")
+    grouped = save(parts.groupBy("cluster", "n", "tokens").agg(F.min("id").alias("id"), F.max("odd").alias("odd")), "groups")
+    members_of = parts.join(grouped.select("cluster", "n", "tokens", F.col("id").alias("group")), ["cluster", "n", "tokens"]).select("id", "group")
+    blocks = save(grouped.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("blocks")), "blocks")
+    placed = grouped.join(small(blocks), "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["cluster", "x", "y", "side", "id", "n", "tokens"]
+    a = placed.where("odd = 1").withColumn("x", F.col("own")).withColumn("y", other).withColumn("side", F.lit(0)).select(columns)
+    b = placed.withColumn("y", F.col("own")).withColumn("x", other).withColumn("side", F.lit(1)).select(columns)
+    alike = save(a.unionByName(b).groupBy("cluster", "x", "y").applyInArrow(compare_groups, "a long, b long"), "alike")
+    # every member of a group is linked to every member of a group alike: to its first one, that is
+    partner = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+    through = members_of.join(partner, F.col("group") == F.col("a")).select(F.col("id").alias("a"), "b")
+    return first.unionByName(near).unionByName(alike).unionByName(through)
 
 
 # ---------------------------------------------------------------- the join
 
 def set_components(docs: DataFrame, sets: DataFrame, folder: str, k: int = K) -> DataFrame:
-    """(set_id, label) for the sets that are linked with another set."""
+    """(set_id, label) for the sets that are linked with another set, from (doc_id, check, text) and their sets."""
     spark = docs.sparkSession
-    nodes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL_ID)))).alias("id"))
-    prefixes = docs.select("text").mapInArrow(emit_prefixes(_buckets(spark), k), "bucket int, rows binary")
-    counted = prefixes.repartition("bucket").mapInArrow(shared_prefixes, "set_id long, n long").groupBy("set_id").agg(F.sum("n").alias("shared"))
-    wanted = materialize(nodes.join(counted, "set_id").where(F.col("shared") >= F.floor(F.col("n") / 20) + 1).select("id", F.col("set_id").alias("wanted"), "n"), folder, "wanted")
-    stats = wanted.agg(F.count("*").alias("rows"), F.max("n").alias("largest")).first()
+    shingles = sets.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL_ID)))
+    nodes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.min(F.struct(key.alias("id"), "check")).alias("at"))
+    size = shingles * PREFIX.itemsize * 3 // 10
+    prefixes = docs.select("text").mapInArrow(emit_prefixes(bucket_count(spark, size), k), SENT)
+    counted = by_bucket(prefixes, size).mapInArrow(shared_prefixes, "set_id long, n long").groupBy("set_id").agg(F.sum("n").alias("shared"))
+    wanted = nodes.join(counted, "set_id").where(F.col("shared") >= F.floor(F.col("n") / 20) + 1)
+    wanted = materialize(wanted.select(F.col("at.id").alias("id"), F.col("at.check").alias("check"), F.col("set_id").alias("wanted"), "n"), folder, "wanted")
+    stats = wanted.agg(F.count("*").alias("rows"), F.max("n").alias("largest"), F.sum("n").alias("shingles")).first()
     if not stats["rows"]:
         return spark.createDataFrame([], "set_id long, label long")
-    side = wanted.select("id", "wanted")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL_ID)))
-    texts = docs.join(F.broadcast(side) if stats["rows"] <= BROADCAST_ROWS else side, key == F.col("id")).select("wanted", "text")
+    texts = docs.withColumn("id", key).join(small(wanted.select("id", "check", "wanted")), ["id", "check"]).select("wanted", "text")
 
     def keep(batches):
         for batch in batches:
@@ -443,44 +595,58 @@ def set_components(docs: DataFrame, sets: DataFrame, folder: str, k: int = K) ->
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["set_id", "tokens"])
 
     surviving = materialize(texts.mapInArrow(keep, "set_id long, tokens binary"), folder, "surviving")
-    edges = candidate_edges(surviving, bands(stats["largest"]), folder)
+    edges = candidate_edges(surviving, bands(stats["largest"]), folder, stats["shingles"])
     clusters = components(edges, folder, "cluster")
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
-    placed = materialize(clusters.join(_small(sizes), "label").select(F.col("node").alias("set_id"), F.col("label").alias("cluster"), "size"), folder, "placed")
-    members = surviving.join(_small(placed), "set_id")
+    remove(spark, *[f"{folder}/{x}" for x in ("wanted", "grouped", "left_out", "kept", "hubs")])
+    sizes = materialize(clusters.groupBy("label").agg(F.count("*").alias("size")), folder, "sizes")
+    placed = materialize(join_unique(clusters, sizes, ["label"]).select(F.col("node").alias("set_id"), F.col("label").alias("cluster"), "size"), folder, "placed")
+    members = surviving.join(small(placed), "set_id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = members.where(F.col("size") <= CLUSTER).repartition(parts, "cluster").groupBy("cluster").applyInArrow(verify_cluster, "set_id long, label long")
-    labels = materialize(small, folder, "small_labels")
+    few = members.where(F.col("size") <= CLUSTER).repartition(parts, "cluster").groupBy("cluster").applyInArrow(verify_cluster, "set_id long, label long")
+    labels = materialize(few, folder, "small_labels")
     if not placed.where(F.col("size") > CLUSTER).isEmpty():
-        links = large_links(members.where(F.col("size") > CLUSTER), folder)
+        links = large_links(members.where(F.col("size") > CLUSTER), folder, stats["shingles"])
         labels = labels.unionByName(components(links, folder, "linked").select(F.col("node").alias("set_id"), "label"))
     return labels
 
 
-def join_components(docs: DataFrame, folder: str | None = None, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    folder = folder or shared_dir(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+def _components(docs: DataFrame, folder: str, k: int) -> DataFrame:
+    """(doc_id, check, n_shingles, component_id) of every row of (doc_id, check, text)."""
+    spark = docs.sparkSession
     sets = materialize(describe_sets(docs, k), folder, "sets")
     labels = set_components(docs, sets, folder, k)
     # equal sets are one class; a class's component is its label, or itself
     classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    classes = classes.join(_small(labels), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows"))
-    wide = materialize(classes.join(smallest.where("rows > 1"), "label").select("set_id", F.col("component_id").alias("__component")), folder, "classes")
-    n = wide.count()
-    out = sets.join(F.broadcast(wide) if n <= BROADCAST_ROWS else wide, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("__component", "doc_id").alias("component_id"))
+    classes = materialize(classes.join(small(labels), "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), folder, "classes")
+    smallest = classes.groupBy("label").agg(F.min("least").alias("component"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
+    linked = materialize(join_unique(classes.select("set_id", "label"), materialize(smallest, folder, "smallest"), ["label"]).select("set_id", "component"), folder, "linked")
+    remove(spark, *[f"{folder}/{x}" for x in ("surviving", "placed", "sizes", "small_labels", "classes", "smallest")])
+    none, some = sets.where("set_id IS NULL"), sets.where("set_id IS NOT NULL")
+    out = join_unique(some, linked, ["set_id"], "left").select("doc_id", "check", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(none.select("doc_id", "check", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def _checked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(F.crc32("text"), F.lit(0)).alias("check"), "text")
+
+
+def join_components(docs: DataFrame, folder: str | None = None, k: int = K) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    return _components(_checked(docs), folder or shared_dir(docs.sparkSession), k).drop("check")
 
 
 def deduplicate(docs: DataFrame, folder: str | None = None, k: int = K) -> DataFrame:
-    """``docs`` with one row of each component: a row of the smallest doc_id; repeated rows of an id count as one."""
+    """``docs`` with one row of each component: a row of the smallest doc_id; rows that repeat an id and a text count as one."""
     folder = folder or shared_dir(docs.sparkSession)
-    found = materialize(join_components(docs, folder, k), folder, "components")
-    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), folder, "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    found = materialize(_components(_checked(docs), folder, k), folder, "components")
+    remove(docs.sparkSession, f"{folder}/sets", f"{folder}/linked")
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL_ID)))
+    other = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("component_id") != F.col("doc_id")))
+    gone = materialize(found.where(other).select(id_.alias("id"), "check").distinct(), folder, "gone")
+    rows = carried(docs, id_.alias("id"), F.coalesce(F.crc32("text"), F.lit(0)).alias("check"))
+    return rows.join(small(gone), ["id", "check"], "left_anti").select("row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return join_components(docs)

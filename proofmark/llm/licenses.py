@@ -1,36 +1,52 @@
 """License scan: winnowed fingerprints pick candidates, banded alignment measures them.
 
 Texts and templates become lower-cased words without punctuation.  Hashes of ``GRAM`` words are winnowed
-over windows of ``WINDOW``, so any ``GRAM + WINDOW - 1`` words in common leave a common
+over windows of ``WINDOW``, in texts and templates alike, so any ``GRAM + WINDOW - 1`` words in common leave a common
 fingerprint.  An inverted index of the templates' fingerprints (fixed templates, so of bounded size) gives
-candidates with a diagonal; the template is aligned with the text in a band about it, and
-the share of template words matched and the span in the text are reported.  Rows never move: there is no
-shuffle, and a hot source or passage costs only its own texts.
+candidates with a diagonal; the template is aligned with the text in a band about it, all cells of a template word at once, and
+the share of template words matched and the span in the text are reported.
 
-Defined results: null and empty texts match nothing; a null doc_id is kept; copies get equal
+A notice of up to ``SHORT`` words may be changed in every other place and still match, so its grams are all indexed and
+all of the text's are looked up, of ``gram_length`` words each: with no more than a fifth of its words replaced or left out, one stays whole.
+In a longer template the same holds as long as somewhere ``GRAM + WINDOW - 1`` words in a row are unchanged.
+
+Templates are whole licence texts and the headers and notices that name one (``license_texts``): MIT, BSD with two and
+three clauses, ISC, zlib, Unlicense, Boost, Apache-2.0, MPL-2.0, GPL-2.0 and 3.0, LGPL-2.1 and 3.0, the AGPL-3.0 header,
+Artistic-1.0, CC0-1.0 and notices of CC BY, BY-SA and BY-NC; others give no row.  Of matches that overlap by more than
+half, the one with the most matched words stays, then the one with the larger coverage, which tells licences that contain each other apart.
+
+Rows never move: there is no shuffle, and a hot source or passage costs only its own texts.
+
+Defined results: null and empty texts match nothing; a null doc_id is kept; copies and repeated rows get equal
 results; each template is reported once per place; an empty table gives no rows; other columns are
 not looked at.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import ceil
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
+import yaml
 from pyspark.sql import DataFrame
 
-from .common import ALNUM, chunks, gram_hashes, hash_words, text_bytes
+from .common import ALNUM, chunks, gram_hashes, hash_words, spread, text_bytes
+
+GRAM, WINDOW = 3, 4
+SHORT = 24
+#: Share of a template's words that has to be met, in order.
+COVERAGE = 0.8
+TEXTS = Path(__file__).parent / "license_texts"
 
-GRAM, WINDOW = 3, 3
-#: The notices and texts looked for.
-TEMPLATES = {
-    "MIT notice": "Released under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-}
+
+@lru_cache(maxsize=1)
+def templates() -> dict[str, str]:
+    """Name -> text of everything that is looked for."""
+    whole = {p.stem: p.read_text(encoding="utf-8") for p in sorted(TEXTS.glob("*.txt"))}
+    return yaml.safe_load((TEXTS / "short.yaml").read_text(encoding="utf-8")) | whole
 
 
 def words(text: str) -> np.ndarray:
@@ -38,60 +54,136 @@ def words(text: str) -> np.ndarray:
     return hash_words(data, np.array([0, len(data)]), True, ALNUM)[0]
 
 
+def gram_length(n: int, coverage: float = COVERAGE) -> int:
+    """Words of a gram that a template of n words keeps whole if a share of 1 - ``coverage`` is replaced or left out."""
+    lost = int((1 - coverage) * n + 1e-9)
+    return min(GRAM, max(1, ceil((n - lost) / (lost + 1))))
+
+
+def band_of(n: int) -> int:
+    """How far an alignment may leave the diagonal of its fingerprint, either way."""
+    return 4 + n // 10
+
+
 def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions that hold the minimum of some window; all of them if there are fewer than a window."""
-    if len(grams) <= window:
+    """Positions that hold the minimum of some window, ties included; all of them if there are fewer than a window."""
+    n = len(grams) - window + 1
+    if n <= 0:
         return np.arange(len(grams))
-    low = np.lib.stride_tricks.sliding_window_view(grams, window).argmin(1) + np.arange(len(grams) - window + 1)
-    return np.unique(low)
+    low = grams[:n].copy()
+    for j in range(1, window):
+        np.minimum(low, grams[j : n + j], out=low)
+    picked = np.zeros(len(grams), bool)
+    for j in range(window):
+        picked[j : n + j] |= grams[j : n + j] == low
+    return np.flatnonzero(picked)
 
 
 class Index:
-    """Fingerprints of templates: hash -> (template, position)."""
+    """Fingerprints of templates: (length, winnowed) -> sorted hashes with template and position."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = list(templates)
-        self.words = [words(t) for t in templates.values()]
-        rows = []
+    def __init__(self, texts: dict[str, str], coverage: float = COVERAGE):
+        self.names, self.coverage = list(texts), coverage
+        self.words = [words(t) for t in texts.values()]
+        found: dict[tuple[int, bool], list] = {}
         for t, w in enumerate(self.words):
-            g = gram_hashes(w, GRAM)
-            rows += [(g[p], t, p) for p in range(len(g))]  # the texts are winnowed; the index has every position
-        rows.sort()
-        self.hash = np.array([r[0] for r in rows], np.uint64)
-        self.template = np.array([r[1] for r in rows], np.int64)
-        self.at = np.array([r[2] for r in rows], np.int64)
+            k = GRAM if len(w) > SHORT else gram_length(len(w), coverage)
+            grams = gram_hashes(w, k)
+            at = winnow(grams) if len(w) > SHORT else np.arange(len(grams))
+            found.setdefault((k, len(w) > SHORT), []).append(np.array([grams[at], np.full(len(at), t, np.uint64), at.astype(np.uint64)]))
+        self.tables = []
+        for (k, winnowed), parts in found.items():
+            rows = np.concatenate(parts, 1)
+            rows = rows[:, np.argsort(rows[0], kind="stable")]
+            known = np.zeros(1 << 16, bool)
+            known[(rows[0] >> np.uint64(48)).astype(np.int64)] = True
+            self.tables.append((k, winnowed, rows[0], rows[1].astype(np.int64), rows[2].astype(np.int64), known))
+
+    def candidates(self, w: np.ndarray) -> np.ndarray:
+        """(position, template, diagonal) of each fingerprint that the words share with a template."""
+        out = []
+        for k, winnowed, hashes, owner, place, known in self.tables:
+            grams = gram_hashes(w, k)
+            at = winnow(grams) if winnowed else np.arange(len(grams))
+            at = at[known[(grams[at] >> np.uint64(48)).astype(np.int64)]]
+            lo, hi = np.searchsorted(hashes, grams[at]), np.searchsorted(hashes, grams[at], side="right")
+            n = hi - lo
+            row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            p = np.repeat(at, n)
+            out.append(np.stack([p, owner[row], p - place[row]]))
+        return np.concatenate(out, 1)
+
+
+_FIELD = 20
+_LOW = np.int64((1 << _FIELD) - 1)
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """(matched words, first, last + 1) of the best alignment within ``band`` of a diagonal (text - template position)."""
-    best = {d: (0, 0, -1, -1) for d in range(-band, band + 1)}  # offset from the diagonal -> matches, -span, first, last
-    for i, word in enumerate(template.tolist()):
-        row: dict[int, tuple] = {}
-        for d in range(-band, band + 1):
-            j = i + diagonal + d
-            got = best[d]  # the word before on the same diagonal
-            if 0 <= j < len(text) and text[j] == word:
-                first = got[2] if got[0] else j
-                got = (got[0] + 1, first - j, first, j)
-            if d < band and best[d + 1][:2] > got[:2]:
-                got = best[d + 1]  # a template word has no partner
-            if d > -band and row[d - 1][:2] > got[:2]:
-                got = row[d - 1]  # a text word has no partner
-            row[d] = got
-        best = row
-    m, _, first, last = max(best.values(), key=lambda x: x[:2])
-    return m, first, last + 1
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
+    """(matched words, first, last + 1) of the best alignment within ``band`` of a diagonal (text - template position).
+
+    A cell is one number: the words matched, then the first of them, then the last counted backwards, so the largest
+    number is the alignment with most matches, the latest start and the earliest end.
+    """
+    lead, n, width = diagonal - band, len(template), 2 * band + 1
+    places = np.arange(n + width, dtype=np.int64)  # from ``lead`` on
+    inside = places[max(0, -lead) : max(0, min(n + width, len(text) - lead))]
+    if not len(inside):
+        return 0, 0, 0
+    near, real = np.zeros(n + width, np.uint64), np.zeros(n + width, bool)
+    near[inside], real[inside] = text[inside + lead], True
+    best = np.zeros(width, np.int64)
+    for i in range(n):
+        here = slice(i, i + width)
+        start = np.where(best > 0, best & ~_LOW, places[here] << _FIELD)
+        row = np.where(real[here] & (near[here] == template[i]), start + (np.int64(1) << 2 * _FIELD) + (_LOW - places[here]), best)
+        np.maximum(row[:-1], best[1:], out=row[:-1])  # a template word has no partner
+        best = np.maximum.accumulate(row)  # a text word has no partner
+    top = int(best.max())
+    if not top:
+        return 0, 0, 0
+    return top >> 2 * _FIELD, lead + (top >> _FIELD & int(_LOW)), lead + int(_LOW) - (top & int(_LOW)) + 1
+
+
+def matches(index: Index, w: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(template, matched, first, last + 1) of every place where a template is covered, by template and place."""
+    hits = index.candidates(w)
+    out = []
+    for t in np.unique(hits[1]):
+        template, n = index.words[t], len(index.words[t])
+        band = band_of(n)
+        done = None
+        for g in np.unique(hits[2][hits[1] == t]).tolist():
+            if done is not None and g - done <= band:
+                continue
+            done = g
+            near = w[max(0, g - band // 2) : max(0, g + 2 * band + n)]
+            if np.isin(template, near).sum() < index.coverage * n:
+                continue  # no alignment matches more words than occur at all
+            m, a, b = align(template, w, g + band // 2, band)
+            if m >= index.coverage * n and not any(x[0] == t and a < x[3] and x[2] < b for x in out):
+                out.append((int(t), m, a, b))
+    return out
+
+
+def settle(index: Index, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The matches that stay where some overlap: most words first, then the larger coverage."""
+    kept: list[tuple[int, int, int, int]] = []
+    for x in sorted(found, key=lambda x: (-x[1], -x[1] / len(index.words[x[0]]), x[2], x[0])):
+        if not any(2 * (min(x[3], y[3]) - max(x[2], y[2])) > x[3] - x[2] for y in kept):
+            kept.append(x)
+    return sorted(kept, key=lambda x: (x[2], x[0]))
+
+
+def scan(docs: DataFrame, texts: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, matched, start, stop, matched_text) with spans in code points."""
-    index = Index(templates or TEMPLATES)
+    shared = docs.sparkSession.sparkContext.broadcast(Index(texts or templates(), coverage))
     schema = docs.select("doc_id").schema
     for name, kind in (("license", "string"), ("coverage", "double"), ("matched", "integer"), ("start", "integer"), ("stop", "integer"), ("matched_text", "string")):
         schema = schema.add(name, kind)
     kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
 
     def run(batches):
+        index = shared.value
         for batch in batches:
             ids, rows = batch.column(0), []
             data, offsets = text_bytes(batch.column(1))
@@ -99,36 +191,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 part = offsets[lo : hi + 1]
                 own = data[part[0] : part[-1]]
                 w, first, starts, ends = hash_words(own, part - part[0], True, ALNUM)
-                grams = gram_hashes(w, GRAM)
-                left = np.searchsorted(index.hash, grams)
-                known = np.flatnonzero((left < len(index.hash)) & (index.hash[np.minimum(left, len(index.hash) - 1)] == grams))
-                if not len(known):
-                    continue
-                doc = np.searchsorted(first, known, side="right") - 1
-                for d in np.unique(doc):
+                known = np.unique(np.searchsorted(first, index.candidates(w)[0], side="right") - 1)  # those across two texts fall out below
+                for d in known.tolist():
                     a, b = first[d], first[d + 1]
-                    text = w[a:b]
-                    picked = winnow(grams[a : max(b - GRAM + 1, a)])
-                    hits: dict[int, set[int]] = {}
-                    for p in picked:
-                        k = np.searchsorted(index.hash, grams[a + p])
-                        while k < len(index.hash) and index.hash[k] == grams[a + p]:
-                            hits.setdefault(int(index.template[k]), set()).add(int(p - index.at[k]))
-                            k += 1
-                    for t, diagonals in sorted(hits.items()):
-                        band = 4 + len(index.words[t]) // 10
-                        done = None
-                        for g in sorted(diagonals):
-                            if done is not None and g - done <= band:
-                                continue
-                            done = g
-                            m, x, y = align(index.words[t], text, g + band // 2, band)
-                            if m >= coverage * len(index.words[t]):
-                                base = part[d] - part[0]
-                                s, e = int(starts[a + x]), int(ends[a + y - 1])
-                                at = len(own[base:s].tobytes().decode(errors="ignore"))
-                                matched = own[s:e].tobytes().decode()
-                                rows.append((lo + int(d), index.names[t], m / len(index.words[t]), m, at, at + len(matched), matched))
+                    for t, m, x, y in settle(index, matches(index, w[a:b])):
+                        base = part[d] - part[0]
+                        s, e = int(starts[a + x]), int(ends[a + y - 1])
+                        at = len(own[base:s].tobytes().decode(errors="ignore"))
+                        matched = own[s:e].tobytes().decode()
+                        rows.append((lo + d, index.names[t], m / len(index.words[t]), m, at, at + len(matched), matched))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0])), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], names=schema.names)
@@ -137,5 +208,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return scan(docs)

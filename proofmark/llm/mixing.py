@@ -2,9 +2,9 @@
 
 Sources, in code-point order with null last, get cyclic weights and share a word budget.  A
 source is clamped at ``max_epochs`` times its size and its excess goes to the others by weight
-until none is above its cap.  In the order of cap over weight the clamped sources form a
-prefix, so the fixed point of that loop is found with running sums over the table of sources
-(one row each), without a driver loop.
+until none is above its cap.  Each turn of that loop is one sum over the table of sources (one row each),
+which never meets in one task: with the level (words a unit of weight) at which the budget is used up, sources whose cap is below it
+are clamped, and the level rises to what the others share.
 
 Within a source each document is taken ``floor(rate)`` times; the fractional repetition goes to
 the documents whose seeded hash bin is at most the bin at which the running sum of words comes
@@ -12,8 +12,8 @@ nearest to what is left.  The sums are per source and bin, so a source with a th
 is summed by every task first and never meets in one of them.
 
 Defined results: a null text has size 0; a null source is a source of its own; sources of size
-0 get target 0; copies of a row with one doc_id share a bin; an empty table gives no rows;
-extra columns pass through, unless named as one of the columns made here, which replace them.
+0 get target 0; a null doc_id is hashed as ''; copies of a row with one doc_id share a bin; an empty table gives no rows;
+extra columns pass through whatever their names, unless named as one of the columns made here, which replace them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize, shared_dir
+from .common import WORD_PATTERN, carried, join_unique, materialize, remove, shared_dir, spread, unpacked_row
 
 MADE = ["size", "source_size", "target", "taken"]
 
@@ -30,58 +30,69 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2) -> DataFrame:
+def in_order(sources: DataFrame, folder: str) -> DataFrame:
+    """(source, source_size, pos): sources numbered from 0 by code point, null last, by ranges and not in one task."""
+    spark = sources.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(sources.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), folder, "sources")
+    before, starts = 0, []
+    for r in dealt.groupBy("part").count().orderBy("part").collect():  # a row a range
+        starts.append((r["part"], before))
+        before += r["count"]
+    first = F.broadcast(spark.createDataFrame(starts, "part int, first long"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("place", place).join(first, "part").select("source", "source_size", (F.col("first") + F.col("place")).alias("pos"))
+
+
+def source_targets(sizes: DataFrame, folder: str, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """(source, source_size, target) from rows of (source, size)."""
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("pos") % len(weights) + 1)
-    cap = F.col("source_size") * max_epochs
-    before = Window.orderBy("ratio", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    src = (
-        sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-        .withColumn("pos", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1)
-        .withColumn("w", weight).withColumn("cap", cap.cast("double")).withColumn("ratio", F.col("cap") / F.col("w"))
-        .withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(budget)))
-        .withColumn("w_all", F.sum("w").over(everything))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("w_before", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("clamped", F.col("ratio") <= (F.col("budget") - F.col("cap_before")) / (F.col("w_all") - F.col("w_before")))
-        .withColumn("cap_sum", F.coalesce(F.sum(F.when(F.col("clamped"), F.col("cap"))).over(everything), F.lit(0.0)))
-        .withColumn("w_free", F.coalesce(F.sum(F.when(~F.col("clamped"), F.col("w"))).over(everything), F.lit(0.0)))
-    )
-    share = F.col("w") * ((F.col("budget") - F.col("cap_sum")) / F.col("w_free"))
-    return src.select("source", "source_size", F.when(F.col("clamped"), F.col("cap")).otherwise(share).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("pos") % len(weights) + 1).cast("int"))
+    src = in_order(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), folder)
+    src = src.withColumn("w", weight).withColumn("cap", (F.col("source_size") * max_epochs).cast("double"))
+    src = materialize(src.withColumn("ratio", F.col("cap") / F.col("w")), folder, "weighted")
+    whole = (src.agg(F.sum("source_size")).first()[0] or 0) * float(budget)
+    clamped, level = -1, 0.0
+    while True:
+        under = F.col("ratio") <= level if clamped >= 0 else F.lit(False)
+        r = src.agg(F.count_if(under).alias("n"), F.sum(F.when(under, F.col("cap")).otherwise(0.0)).alias("cap"), F.sum(F.when(under, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        if r["n"] == clamped or not r["w"]:
+            break
+        clamped, level = r["n"], (whole - r["cap"]) / r["w"]
+    return src.select("source", "source_size", F.when(F.col("ratio") <= level, F.col("cap")).otherwise(F.col("w") * F.lit(level)).alias("target"))
 
 
 def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2, seed: int = 1,
         folder: str | None = None) -> DataFrame:
     """``docs`` with size, source_size, target (of the source) and taken (words, repeats counted)."""
     folder = folder or shared_dir(docs.sparkSession)
-    docs = docs.drop(*[c for c in docs.columns if c in MADE])
+    columns = [c for c in docs.columns if c not in MADE]
     bin_ = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 3), 16, 10).cast("int")
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("__bin", bin_)
-    bins = materialize(sized.groupBy("source", "__bin").agg(F.sum("size").alias("size"), F.count("*").alias("__n")), folder, "mix_bins")
-    targets = source_targets(bins, weights, budget, max_epochs)
-    upto = Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))  # a null source has a key, too
+    sized = carried(docs, key.alias("key"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), bin_.alias("bin"))
+    bins = materialize(sized.groupBy("key", "source", "bin").agg(F.sum("size").alias("size")), folder, "bins")
+    targets = source_targets(bins, folder, weights, budget, max_epochs)
+    targets = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"), "source_size", "target")
+    upto = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 4096 bins a source at most
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.col("target") - F.col("whole") * F.col("source_size")
     plan = (
-        bins.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
+        join_unique(bins.drop("source"), targets, ["key"])
         .withColumn("whole", whole)
         .withColumn("middle", F.sum("size").over(upto) - F.col("size") / 2)
-        .groupBy("source", "source_size", "target", "whole")
-        .agg(F.coalesce(F.max(F.when(F.col("middle") <= left, F.col("__bin"))), F.lit(-1)).alias("cut"))
+        .groupBy("key", "source_size", "target", "whole")
+        .agg(F.coalesce(F.max(F.when(F.col("middle") <= left, F.col("bin"))), F.lit(-1)).alias("cut"))
     )
-    plan = materialize(plan, folder, "mix_plan").withColumnRenamed("source", "__s")
-    n = plan.count()
-    joined = sized.join(F.broadcast(plan) if n <= 100_000 else plan, F.col("source").eqNullSafe(F.col("__s")))
-    taken = F.col("size") * (F.col("whole") + (F.col("__bin") <= F.col("cut")).cast("long"))
-    return joined.withColumn("taken", taken).select(*docs.columns, *MADE)
+    plan = materialize(plan, folder, "plan")
+    remove(docs.sparkSession, *[f"{folder}/{x}" for x in ("bins", "sources", "weighted")])
+    joined = join_unique(sized, plan, ["key"])
+    taken = F.col("size") * (F.col("whole") + (F.col("bin") <= F.col("cut")).cast("long"))
+    return joined.select(*unpacked_row(joined, columns), "size", "source_size", "target", taken.alias("taken"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    folder = shared_dir(spark)
-    return mix(docs, folder=folder).select("doc_id", *MADE)
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    return mix(docs).select("doc_id", *MADE)
 
 
 ORACLE = r"""

@@ -2,13 +2,14 @@
 
 Sixteen statistics of each whole text are standardised by their means and deviations over all
 documents and mapped to ``FEATURES`` random Fourier features of a Gaussian kernel.  Every task sums its part
-of the normal equations of all labelled training rows; the parts are added in two rounds, by row block and
-salt, so no task gathers all of them.  The driver solves a system of fixed size.  Raw scores are
-binned, and a monotone fit (pool adjacent violators) of label rates over the bins calibrates them.
+of the normal equations of all labelled training rows, apart for each of ``FOLDS`` folds; the parts are added in two rounds, by row block and
+salt, so no task gathers all of them.  The driver solves systems of fixed size.  Calibration is a monotone fit
+(pool adjacent violators) of label rates over binned raw scores.  Each training row's raw score comes from the weights of the
+other folds, whose equations are the sum of all less the row's own, so calibration never sees a score that was fitted on its own label.
 
 Defined results: null and empty texts have statistics of 0 and a score like any other; null labels do not
-count; several labels of a document all count; without any label every score is 0.5; a null doc_id
-is hashed as ''; an empty table gives no rows; other columns are not looked at.
+count; several labels of a document all count; a label of a null doc_id counts for nothing; without any label every score is 0.5; a null doc_id
+is hashed as ''; copies get equal scores; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, hash_words, materialize, shared_dir, text_bytes
+from .common import chunks, gram_hashes, hash_words, materialize, shared_dir, spread, text_bytes
 from .langid import fold
 
 FEATURES = 256
 STATS = 16
 BLOCKS, SALTS = 16, 32
+FOLDS = 4
 BINS = 2000
 _UPPER, _LOWERCASE, _DIGIT, _SPACE, _LINE, _STOP, _BANG, _BAR, _SYMBOL, _OTHER = range(10)
 _class = np.full(256, _SYMBOL, np.int64)
@@ -141,31 +143,45 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.at, self.rate), 0, 1)
 
 
+def solve(total: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge weights from the summed normal equations [Z'Z | Z'y]; the last feature is constant, so its square counts rows."""
+    return np.linalg.solve(total[:, :-1] + ridge * max(total[-1, -2], 1) * np.eye(len(total)), total[:, -1])
+
+
 def fit(rows: DataFrame, model: Model, ridge: float = 1e-3) -> Model:
-    """Fit weights and calibration on (stats, y)."""
+    """Fit weights and calibration on (stats, y, fold)."""
     spark = rows.sparkSession
     width = FEATURES + 1
     shared = spark.sparkContext.broadcast(model)
 
     def normal(batches):
-        total = np.zeros((width, width + 1))
+        total = np.zeros((FOLDS, width, width + 1))
         for batch in batches:
             z = shared.value.features(_matrix(batch.column(0)))
-            total += z.T @ np.column_stack([z, batch.column(1).to_numpy().astype(float)])
+            zy, f = np.column_stack([z, batch.column(1).to_numpy().astype(float)]), batch.column(2).to_numpy()
+            for k in range(FOLDS):
+                total[k] += z[f == k].T @ zy[f == k]
         salt = TaskContext.get().partitionId() % SALTS
-        cut = np.array_split(total, BLOCKS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["block", "salt", "part"])
+        cut = np.array_split(total, BLOCKS, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array([np.ascontiguousarray(x).tobytes() for x in cut], pa.binary())], names=["block", "salt", "part"])
 
+    rows = rows.select("stats", "y", "fold")
     got = sum_blocks(rows.mapInArrow(normal, "block int, salt int, part binary"))
-    if not got or not (a := np.concatenate([got[i] for i in range(BLOCKS)]).reshape(width, width + 1))[-1, -2]:
+    if not got:
+        return model
+    folds = np.concatenate([got[i].reshape(FOLDS, -1, width + 1) for i in range(BLOCKS)], 1)
+    total = folds.sum(0)
+    if not total[-1, -2]:
         return model
-    model.beta = np.linalg.solve(a[:, :-1] + ridge * a[-1, -2] * np.eye(width), a[:, -1])
-    fitted = spark.sparkContext.broadcast(model)
+    model.beta = solve(total, ridge)
+    others = spark.sparkContext.broadcast((model, np.column_stack([solve(total - folds[k], ridge) for k in range(FOLDS)])))
 
     def binned(batches):
+        m, betas = others.value
         total = np.zeros((2, BINS))
         for batch in batches:
-            b = ((np.clip(fitted.value.raw(_matrix(batch.column(0))), -0.5, 1.4999) + 0.5) * BINS / 2).astype(int)
+            raw = (m.features(_matrix(batch.column(0))) @ betas)[np.arange(batch.num_rows), batch.column(2).to_numpy()]
+            b = ((np.clip(raw, -0.5, 1.4999) + 0.5) * BINS / 2).astype(int)
             total += [np.bincount(b, minlength=BINS), np.bincount(b, batch.column(1).to_numpy(), BINS)]
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "salt", "part"])
 
@@ -205,10 +221,11 @@ def predict(stats: DataFrame, model: Model) -> DataFrame:
 
 def op3(spark, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("y"))
     stats = materialize(describe(docs), folder, "stats")
-    train = stats.where(~fold("doc_id", 5, 0)).join(labels, "doc_id").select("stats", "y")
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    train = stats.where(~fold("doc_id", 5, 0)).join(labels, "doc_id").select("stats", "y", own.alias("fold"))
     model = fit(train, Model(*moments(stats)))
     scored = predict(stats, model)
     return scored.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")

@@ -7,21 +7,23 @@ Sharding keeps equal windows together without comparing every document to every
 ``GRAM``-word hashes in a window the smallest, leftmost first, is its anchor; equal windows have
 equal anchors.  Anchors that occur once in all documents cannot belong to a repeated window, and only
 the other anchors' windows go on, as segments (the words of consecutive windows with one anchor), to
-the shard of their anchor.  Equal segments are one entry with its first place, before and after the
-shuffle; the others are repeats at once.  An anchor that occurs more than ``HOT`` times sends its
-windows one by one, sharded by their own content, so a passage in a third of all
+the shard of their anchor.  Equal segments of one task travel as one, with the first place; the task's others
+start later, so they are repeats at once.  An anchor that occurs more than ``HOT`` times sends its
+windows one by one, sharded by their own content, and a task that meets it so often knows that by itself, so a passage in a third of all
 documents does not fill one shard.
 
-Each shard indexes its segments: suffixes are sorted to the depth of a window, the
-Burrows-Wheeler transform is kept in a wavelet matrix of packed bits, and backward search
-computes, from every end position of the segments streamed through it, the matching statistic up to the
-threshold.  Where it reaches the threshold, the suffix interval gives the earliest start.
-(An index sorted to depth k answers backward searches of up to k words exactly.)  Words are
-compared by 64-bit hashes.
+Each shard builds indexes over the distinct segments of its anchors: suffixes are sorted to the depth of a window, the
+Burrows-Wheeler transform is kept in a wavelet matrix of packed bits, and the suffix array is dropped.  What stays
+of it is a bit a suffix that marks where another window begins, and for each distinct window the earliest place where it
+starts.  Then all the shard's segments are streamed: backward search computes, from every end position,
+the matching statistic up to the threshold, and where it reaches it, the suffix interval gives that earliest place;
+a window that starts later is a repeat.  (An index sorted to depth k answers backward searches of up to k words exactly.)
+Words are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no words; a null doc_id comes last; rows that repeat an id and text are
 one document and get one result; rows that share an id only are ordered by
-start, then by text checksum; an empty table gives no rows; extra columns pass through ``dedup``.
+start, then by text checksum; an empty table gives no rows; extra columns pass through ``dedup`` whatever their names, unless
+named as one of the columns made here, which replace them.
 """
 
 from __future__ import annotations
@@ -33,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, chunks, gram_hashes, hash_words, materialize, mix64, shared_dir, text_bytes
+from .common import bucket_count, buckets, by_bucket, chunks, gram_hashes, hash_words, materialize, mix64, remove, shared_dir, small, spread, text_bytes
 
 WINDOW = 20
 GRAM = 8
-HOT = 1000
+HOT = 100
 #: Bytes of segments that a task holds before it sends them on.
 HELD = 24 << 20
+#: Words of an index.
+INDEXED = 1_000_000
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -81,8 +85,12 @@ def _split(bucket: np.ndarray):
         yield int(bucket[order[a]]), order[a:b]
 
 
-def emit_anchors(buckets: int):
-    """(bucket, rows): where each anchor occurs."""
+def emit_anchors(n_buckets: int, most: int):
+    """(bucket, rows, known): where each anchor occurs.
+
+    Of an anchor that a batch holds more than ``most`` times one place more is sent, enough to tell that it is hot; the
+    others are known already and are dealt out by document.
+    """
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
@@ -98,30 +106,36 @@ def emit_anchors(buckets: int):
                     parts.append(rows)
             if parts:
                 rows = np.concatenate(parts)
-                got = [(b, rows[at].tobytes()) for b, at in _split((rows["hash"] % np.uint64(buckets)).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.binary())], names=["bucket", "rows"])
+                rows = rows[np.argsort(rows["hash"], kind="stable")]
+                first = np.flatnonzero(np.r_[True, rows["hash"][1:] != rows["hash"][:-1]])
+                place = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+                known, rows = rows[place > most], rows[place <= most]
+                sent = {b: rows[at].tobytes() for b, at in _split((rows["hash"] % np.uint64(n_buckets)).astype(np.int32))}
+                told = {b: known[at].tobytes() for b, at in _split((mix64(known["id"].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32))}
+                both = sorted({*sent, *told})
+                yield pa.RecordBatch.from_arrays([pa.array(both, pa.int32()), pa.array([sent.get(b, b"") for b in both], pa.binary()), pa.array([told.get(b, b"") for b in both], pa.binary())], names=["bucket", "rows", "known"])
     return run
 
 
-def repeated_anchors(batches):
-    """(id, check, pos) of anchors that occur more than once, numbered within their document; a hot anchor's pos is -1 - pos."""
-    blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
-    rows = np.frombuffer(b"".join(blobs), ROW)
-    del blobs
-    order = np.argsort(rows["hash"], kind="stable")
-    h = rows["hash"][order]
-    if not len(h):
-        return
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    n = np.diff(np.r_[first, len(h)])
-    n = np.repeat(n, n)
-    keep = order[n > 1]
-    hot = n[n > 1] > HOT
-    got = rows[keep]
-    pos = np.where(hot, -1 - got["pos"], got["pos"]).astype(np.int32)
-    for at in range(0, len(got), 100_000):
-        cut = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got["id"][cut])), pa.array(got["check"][cut].astype(np.int64)), pa.array(pos[cut])], names=["id", "check", "pos"])
+def repeated_anchors(most: int):
+    """(id, check, pos) of anchors that occur more than once, numbered within their document; the pos of one that occurs more than ``most`` times is -1 - pos."""
+    def out(got, hot):
+        pos = np.where(hot, -1 - got["pos"], got["pos"]).astype(np.int32)
+        for at in range(0, len(got), 100_000):
+            cut = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got["id"][cut])), pa.array(got["check"][cut].astype(np.int64)), pa.array(pos[cut])], names=["id", "check", "pos"])
+
+    def run(batches):
+        for _, (blobs, known) in buckets(batches):
+            told = np.frombuffer(b"".join(known), ROW)
+            yield from out(told, np.ones(len(told), bool))
+            rows = np.frombuffer(b"".join(blobs), ROW)
+            rows = rows[np.argsort(rows["hash"], kind="stable")]
+            first = np.flatnonzero(np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]) if len(rows) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[first, len(rows)])
+            n = np.repeat(n, n)
+            yield from out(rows[n > 1], n[n > 1] > most)
+    return run
 
 
 _HOT_RANGE = 1 << 62
@@ -195,15 +209,15 @@ def _covered(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
-def emit_segments(buckets: int):
+def emit_segments(n_buckets: int):
     """(bucket, heads, words, repeats): segments of repeated anchors, and places already known to repeat."""
     def flush(heads, words):
         heads, words = np.concatenate(heads), np.concatenate(words)
         lead, later = first_places(heads, segment_hash(words, heads["words"].astype(np.int64)))
         known = heads[later]
-        bucket = (heads["hash"][lead] % np.uint64(buckets)).astype(np.int32)
+        bucket = (heads["hash"][lead] % np.uint64(n_buckets)).astype(np.int32)
         got = {b: take_segments(heads, words, lead[at]) for b, at in _split(bucket)}
-        more = {b: known[at] for b, at in _split((known["id"].view(np.uint64) % np.uint64(buckets)).astype(np.int32))}
+        more = {b: known[at] for b, at in _split((mix64(known["id"].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32))}
         rows = [(b, *(x.tobytes() for x in got.get(b, (np.zeros(0, SEGMENT), np.zeros(0, np.uint64)))), more.get(b, np.zeros(0, SEGMENT)).tobytes()) for b in sorted({*got, *more})]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "heads", "words", "repeats"])
 
@@ -249,10 +263,26 @@ def emit_segments(buckets: int):
     return run
 
 
+def _packed(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits in words of 64, and the number of ones before each word."""
+    packed = np.packbits(bits, bitorder="little")
+    packed = np.frombuffer(np.pad(packed, (0, 8 - len(packed) % 8 + 8)).tobytes()[: (len(bits) // 64 + 1) * 8], np.uint64)
+    return packed, np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]].astype(np.int32)
+
+
+def _ones_before(packed: np.ndarray, counts: np.ndarray, i: np.ndarray) -> np.ndarray:
+    block = i >> 6
+    mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+    return counts[block] + np.bitwise_count(packed[block] & mask)
+
+
 class FMIndex:
-    """FM-index over integer symbols below ``sigma``, sorted to the depth of a window, with a wavelet matrix."""
+    """FM-index over integer symbols below ``sigma``, sorted to the depth of a window, with a wavelet matrix.
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int = WINDOW):
+    ``place`` numbers the text's positions; of each distinct context of ``depth`` symbols the least number is kept.
+    """
+
+    def __init__(self, text: np.ndarray, sigma: int, depth: int = WINDOW, place: np.ndarray | None = None):
         n = len(text)
         rank = text.astype(np.int64)
         done = 1
@@ -265,25 +295,24 @@ class FMIndex:
             sorted_key = key[order]
             rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]]) if n else 0
             done += step
-        self.suffixes = np.argsort(rank, kind="stable").astype(np.int32)
-        bwt = text[self.suffixes - 1]
+        suffixes = np.argsort(rank, kind="stable")
+        bwt = text[suffixes - 1]
+        new = np.r_[True, np.diff(rank[suffixes]) != 0] if n else np.zeros(0, bool)
+        self.starts, self.started = _packed(new)
+        if place is not None:  # the least of the places of each distinct context
+            self.least = np.minimum.reduceat(place[suffixes], np.flatnonzero(new)).astype(np.int32) if n else place
         self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
         self.levels = []
         current = bwt.astype(np.uint32)
         for bit in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
             ones = (current >> np.uint32(bit)) & np.uint32(1) == 1
-            packed = np.packbits(ones, bitorder="little")
-            packed = np.frombuffer(np.pad(packed, (0, 8 - len(packed) % 8 + 8)).tobytes()[: (n // 64 + 1) * 8], np.uint64)
-            counts = np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]].astype(np.int32)
-            self.levels.append((bit, packed, counts, int(n - ones.sum())))
+            self.levels.append((bit, *_packed(ones), int(n - ones.sum())))
             current = np.concatenate([current[~ones], current[ones]])
         self.origin = self._descend(np.arange(sigma), np.zeros(sigma, np.int64))
 
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for bit, packed, counts, zeros in self.levels:
-            block = i >> 6
-            mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-            ones = counts[block] + np.bitwise_count(packed[block] & mask)
+            ones = _ones_before(packed, counts, i)
             i = np.where((symbol >> bit) & 1 == 1, zeros + ones, i - ones)
         return i
 
@@ -311,121 +340,132 @@ class FMIndex:
         return length, low, high
 
 
-def repeats_in_shard(heads: np.ndarray, words: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, first window, windows) of the runs of windows that also start earlier in another segment."""
-    lengths = heads["words"].astype(np.int64)
-    _, ids = np.unique(words, return_inverse=True)
-    sigma = int(ids.max(initial=0)) + 2
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    inside = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(words))
-    text = np.zeros(int(lengths.sum() + len(lengths)), np.int64)  # 0 ends each segment
-    text[inside] = ids + 1
-    index = FMIndex(text, sigma)
+    def earliest(self, low: np.ndarray) -> np.ndarray:
+        """The least place of the context of full depth whose interval begins at ``low``."""
+        return self.least[_ones_before(self.starts, self.started, low + 1) - 1]
+
+
+def _window_places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, offset) of every window of segments of so many words."""
     windows = lengths - WINDOW + 1
-    seg = np.repeat(np.arange(len(heads)), windows)
-    within = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+    seg = np.repeat(np.arange(len(lengths)), windows)
+    return seg, np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+
+
+def repeats_in_shard(heads: np.ndarray, words: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first window, windows) of the runs of windows that also start earlier in a segment.
+
+    Equal segments are indexed and searched once, at their first place; what the search finds holds for each of them.
+    """
+    content = segment_hash(words, heads["words"].astype(np.int64))
+    lead, _ = first_places(heads, content)
+    of = np.searchsorted(content[lead], content)  # leads are in the order of their contents
+    own, text_words = take_segments(heads, words, lead)
+    n = own["words"].astype(np.int64)
+    _, symbols = np.unique(text_words, return_inverse=True)
+    starts = np.cumsum(n + 1) - n - 1
+    inside = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(len(text_words))
+    text = np.zeros(int(n.sum() + len(n)), np.int64)  # 0 ends each segment
+    text[inside] = symbols + 1
+    seg, within = _window_places(n)
     at = starts[seg] + within
-    order = np.lexsort((heads["check"][seg], heads["pos"][seg].astype(np.int64) + within, heads["id"][seg]))
-    place = np.full(len(text), np.iinfo(np.int32).max, np.int32)
+    order = np.lexsort((own["check"][seg], own["pos"][seg].astype(np.int64) + within, own["id"][seg]))
+    place = np.full(len(text), np.iinfo(np.int32).max, np.int64)
     place[at[order]] = np.arange(len(order))
-    by_suffix = np.r_[place[index.suffixes], np.iinfo(np.int32).max].astype(np.int32)
-    again = np.zeros(len(seg), bool)
-    for a in range(0, len(seg), block):  # stream the documents' segments through the index
-        start = at[a : a + block]
-        length, low, high = index.matching_statistics(text, start + WINDOW - 1)
-        hit = np.flatnonzero(length >= WINDOW)
-        u, back = np.unique(low[hit], return_inverse=True)
-        top = np.zeros(len(u), np.int64)
-        top[back] = high[hit]
-        least = np.minimum.reduceat(by_suffix, np.column_stack([u, top]).ravel())[::2] if len(u) else u
-        again[a + hit] = least[back] < place[start[hit]]
-    run = np.flatnonzero(again & ~np.r_[False, again[:-1] & (seg[1:] == seg[:-1])]) if len(seg) else seg
-    stop = np.flatnonzero(again & ~np.r_[again[1:] & (seg[1:] == seg[:-1]), False]) if len(seg) else seg
-    return seg[run], within[run], stop - run + 1
+    index = FMIndex(text, int(symbols.max(initial=0)) + 2, WINDOW, place)
+    found = np.zeros(len(seg), np.int64)  # the window that starts first of those equal to each
+    for a in range(0, len(seg), block):  # stream the segments through the index
+        length, low, _ = index.matching_statistics(text, at[a : a + block] + WINDOW - 1)
+        found[a : a + block] = order[index.earliest(low)]  # all of them reach the threshold, as they stand in the index
+    lead_first = np.cumsum(n - WINDOW + 1) - (n - WINDOW + 1)
+    seg, offset = _window_places(heads["words"].astype(np.int64))
+    earliest = found[lead_first[of[seg]] + offset]
+    e = _of(earliest, n)
+    eid, epos, echeck = own["id"][e], own["pos"][e].astype(np.int64) + earliest - lead_first[e], own["check"][e]
+    mid, mpos, mcheck = heads["id"][seg], heads["pos"][seg].astype(np.int64) + offset, heads["check"][seg]
+    again = (eid < mid) | (eid == mid) & ((epos < mpos) | (epos == mpos) & (echeck < mcheck))
+    if not len(seg):
+        return seg, seg, seg
+    same = seg[1:] == seg[:-1]
+    run = np.flatnonzero(again & ~np.r_[False, again[:-1] & same])
+    stop = np.flatnonzero(again & ~np.r_[again[1:] & same, False])
+    return seg[run], offset[run], stop - run + 1
+
+
+def _of(window: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The segment of each window, numbered through all segments."""
+    return np.searchsorted(np.cumsum(lengths - WINDOW + 1), window, side="right")
 
 
 def search_shards(batches):
     """(id, check, span): word ranges to remove, start << 32 | end."""
-    def out(ids, checks, a, b):
-        for at in range(0, len(ids), 100_000):
-            cut = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ids[cut])), pa.array(checks[cut].astype(np.int64)), pa.array(a[cut].astype(np.int64) << 32 | b[cut].astype(np.int64))], names=["id", "check", "span"])
-
-    heads, words = [], []
-    for batch in batches:
-        for h, w, r in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            heads.append(h), words.append(w)
-            known = np.frombuffer(r, SEGMENT)
-            yield from out(known["id"], known["check"], known["pos"], known["pos"] + known["words"])
-    heads, words = np.frombuffer(b"".join(heads), SEGMENT), np.frombuffer(b"".join(words), np.uint64)
-    if not len(heads):
-        return
-    lead, later = first_places(heads, segment_hash(words, heads["words"].astype(np.int64)))
-    known = heads[later]
-    yield from out(known["id"], known["check"], known["pos"], known["pos"] + known["words"])
-    _, of, n = np.unique(heads["hash"][lead], return_inverse=True, return_counts=True)
-    shared = n[of] > 1  # alone with its anchor, a segment has nothing to share a window with
-    # anchors in groups of bounded size, each with an index of its own
-    order = lead[shared][np.argsort(of[shared], kind="stable")]
-    anchor = heads["hash"][order]
-    size = np.cumsum(heads["words"][order].astype(np.int64))
-    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(order) else np.zeros(0, np.int64)
-    part = np.repeat(size[first] // 1_000_000, np.diff(np.r_[first, len(order)])) if len(order) else first
-    for _, at in _split(part.astype(np.int32)):
-        h, w = take_segments(heads, words, order[at])
-        seg, a, n_windows = repeats_in_shard(h, w)
-        yield from out(h["id"][seg], h["check"][seg], h["pos"][seg] + a, h["pos"][seg] + a + n_windows + WINDOW - 1)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__check", F.coalesce(F.crc32("text"), F.lit(0)))
-
-
-def _join_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Join on id (null as the largest) and check; broadcast only if counted to few rows."""
-    n = spans.count()
-    value = spans.columns[2]
-    spans = spans.select(F.col("id").alias("__id"), F.col("check").alias("__of"), F.col(value).alias(f"__{value}"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL_ID)))
-    return docs.join(F.broadcast(spans) if n <= BROADCAST_ROWS // 2 else spans, (key == F.col("__id")) & (F.col("__check") == F.col("__of")), how).drop("__id", "__of")
+    def out(h, a, b):
+        for at in range(0, len(h), 100_000):
+            c = slice(at, at + 100_000)
+            start = h["pos"][c].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h["id"][c])), pa.array(h["check"][c].astype(np.int64)), pa.array((start + a[c]) << 32 | (start + b[c]))], names=["id", "check", "span"])
+
+    for _, (heads, words, repeats) in buckets(batches):
+        known = np.frombuffer(b"".join(repeats), SEGMENT)
+        yield from out(known, np.zeros(len(known), np.int64), known["words"].astype(np.int64))
+        heads, words = np.frombuffer(b"".join(heads), SEGMENT), np.frombuffer(b"".join(words), np.uint64)
+        # anchors in groups of bounded size, each with an index of its own; alone with its anchor, a segment has nothing to share
+        order = np.argsort(heads["hash"], kind="stable")
+        first = np.flatnonzero(np.r_[True, heads["hash"][order][1:] != heads["hash"][order][:-1]]) if len(order) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[first, len(order)])
+        size = np.cumsum(heads["words"][order].astype(np.int64))
+        part = np.repeat(size[first] // INDEXED, n)
+        shared = np.repeat(n, n) > 1
+        for _, at in _split(part[shared].astype(np.int32)):
+            h, w = take_segments(heads, words, order[shared][at])
+            seg, a, n_windows = repeats_in_shard(h, w)
+            yield from out(h[seg], a, a + n_windows + WINDOW - 1)
+
+
+def _id(column: str = "doc_id"):
+    return F.coalesce(F.col(column).cast("long"), F.lit(int(_NULL_ID)))
+
+
+def _check():
+    return F.coalesce(F.crc32("text"), F.lit(0))
 
 
 def removals(docs: DataFrame, folder: str) -> DataFrame:
     """(id, check, spans) of the documents that lose words."""
     spark = docs.sparkSession
-    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _keyed(docs.select("doc_id", "text"))
-    occur = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__check", "text").mapInArrow(emit_anchors(buckets), "bucket int, rows binary")
-    marks = occur.repartition("bucket").mapInArrow(repeated_anchors, "id long, check long, pos int")
+    rows = docs.select(_id().alias("id"), _check().alias("check"), "text")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = bucket_count(spark, size)
+    occur = rows.mapInArrow(emit_anchors(n, HOT), "bucket int, rows binary, known binary")
+    marks = by_bucket(occur, size // 4).mapInArrow(repeated_anchors(HOT), "id long, check long, pos int")
     marks = marks.groupBy("id", "check").agg(F.collect_set("pos").alias("marks")).mapInArrow(_each_list(mark_ranges), "id long, check long, marks array<long>")
     marks = materialize(marks, folder, "anchors")
-    cut = _join_spans(rows, marks, "inner").select(F.col("doc_id").cast("long").alias("doc_id"), "__check", "text", "__marks")
-    segments = cut.mapInArrow(emit_segments(buckets), "bucket int, heads binary, words binary, repeats binary")
-    found = segments.repartition("bucket").mapInArrow(search_shards, "id long, check long, span long")
+    cut = rows.join(small(marks), ["id", "check"]).select("id", "check", "text", "marks")
+    segments = cut.mapInArrow(emit_segments(n), "bucket int, heads binary, words binary, repeats binary")
+    found = by_bucket(segments, size).mapInArrow(search_shards, "id long, check long, span long")
     spans = found.groupBy("id", "check").agg(F.collect_set("span").alias("spans")).mapInArrow(_each_list(_merged), "id long, check long, spans array<long>")
-    return materialize(spans, folder, "spans")
+    spans = materialize(spans, folder, "spans")
+    remove(spark, f"{folder}/anchors")
+    return spans
 
 
-def dedup(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """``docs`` with n_words, n_removed, kept (the remaining words, joined by single spaces) and kept_sha256."""
-    folder = folder or shared_dir(docs.sparkSession)
-    made = ("n_words", "n_removed", "kept_sha256", "kept")
-    docs = docs.drop(*[c for c in docs.columns if c in made])
-    return _finish(docs, removals(docs, folder), True)
+MADE = ("n_words", "n_removed", "kept_sha256", "kept")
 
 
-def _finish(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
-    columns = [c for c in docs.columns if with_text or c != "text"]
-    schema = docs.select(*columns).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+def dedup(docs: DataFrame, folder: str | None = None, with_text: bool = True) -> DataFrame:
+    """``docs`` with n_words, n_removed, kept_sha256 and, with its text, kept (the remaining words, joined by single spaces)."""
+    spans = removals(docs.select("doc_id", "text"), folder or shared_dir(docs.sparkSession))
+    columns = [c for c in docs.columns if c not in MADE and (with_text or c != "text")]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    joined = docs.select(row, _id().alias("id"), _check().alias("check"), "text").join(small(spans), ["id", "check"], "left").select("row", "text", "spans")
+    schema = joined.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
         schema = schema.add("kept", "string")
-    joined = _join_spans(_keyed(docs), spans, "left").select(*columns, "text", "__spans") if not with_text else _join_spans(_keyed(docs), spans, "left").select(*columns, F.col("text").alias("__text"), "__spans")
-    n = len(columns)
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(n))
-            spans = batch.column(n + 1)
+            data, offsets = text_bytes(batch.column(1))
+            spans = batch.column(2)
             counts, gone, shas, kept = [], [], [], []
             for i in range(batch.num_rows):
                 words = data[offsets[i] : offsets[i + 1]].tobytes().split()
@@ -442,12 +482,11 @@ def _finish(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                 if with_text:
                     kept.append(rest.decode())
             made = [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())] + ([pa.array(kept, pa.string())] if with_text else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(run, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in columns], *schema.names[1:])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    folder = shared_dir(spark)
-    return _finish(docs, removals(docs, folder), False)
+    return dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), with_text=False)

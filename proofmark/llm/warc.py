@@ -7,7 +7,7 @@ records back through the sidecar, each member by itself.
 
 Of records with equal payloads (same SHA-1 and length, at least ``min_bytes`` long) the one with
 the smallest page_id stays a response, the others become revisits without payload.  The choice is
-made from the manifest of digests, so no payload is shuffled.
+made from the manifest of digests, so no payload is shuffled; the commonest payloads' rows are joined where they lie.
 
 Files live in the shared folder and are reached by its URI; each task attempt writes names of its
 own and only what a finished attempt reports is read, so lost executors leave orphans at most.
@@ -16,7 +16,7 @@ Memory: one record and one piece of a stream at a time.  An archive is closed at
 
 Defined results: null html is an empty payload; null url gives no target header; line breaks in a
 url are percent-encoded; null page_ids come last and refer by null; of rows with one page_id and one payload the
-first written is the response; an empty table gives no rows; extra columns are not looked at.
+first written (the least archive name and place) is the response; rows that repeat each get a record; an empty table gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import join_unique, materialize, shared_dir
 
 ARCHIVE_BYTES = 32 << 20
 ARCHIVE_RECORDS = 20_000
@@ -157,7 +157,7 @@ def choose_revisits(manifest: DataFrame, min_bytes: int = 0) -> DataFrame:
     order = F.struct(F.col("page_id").isNull(), "page_id", "archive", "ordinal")
     first = (manifest.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes")
              .agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    again = (manifest.join(first, ["payload_digest", "payload_bytes"]).where(order != F.col("first"))
+    again = (join_unique(manifest, first.drop("n"), ["payload_digest", "payload_bytes"]).where(order != F.col("first"))
              .groupBy("archive").agg(F.collect_list(F.struct("ordinal", F.col("first.page_id").alias("page_id"), F.col("first.archive").alias("archive"), F.col("first.ordinal").alias("at"))).alias("revisits")))
     return manifest.groupBy("archive").agg(F.count("*").alias("records")).join(again, "archive", "left")
 
