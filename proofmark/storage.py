@@ -11,10 +11,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes up to which a side of a join is broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 4 << 20
 #: What a row costs in a broadcast table beside its strings and arrays.
-ROW_BYTES = 32
+ROW_BYTES = 96
+_UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
 
 _own: list[str] = []
 _made: list[str] = []
@@ -54,10 +53,12 @@ def is_file(spark: SparkSession, path: str) -> bool:
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete tables or folders that are read no more."""
+    """Delete tables or folders that are read no more, and the shuffle files behind them."""
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()  # shuffle files go once the driver has forgotten the plans that made them
+    spark._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
@@ -90,11 +91,20 @@ def table_bytes(df: DataFrame) -> int:
         kind = f.dataType.typeName()
         if kind in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif kind == "struct":
+            size = size + ROW_BYTES
         elif kind == "array":
             size = size + 8 * F.coalesce(F.array_size(F.col(f"`{f.name}`")), F.lit(0))
     return df.agg(F.sum(size).alias("n")).first()["n"] or 0
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_bytes(spark: SparkSession) -> int:
+    """Bytes up to which a side of a join is broadcast: the session's own bound (spark.sql.autoBroadcastJoinThreshold)."""
+    value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().removesuffix("ib")
+    number, unit = (value[:-1], _UNITS[value[-1]]) if value[-1] in _UNITS else (value, 1)
+    return max(0, int(number) * unit)
+
+
+def small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if measured to be small; otherwise the join shuffles.  ``df`` should be cheap to read twice."""
-    return F.broadcast(df) if table_bytes(df) <= limit else df
+    return F.broadcast(df) if table_bytes(df) <= broadcast_bytes(df.sparkSession) else df
