@@ -178,10 +178,14 @@ def test_warc_equal_payloads_under_one_page_id(spark):
     assert [x[1:] for x in got] == [(5, 4, "response", None), (5, 4, "revisit", 5), (5, 5, "response", None), (7, 4, "revisit", 5), (None, 4, "revisit", 5)]
 
 
-def test_warc_of_one_payload_in_a_third_of_all_pages(spark, monkeypatch):
-    from proofmark.llm import common as c
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
-    monkeypatch.setattr(c, "BROADCAST_BYTES", 0)
+
+def test_warc_of_one_payload_in_a_third_of_all_pages(spark, no_broadcast):
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 1000).cast("string"))).alias("html"))
     got = warc.round_trip(pages).toPandas().set_index("page_id")
     html = pages.toPandas().set_index("page_id").html
@@ -399,8 +403,7 @@ def test_mix_is_the_iterated_water_filling(spark):
     assert mixing.mix(docs(spark, ["", None])).toPandas().taken.sum() == 0
 
 
-def test_mix_of_many_sources_and_none(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+def test_mix_of_many_sources_and_none(spark, no_broadcast):
     rows = spark.range(900).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("é" if 1 else ""), (F.col("id") % 200).cast("string"))).alias("source"))
     got = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix(rows).collect()}
     assert got == {i: (x[0], x[2]) for i, x in brute.mixed([(r["doc_id"], r["source"], r["text"]) for r in rows.collect()]).items()}
@@ -465,10 +468,8 @@ def spark_rows(df):
     return [(r["n_shingles"], r["component_id"]) for r in df.orderBy("doc_id").collect()]
 
 
-def test_jaccard_joins_without_broadcasts_and_with_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+def test_jaccard_joins_without_broadcasts_and_with_hot_keys(spark, monkeypatch, no_broadcast):
     monkeypatch.setattr(common, "HOT_KEYS", 20)
-    monkeypatch.setattr(jaccard.small, "__defaults__", (0,))
     texts = [*awkward(), *["same text of five words"] * 40, *near_copies(60, 3, 50)]
     assert spark_rows(jaccard.join_components(docs(spark, texts))) == brute.components(texts)
 
