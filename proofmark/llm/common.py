@@ -71,8 +71,8 @@ def by_bucket(rows: DataFrame, size: int = 0) -> DataFrame:
 
 
 def bucket_count(spark, size: int = 0) -> int:
-    """Buckets for packed rows of about so many bytes: many a task, so that one is a small part of it."""
-    return 16 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    """Buckets for packed rows of about so many bytes: several a task, so that one is a part of it."""
+    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
 def buckets(batches) -> Iterator[tuple[int, list[list[bytes]]]]:

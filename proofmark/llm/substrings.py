@@ -430,21 +430,30 @@ def _check():
     return F.coalesce(F.crc32("text"), F.lit(0))
 
 
+def repeated_marks(rows: DataFrame, n: int, size: int) -> DataFrame:
+    """(id, check, marks): where the repeated anchors of each document of (id, check, text) are."""
+    occur = rows.mapInArrow(emit_anchors(n, HOT), "bucket int, rows binary, known binary")
+    marks = by_bucket(occur, size // 4).mapInArrow(repeated_anchors(HOT), "id long, check long, pos int")
+    return marks.groupBy("id", "check").agg(F.collect_set("pos").alias("marks")).mapInArrow(_each_list(mark_ranges), "id long, check long, marks array<long>")
+
+
+def repeated_spans(rows: DataFrame, marks: DataFrame, n: int, size: int) -> DataFrame:
+    """(id, check, spans): the word ranges that windows with those anchors repeat."""
+    cut = rows.join(small(marks), ["id", "check"]).select("id", "check", "text", "marks")
+    segments = cut.mapInArrow(emit_segments(n), "bucket int, heads binary, words binary, repeats binary")
+    found = by_bucket(segments, size).mapInArrow(search_shards, "id long, check long, span long")
+    return found.groupBy("id", "check").agg(F.collect_set("span").alias("spans")).mapInArrow(_each_list(_merged), "id long, check long, spans array<long>")
+
+
 def removals(docs: DataFrame, folder: str) -> DataFrame:
     """(id, check, spans) of the documents that lose words."""
     spark = docs.sparkSession
     rows = docs.select(_id().alias("id"), _check().alias("check"), "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = bucket_count(spark, size)
-    occur = rows.mapInArrow(emit_anchors(n, HOT), "bucket int, rows binary, known binary")
-    marks = by_bucket(occur, size // 4).mapInArrow(repeated_anchors(HOT), "id long, check long, pos int")
-    marks = marks.groupBy("id", "check").agg(F.collect_set("pos").alias("marks")).mapInArrow(_each_list(mark_ranges), "id long, check long, marks array<long>")
-    marks = materialize(marks, folder, "anchors")
-    cut = rows.join(small(marks), ["id", "check"]).select("id", "check", "text", "marks")
-    segments = cut.mapInArrow(emit_segments(n), "bucket int, heads binary, words binary, repeats binary")
-    found = by_bucket(segments, size).mapInArrow(search_shards, "id long, check long, span long")
-    spans = found.groupBy("id", "check").agg(F.collect_set("span").alias("spans")).mapInArrow(_each_list(_merged), "id long, check long, spans array<long>")
-    spans = materialize(spans, folder, "spans")
+    marks = materialize(repeated_marks(rows, n, size), folder, "anchors")
+    remove(spark)  # the shuffle of the anchors
+    spans = materialize(repeated_spans(rows, marks, n, size), folder, "spans")
     remove(spark, f"{folder}/anchors")
     return spans
 
