@@ -57,8 +57,9 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()  # shuffle files go once the driver has forgotten the plans that made them
-    spark._jvm.System.gc()
+    for _ in range(2):  # shuffle files go once the driver has forgotten the plans that made them, and what those held
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
