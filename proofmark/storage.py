@@ -11,8 +11,6 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What a row costs in a broadcast table beside its strings and arrays.
-ROW_BYTES = 96
 _UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
 
 _own: list[str] = []
@@ -85,18 +83,9 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def table_bytes(df: DataFrame) -> int:
-    """About what a table holds in memory: rows, and the lengths of its strings, binaries and arrays."""
-    size = F.lit(ROW_BYTES)
-    for f in df.schema.fields:
-        kind = f.dataType.typeName()
-        if kind in ("string", "binary"):
-            size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
-        elif kind == "struct":
-            size = size + ROW_BYTES
-        elif kind == "array":
-            size = size + 8 * F.coalesce(F.array_size(F.col(f"`{f.name}`")), F.lit(0))
-    return df.agg(F.sum(size).alias("n")).first()["n"] or 0
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a table, without running anything: of one just written, the size of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
 def broadcast_bytes(spark: SparkSession) -> int:
@@ -107,5 +96,5 @@ def broadcast_bytes(spark: SparkSession) -> int:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if measured to be small; otherwise the join shuffles.  ``df`` should be cheap to read twice."""
-    return F.broadcast(df) if table_bytes(df) <= broadcast_bytes(df.sparkSession) else df
+    """Marked for broadcast if its size is within the session's bound; otherwise the join shuffles.  Best asked of a table just written."""
+    return F.broadcast(df) if plan_bytes(df) <= broadcast_bytes(df.sparkSession) else df
