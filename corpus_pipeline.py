@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language: models are learned from all labelled rows.
 
     A document goes if it has no letter (null and empty texts, too), or if its best mixture explains its letters
-    worse than chance, as in an unlearned language or in junk.  Without any label nothing is learned and all go.
+    far worse than chance, as in an unlearned language or in junk.  Without any label nothing is learned and all go.
     Null ids and sources are no matter.
     """
     return langid.keep_known(docs, langid.learn(docs.select("text", "lang")))
