@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import broadcast_bytes, materialize, remove, scope, shared_dir, small, spread, table_bytes  # noqa: F401
+from ..storage import broadcast_bytes, materialize, plan_bytes, remove, scope, shared_dir, small, spread  # noqa: F401
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass handles; a longer document is a chunk of its own.
@@ -39,16 +39,17 @@ def unpacked_row(rows: DataFrame, columns: list[str], **made) -> list:
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join with a table of one row a key; ``left`` should be cheap to read twice, and no key may be null.
 
-    A table measured to be small is broadcast.  Otherwise keys that hold over a thousandth of the rows, which can be no more than a
+    A table within the session's bound is broadcast.  Otherwise keys that hold over a thousandth of the rows, which can be no more than a
     thousand, are joined by broadcast and the rest by a shuffle, so that no key meets in one task.
     """
-    if table_bytes(right) <= broadcast_bytes(right.sparkSession):
+    if plan_bytes(right) <= broadcast_bytes(right.sparkSession):
         return left.join(F.broadcast(right), keys, how)
     counts = left.groupBy(*keys).agg(F.count("*").alias("__n"))
-    total = left.count()
-    hot = counts.where(F.col("__n") > max(total // HOT_KEYS, 1)).select(*keys)
-    if hot.isEmpty():
+    got = counts.agg(F.sum("__n").alias("total"), F.max("__n").alias("most")).first()
+    limit = max((got["total"] or 0) // HOT_KEYS, 1)
+    if (got["most"] or 0) <= limit:
         return left.join(right, keys, how)
+    hot = counts.where(F.col("__n") > limit).select(*keys)
     few = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys, how)
     return few.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
 

@@ -170,7 +170,7 @@ class Space:
         df = np.zeros(len(self.vocabulary.hashes))
         df[np.searchsorted(self.vocabulary.hashes, hashes)] = n
         self.idf = np.log((runs + 1) / (df + 1)) + 0.01
-        self.dimensions = min(DIMENSIONS, 1 << max(8, int(4 * len(df)).bit_length()))
+        self.dimensions = min(DIMENSIONS, 1 << max(8, int(2 * len(df)).bit_length()))
         self.feature = (mix64(self.vocabulary.hashes) % np.uint64(self.dimensions)).astype(np.int64)
         self.basis = np.zeros((self.dimensions, 0), np.float32)
 
@@ -219,7 +219,7 @@ def latent_basis(items: DataFrame, space: Space, n_passages: int, rank: int = RA
 
     def gram_times(block: np.ndarray) -> np.ndarray:
         """A' A block."""
-        right = spark.sparkContext.broadcast(block)
+        right = spark.sparkContext.broadcast(block.astype(np.float32))
 
         def product(total, words):
             s = shared.value
@@ -227,12 +227,14 @@ def latent_basis(items: DataFrame, space: Space, n_passages: int, rank: int = RA
                 f, x = s.tfidf(words[a:b])
                 np.add.at(total, f, np.outer(x, x @ right.value[f]))
 
-        return sum_products(items, block.shape, product)
+        out = sum_products(items, block.shape, product)
+        right.destroy()
+        return out
 
     width = min(rank + 10, space.dimensions)
     q, _ = np.linalg.qr(gram_times(np.random.default_rng(seed).normal(size=(space.dimensions, width))))
     q, _ = np.linalg.qr(gram_times(q))
-    right = spark.sparkContext.broadcast(q)
+    right = spark.sparkContext.broadcast(q.astype(np.float32))
 
     def product(total, words):
         s = shared.value
@@ -242,6 +244,8 @@ def latent_basis(items: DataFrame, space: Space, n_passages: int, rank: int = RA
             total += np.outer(y, y)
 
     values, vectors = np.linalg.eigh(sum_products(items, (width, width), product))
+    right.destroy()
+    shared.destroy()
     best = np.argsort(-values)[: min(rank, n_passages)]
     return (q @ vectors[:, best[values[best] > 1e-9]]).astype(np.float32)
 
@@ -457,6 +461,7 @@ def retrievers(docs: DataFrame, benchmark: DataFrame, folder: str, min_cosine: f
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=["item_id", "words", "rows"])
 
             made = block.select("item_id", "words").mapInArrow(run, block.select("item_id", "words").schema.add("rows", "binary")).toArrow()
+            shared.destroy()
             of = [np.frombuffer(x, np.uint64) for x in made.column(1).to_pylist()]
             rows = [np.frombuffer(x, np.float32).reshape(-1, space.basis.shape[1]) if space.basis.shape[1] else np.zeros((len(passages(len(w))), 0), np.float32) for x, w in zip(made.column(2).to_pylist(), of)]
             yield Retriever(of, space, rows, min_cosine, min_lcs, min_paraphrase, min_answer), made.column(0).combine_chunks()

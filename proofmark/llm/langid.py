@@ -9,7 +9,8 @@ shrunk for short texts.  All documents of a chunk go through the numpy passes to
 more languages there are.
 
 ``fit`` says how well that mixture explains the text: its log-likelihood a trigram less that of trigrams drawn evenly.
-Below 0 the letters are better explained by chance, as in an unlearned language or in junk.
+Below 0 the letters are better explained by chance; a few words around a key or a number come near that, an unlearned
+language or junk goes far below, so ``keep_known`` draws the line at -1, a factor of e a trigram.
 
 Letters are lower-cased code points of ``str.isalpha``; everything else separates words.  The model holds
 ``BUCKETS`` numbers a language and is the only thing broadcast.
@@ -201,7 +202,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *MADE]))
 
 
-def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least_fit: float = 0.0) -> DataFrame:
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least_fit: float = -1.0) -> DataFrame:
     """The rows of ``docs`` in a learned language: those that have a letter and whose fit reaches ``least_fit``."""
     shared = _broadcast(docs, model)
     at = docs.columns.index("text")

@@ -186,6 +186,7 @@ def fit(rows: DataFrame, model: Model, ridge: float = 1e-3) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "salt", "part"])
 
     n, y = sum_blocks(rows.mapInArrow(binned, "block int, salt int, part binary"))[0].reshape(2, BINS)
+    others.destroy()
     model.at, model.rate = isotonic((np.arange(BINS) + 0.5) * 2 / BINS - 0.5, n, y)
     return model
 

@@ -124,7 +124,7 @@ def test_languages(spark):
     got = langid.identify(rows, model).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in got[:8]] == ["en", "de", "en", "und", "und", "und", "en", "de"] and passed_through(got, ("lang_pred", "score", "languages", "fit"))
     assert all(0 <= r["score"] <= 1 for r in got) and got[3]["score"] == 0 and got[1]["score"] == got[7]["score"] and "de" in got[2]["languages"]
-    kept = langid.keep_known(rows, model).orderBy("doc_id").collect()
+    kept = langid.keep_known(rows, model, 0.0).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in kept] == [0, 1, 2, 6, 7] and passed_through(kept) and got[8]["fit"] < 0 < got[0]["fit"]
     empty = langid.learn(train.where("false"))
     assert {r["lang_pred"] for r in langid.identify(rows, empty).collect()} == {"und"} and langid.keep_known(rows, empty).count() == 0

@@ -15,7 +15,7 @@ def plain(rows, items):
     """doc_id -> (text, size, target, taken) of (doc_id, text, lang, source) rows, all ids different."""
     languages = brute.Languages([(r["text"], r["lang"]) for r in rows])
     fits = {r["doc_id"]: languages.predict(r["text"])[2] for r in rows}
-    rows = sorted((r for r in rows if fits[r["doc_id"]] is not None and fits[r["doc_id"]] >= 0), key=lambda r: r["doc_id"])
+    rows = sorted((r for r in rows if fits[r["doc_id"]] is not None and fits[r["doc_id"]] >= -1), key=lambda r: r["doc_id"])
     rows = [r for i, (r, (_, c)) in enumerate(zip(rows, brute.components([r["text"] for r in rows]))) if c == i]
     rows = [r for r in rows if not any(brute.benchmark_scores(r["text"], t) for t in items if t)]
     random_ = brute.random_tokens([r["text"] for r in rows])
