@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import broadcast_bytes, materialize, plan_bytes, remove, scope, shared_dir, small, spread  # noqa: F401
+from ..storage import TEXT_JOIN_BYTES, broadcast_bytes, materialize, plan_bytes, remove, scope, shared_dir, small, spread  # noqa: F401
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass handles; a longer document is a chunk of its own.

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, buckets, by_bucket, carried, chunks, gram_hashes, hash_words, join_unique, materialize, mix64, remove, shared_dir, small, spread, text_bytes
+from .common import TEXT_JOIN_BYTES, bucket_count, buckets, by_bucket, carried, chunks, gram_hashes, hash_words, join_unique, materialize, mix64, remove, shared_dir, small, spread, text_bytes
 
 K = 5
 POPULAR = 8
@@ -585,7 +585,7 @@ def set_components(docs: DataFrame, sets: DataFrame, folder: str, k: int = K) ->
     stats = wanted.agg(F.count("*").alias("rows"), F.max("n").alias("largest"), F.sum("n").alias("shingles")).first()
     if not stats["rows"]:
         return spark.createDataFrame([], "set_id long, label long")
-    texts = docs.withColumn("id", key).join(small(wanted.select("id", "check", "wanted")), ["id", "check"]).select("wanted", "text")
+    texts = docs.withColumn("id", key).join(small(wanted.select("id", "check", "wanted"), TEXT_JOIN_BYTES), ["id", "check"]).select("wanted", "text")
 
     def keep(batches):
         for batch in batches:
@@ -644,7 +644,7 @@ def deduplicate(docs: DataFrame, folder: str | None = None, k: int = K) -> DataF
     other = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("component_id") != F.col("doc_id")))
     gone = materialize(found.where(other).select(id_.alias("id"), "check").distinct(), folder, "gone")
     rows = carried(docs, id_.alias("id"), F.coalesce(F.crc32("text"), F.lit(0)).alias("check"))
-    return rows.join(small(gone), ["id", "check"], "left_anti").select("row.*")
+    return rows.join(small(gone, TEXT_JOIN_BYTES), ["id", "check"], "left_anti").select("row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
