@@ -7,6 +7,7 @@ chunk of documents is tokenised and hashed by a few numpy passes and no Python l
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,18 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return few.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
 
 
+# ---------------------------------------------------------------- memory of workers
+
+def tidy(run):
+    """``run`` that gives freed memory back to the system when a task ends: a worker that waits for the next one stays small."""
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    return inner
+
+
 # ---------------------------------------------------------------- packed shuffles
 
 #: Bytes of packed rows that a task may get.

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, as_long, chunks, gram_hashes, hash_words, materialize, mix64, shared_dir, spread, text_bytes
+from .common import ALNUM, as_long, chunks, gram_hashes, hash_words, materialize, mix64, shared_dir, spread, text_bytes, tidy
 
 HALF = 24
 RANK = 160
@@ -108,7 +108,7 @@ def parse_items(benchmark: DataFrame, folder: str) -> tuple[DataFrame, int]:
             words = [item_words(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([len(w) for w in words], pa.int32())], names=schema.names)
 
-    items = materialize(benchmark.select("item_id", "text").mapInArrow(run, schema).where("n > 0"), folder, "items")
+    items = materialize(benchmark.select("item_id", "text").mapInArrow(tidy(run), schema).where("n > 0"), folder, "items")
     blocks = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
     return items.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))), blocks
 
@@ -120,7 +120,7 @@ def item_vocabulary(items: DataFrame) -> DataFrame:
             w = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist())]))
             yield pa.RecordBatch.from_arrays([pa.array(as_long(w))], names=["w"])
 
-    return items.select("words").mapInArrow(run, "w long").distinct()
+    return items.select("words").mapInArrow(tidy(run), "w long").distinct()
 
 
 def frequencies(docs: DataFrame, words: DataFrame, folder: str) -> tuple[DataFrame, int]:
@@ -151,7 +151,7 @@ def frequencies(docs: DataFrame, words: DataFrame, folder: str) -> tuple[DataFra
             if counts_runs:
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([runs])], names=["w", "n"])
 
-        counts = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+        counts = docs.select("text").mapInArrow(tidy(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
         out = counts if out is None else out.unionByName(counts)
     if out is None:
         return spark.createDataFrame([], "w long, n long"), 0
@@ -205,7 +205,7 @@ def sum_products(rows: DataFrame, shape: tuple[int, int], product) -> np.ndarray
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "part": pa.array([whole.tobytes()], pa.binary())})
 
     schema = "block int, salt int, part binary"
-    parts = rows.select("words").mapInArrow(run, schema).groupBy("block", "salt").applyInArrow(add, schema).groupBy("block", "salt").applyInArrow(add, schema)
+    parts = rows.select("words").mapInArrow(tidy(run), schema).groupBy("block", "salt").applyInArrow(add, schema).groupBy("block", "salt").applyInArrow(add, schema)
     cut = [np.zeros(x.shape) for x in np.array_split(np.zeros(shape), blocks)]
     for r in parts.toLocalIterator():  # DIMENSIONS rows of RANK numbers, whatever the benchmark
         cut[r["block"]] += np.frombuffer(r["part"], np.float64).reshape(cut[r["block"]].shape)
@@ -460,7 +460,7 @@ def retrievers(docs: DataFrame, benchmark: DataFrame, folder: str, min_cosine: f
                     rows = [shared.value.latent(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column(1).to_pylist()]
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=["item_id", "words", "rows"])
 
-            made = block.select("item_id", "words").mapInArrow(run, block.select("item_id", "words").schema.add("rows", "binary")).toArrow()
+            made = block.select("item_id", "words").mapInArrow(tidy(run), block.select("item_id", "words").schema.add("rows", "binary")).toArrow()
             shared.destroy()
             of = [np.frombuffer(x, np.uint64) for x in made.column(1).to_pylist()]
             rows = [np.frombuffer(x, np.float32).reshape(-1, space.basis.shape[1]) if space.basis.shape[1] else np.zeros((len(passages(len(w))), 0), np.float32) for x, w in zip(made.column(2).to_pylist(), of)]
@@ -492,7 +492,7 @@ def find(docs: DataFrame, benchmark: DataFrame, folder: str | None = None, **lim
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), ids.take(pa.array(cols[1])), *(pa.array(c, k) for c, k in zip(cols[2:], kinds))], names=schema.names)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -511,7 +511,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, folder: str | None = No
                     keep[[lo + h[0] for h in shared.value.hits(w, first)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

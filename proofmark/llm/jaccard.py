@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_JOIN_BYTES, bucket_count, buckets, by_bucket, carried, chunks, gram_hashes, hash_words, join_unique, materialize, mix64, remove, shared_dir, small, spread, text_bytes
+from .common import TEXT_JOIN_BYTES, bucket_count, buckets, by_bucket, carried, chunks, gram_hashes, hash_words, join_unique, materialize, mix64, remove, shared_dir, small, spread, text_bytes, tidy
 
 K = 5
 POPULAR = 8
@@ -82,7 +82,7 @@ def describe_sets(docs: DataFrame, k: int) -> DataFrame:
                 n[i], ids[i], ok[i] = len(s), set_id(s), True
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(ids, mask=~ok)], names=schema.names)
 
-    return docs.select("doc_id", "check", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "check", "text").mapInArrow(tidy(run), schema)
 
 
 # ---------------------------------------------------------------- packed shuffles
@@ -317,8 +317,8 @@ def candidate_edges(surviving: DataFrame, lows: list[int], folder: str, shingles
     """(a, b): pairs that agree on enough signatures, and stars over popular ones."""
     spark = surviving.sparkSession
     size = shingles * SIGNATURE.itemsize // 2
-    sent = surviving.select("set_id", "tokens").mapInArrow(emit_signatures(bucket_count(spark, size), lows, POPULAR), SENT)
-    grouped = materialize(by_bucket(sent, size).mapInArrow(group_signatures(POPULAR), GROUPED), folder, "grouped")
+    sent = surviving.select("set_id", "tokens").mapInArrow(tidy(emit_signatures(bucket_count(spark, size), lows, POPULAR)), SENT)
+    grouped = materialize(by_bucket(sent, size).mapInArrow(tidy(group_signatures(POPULAR)), GROUPED), folder, "grouped")
     popular = grouped.where("popular").select(F.col("a").alias("set"), "key", F.col("slack_a").alias("slack"), "sig")
     left_out = materialize(popular.groupBy("set", "key").agg(F.count("*").alias("out"), F.max("slack").alias("slack")), folder, "left_out")
     pairs = (grouped.where("NOT popular").groupBy("a", "b", "key")
@@ -578,8 +578,8 @@ def set_components(docs: DataFrame, sets: DataFrame, folder: str, k: int = K) ->
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL_ID)))
     nodes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.min(F.struct(key.alias("id"), "check")).alias("at"))
     size = shingles * PREFIX.itemsize * 3 // 10
-    prefixes = docs.select("text").mapInArrow(emit_prefixes(bucket_count(spark, size), k), SENT)
-    counted = by_bucket(prefixes, size).mapInArrow(shared_prefixes, "set_id long, n long").groupBy("set_id").agg(F.sum("n").alias("shared"))
+    prefixes = docs.select("text").mapInArrow(tidy(emit_prefixes(bucket_count(spark, size), k)), SENT)
+    counted = by_bucket(prefixes, size).mapInArrow(tidy(shared_prefixes), "set_id long, n long").groupBy("set_id").agg(F.sum("n").alias("shared"))
     wanted = nodes.join(counted, "set_id").where(F.col("shared") >= F.floor(F.col("n") / 20) + 1)
     wanted = materialize(wanted.select(F.col("at.id").alias("id"), F.col("at.check").alias("check"), F.col("set_id").alias("wanted"), "n"), folder, "wanted")
     stats = wanted.agg(F.count("*").alias("rows"), F.max("n").alias("largest"), F.sum("n").alias("shingles")).first()
@@ -594,7 +594,7 @@ def set_components(docs: DataFrame, sets: DataFrame, folder: str, k: int = K) ->
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["set_id", "tokens"])
 
-    surviving = materialize(texts.mapInArrow(keep, "set_id long, tokens binary"), folder, "surviving")
+    surviving = materialize(texts.mapInArrow(tidy(keep), "set_id long, tokens binary"), folder, "surviving")
     edges = candidate_edges(surviving, bands(stats["largest"]), folder, stats["shingles"])
     clusters = components(edges, folder, "cluster")
     remove(spark, *[f"{folder}/{x}" for x in ("wanted", "grouped", "left_out", "kept", "hubs")])

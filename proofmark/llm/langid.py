@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spread
+from .common import spread, tidy
 
 BUCKETS = 1 << 15
 #: Characters times languages that one numpy pass handles.
@@ -99,7 +99,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             b = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(b), pa.string()), pa.array(b, pa.int32()), pa.array(row[b].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(tidy(count), "lang string, bucket int, n long")
     sums = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows a language at most
     langs = sorted(set(sums.column(0).to_pylist()))
     counts = np.full((len(langs), BUCKETS), 0.1)
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             made = [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string()), pa.array(fits, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in MADE)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *MADE]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *MADE]))
 
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least_fit: float = -1.0) -> DataFrame:
@@ -213,7 +213,7 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least_fit:
             keep = [(size > 0) & (np.nan_to_num(fit, nan=-np.inf) >= least_fit) for _, size, fit in _inferred(batch.column(at), langs, logp)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def fold(column: str, parts: int, rest: int) -> F.Column:
