@@ -12,7 +12,8 @@ nearest to what is left.  The sums are per source and bin, so a source with a th
 is summed by every task first and never meets in one of them.
 
 Defined results: a null text has size 0; a null source is a source of its own; sources of size
-0 get target 0; a null doc_id is hashed as ''; copies of a row with one doc_id share a bin; an empty table gives no rows;
+0 get target 0; rows of null doc_id are put into seeded random bins one by one by their places in the table, so that the remainder is cut among them even where all are
+equal (reruns over the same files agree); copies of a row with one doc_id share a bin; an empty table gives no rows;
 extra columns pass through whatever their names, unless named as one of the columns made here, which replace them.
 """
 
@@ -67,9 +68,12 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int
     """``docs`` with size, source_size, target (of the source) and taken (words, repeats counted)."""
     folder = folder or shared_dir(docs.sparkSession)
     columns = [c for c in docs.columns if c not in MADE]
-    bin_ = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 3), 16, 10).cast("int")
+    hashed = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}"))), 1, 3), 16, 10).cast("int")
+    dealt = F.floor(F.rand(seed) * 4096).cast("int")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))  # a null source has a key, too
-    sized = carried(docs, key.alias("key"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), bin_.alias("bin"))
+    made = [key.alias("key"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")]
+    nameless = materialize(carried(docs.where("doc_id IS NULL"), *made, dealt.alias("bin")), folder, "nameless")  # written, as a bin is drawn once
+    sized = carried(docs.where("doc_id IS NOT NULL"), *made, hashed.alias("bin")).unionByName(nameless)
     bins = materialize(sized.groupBy("key", "source", "bin").agg(F.sum("size").alias("size")), folder, "bins")
     targets = source_targets(bins, folder, weights, budget, max_epochs)
     targets = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"), "source_size", "target")

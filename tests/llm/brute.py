@@ -171,6 +171,19 @@ def subsequence(a, b):
     return row[-1]
 
 
+def aligned(template, text):
+    """(matched, first, last + 1) of the longest common subsequence that starts latest and, of those, ends earliest."""
+    best = [(0, 0, 0)] * (len(text) + 1)
+    for t in template:
+        row = [(0, 0, 0)]
+        for j, x in enumerate(text):
+            m, first, _ = best[j]
+            row.append(max(best[j + 1], row[j], (m + 1, first if m else j, -j - 1) if x == t else (0, 0, 0)))
+        best = row
+    m, first, last = best[-1]
+    return m, first, -last
+
+
 def plain_words(text):
     return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", lower(text))
 

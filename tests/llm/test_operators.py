@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -371,21 +372,30 @@ def test_alignment_is_the_banded_common_subsequence():
 
 
 def test_license_query_equals_a_search_of_every_place(spark):
-    """Every place of every whole text against every template, without fingerprints and bands."""
+    """Every place of every whole text against every template, without fingerprints and bands; then the rule for matches that overlap."""
     index = licenses.Index(licenses.templates())
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     expected = set()
     for r in rows:
         w = licenses.words(r["text"] or "")
+        found = []
         for t, template in enumerate(index.words):
-            n, known = len(template), np.isin(w, template)
-            near = np.convolve(known, np.ones(min(len(w), n + licenses.band_of(n)) or 1, int))[: len(w)] if len(w) else np.zeros(0)
-            if (near >= 0.8 * n).any():
-                for at in np.flatnonzero(near >= 0.8 * n).tolist():
-                    if brute.subsequence(template.tolist(), w[max(0, at + 1 - n - licenses.band_of(n)) : at + 1].tolist()) >= 0.8 * n:
-                        expected.add((r["doc_id"], index.names[t]))
-                        break
-    got = {(r["doc_id"], r["license"]) for r in QUERIES["op5_license_spans"](spark, SF).collect()}
+            n, wide = len(template), len(template) + licenses.band_of(len(template))
+            near = np.convolve(np.isin(w, template), np.ones(min(len(w), wide) or 1, int))[: len(w)] if len(w) else np.zeros(0)
+            ends = [at for at in np.flatnonzero(near >= 0.8 * n).tolist() if brute.subsequence(template.tolist(), w[max(0, at + 1 - wide) : at + 1].tolist()) >= 0.8 * n]
+            while ends:  # the ends of one place follow each other
+                place = [at for at in ends if at - ends[0] < wide]
+                ends = ends[len(place) :]
+                low = max(0, place[0] + 1 - wide)
+                m, x, y = brute.aligned(template.tolist(), w[low : place[-1] + 1].tolist())
+                found.append((m, m / n, low + x, low + y, index.names[t]))
+        kept = []
+        for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2])):
+            if not any(2 * (min(f[3], k[3]) - max(f[2], k[2])) > f[3] - f[2] for k in kept):
+                kept.append(f)
+        spans = [m.span() for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", r["text"] or "")]
+        expected |= {(r["doc_id"], f[4], f[0], spans[f[2]][0], spans[f[3] - 1][1]) for f in kept}
+    got = {(r["doc_id"], r["license"], r["matched"], r["start"], r["stop"]) for r in QUERIES["op5_license_spans"](spark, SF).collect()}
     assert got == expected and got
 
 
@@ -411,6 +421,15 @@ def test_mix_of_many_sources_and_none(spark, no_broadcast):
     assert len(one) == 900 and {r["source"] for r in one} == {None} and abs(sum(r["taken"] for r in one) - one[0]["target"]) <= 36 * 2
 
 
+def test_mix_of_rows_without_ids_is_near_its_targets(spark):
+    rows = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c d e").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    got = mixing.mix(rows).collect()
+    taken = {s: sum(r["taken"] for r in got if r["source"] == s) for s in ("s0", "s1", "s2")}
+    assert len(got) == 900 and {r["source"]: r["target"] for r in got} == {"s0": 3000, "s1": 1250, "s2": 2500}
+    assert taken["s0"] == 3000 and abs(taken["s1"] - 1250) <= 15 and abs(taken["s2"] - 2500) <= 15 and all(r["taken"] in (0, 5, 10) for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(rows).collect()))
+
+
 # ---------------------------------------------------------------- 7
 
 def near_copies(n, seed, size):
