@@ -22,7 +22,7 @@ DELETED = "\u200B\u200C\u200D\uFEFF\u00AD"
 ARTICLES = ("the", "a", "an")
 LEGAL_SUFFIXES = ("inc", "incorporated", "llc", "ltd", "limited", "co", "corp", "corporation", "company", "lp", "llp", "plc")
 # Folds to ASCII beyond lower() and beyond decomposition.
-CASE_FOLDS = {"ß": "ss", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+CASE_FOLDS = {"ß": "ss", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "n", "ǰ": "j", "ẖ": "h", "ẗ": "t", "ẘ": "w", "ẙ": "y", "ẚ": "a"}
 LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"}
 # Romanisation of Cyrillic and Greek letters.
 CYRILLIC = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_dir
 from .gate import blob, confirms_exactly
 
 #: The order of attempts.
@@ -32,19 +33,24 @@ def recover(labels: DataFrame, reads: DataFrame, reference: str) -> DataFrame:
     return joined.withColumn("ocr_lines", F.when(F.col("__lacks") & F.col("best").isNotNull(), F.concat("ocr_lines", turned)).otherwise(F.col("ocr_lines"))).drop("__lacks", "best")
 
 
-def retry(labels: DataFrame, read: Callable[[DataFrame], DataFrame], reference: str) -> DataFrame:
+def retry(labels: DataFrame, read: Callable[[DataFrame], DataFrame], reference: str, folder: str | None = None) -> DataFrame:
     """``labels`` after at most three more reads of those whose upright read lacks the reference.
 
     ``read`` turns (label_id, rotation) rows into (label_id, rotation, lines).  A label is asked for the next rotation
-    only while none held the reference, and the first that does is added to the upright lines.
+    only while none held the reference, and the first that does is added to the upright lines.  Which labels are asked and what a turn gave
+    are written to the shared folder, so no label is read twice at a turn, however often the result is computed.
     """
-    open_ = labels.where(F.col("ocr_lines").isNotNull() & ~confirms_exactly(F.lit(reference), blob(F.col("ocr_lines")))).select("label_id")
+    folder = folder or shared_dir(labels.sparkSession)
+    lacks = F.col("ocr_lines").isNotNull() & ~confirms_exactly(F.lit(reference), blob(F.col("ocr_lines")))
+    open_ = materialize(labels.where(lacks).select("label_id"), folder, "asked0")
     hits = None
     for turn in ROTATIONS:
-        got = read(open_.withColumn("rotation", F.lit(turn))).where((F.col("rotation") == turn) & confirms_exactly(F.lit(reference), blob(F.col("lines"))))
-        got = got.select("label_id", "rotation", "lines")
+        holds = (F.col("rotation") == turn) & confirms_exactly(F.lit(reference), blob(F.col("lines")))
+        got = read(open_.withColumn("rotation", F.lit(turn))).select("label_id", "rotation", F.when(holds, F.col("lines")).alias("lines"))
+        got = materialize(got, folder, f"read{turn}").where("lines IS NOT NULL")
         hits = got if hits is None else hits.unionByName(got)
-        open_ = open_.join(got.select("label_id"), "label_id", "left_anti")
+        if turn != ROTATIONS[-1]:
+            open_ = materialize(open_.join(got.select("label_id"), "label_id", "left_anti"), folder, f"asked{turn}")
     return recover(labels, hits, reference)
 
 

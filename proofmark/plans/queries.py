@@ -13,11 +13,13 @@ from ..functions.text import canon_statutory, count_words, neutralize_csv_cell,
 from ..operators import batch, bold, budget, corroborate, gate, matchers, page, rotation
 from ..operators.verify import beverage_class, findings, verify
 from ..rulebook import Rulebook, load, texts
+from ..sources import export
 from ..sources.applications import health as health_row
 from ..sources.applications import last_wins
 from ..sources.images import media_type, png_size
 from ..storage import is_file, shared_dir, spread
 from ..streaming.budget import run_once
+from ..streaming.progress import history, land_stream
 from . import surface
 
 
@@ -87,8 +89,11 @@ def verify_report(spark, sf_dir):
 
 
 def _items(spark, sf_dir) -> DataFrame:
+    return _items_of(surface.flat(spark, sf_dir))
+
+
+def _items_of(rows: DataFrame) -> DataFrame:
     """Batch items of the surface: labels that were read, whose reading failed, that wait, and files turned down."""
-    rows = surface.flat(spark, sf_dir)
     uploaded = rows.where("failure IS NULL OR failure IN ('reader', 'other')")
     failures = [F.when(F.col("failure") == "reader", "The reader gave no answer in time.").alias("reader_error"), (F.col("failure") == "other").alias("failed")]
     good, errors = batch.isolate(surface.labels(uploaded.select(*[c for c in rows.columns], *failures), "batch_no", "reader_error", "failed"))
@@ -106,6 +111,24 @@ def batch_items(spark, sf_dir):
     return items.select("batch_no", "place", "filename", batch.display_status(F.col("status"), F.col("verdict")).alias("shown"), F.when(F.col("status") == "error", F.col("detail")).alias("error"))
 
 
+def export_items(spark, sf_dir):
+    """All items as one export in parts, read back in its order."""
+    folder = f"{shared_dir(spark)}/export"
+    export.write_grid(_items(spark, sf_dir), load(), folder)
+    return export.read_back(spark, folder).select("place", "filename", "status", "verdict", *[r.id for r in load().rules])
+
+
+def stream_progress(spark, sf_dir):
+    """The counts after the last micro-batch of a stream of labels, which starts again halfway."""
+    rows, folder = table(spark, sf_dir, "part"), shared_dir(spark)
+    for half in range(2):
+        rows.where(F.col("p_partkey") % 2 == half).repartition(4).write.mode("append").parquet(f"{folder}/part.parquet")
+        arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/part.parquet")
+        land_stream(arrivals, lambda part, number: _items_of(surface.over(part)), f"{folder}/out", f"{folder}/state", "batch_no").awaitTermination()
+    last = history(spark, f"{folder}/out")
+    return last.join(F.broadcast(last.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
+
+
 def headline(spark, sf_dir):
     return batch.to_items(_reports(spark, sf_dir)).select(F.col("pos").alias("label_id"), "verdict", "detail")
 
@@ -312,7 +335,7 @@ def rotation_option(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rules, rulebook_version, health, class_rules, abv_consistency, warning_verdict, warning_edits, brand_match, verify_findings, verify_report, batch_summary, batch_items, headline, rule_grid,
+    rules, rulebook_version, health, class_rules, abv_consistency, warning_verdict, warning_edits, brand_match, verify_findings, verify_report, batch_summary, batch_items, export_items, stream_progress, headline, rule_grid,
     report_pages, defect_counts, evaluation, mutations, pairing, csv_unmatched, pairing_gate, page_keys, exact_corroboration, ocr_blob, field_support_scores, claim_support, body_words,
     csv_neutralize, daily_budget, budget_stream, retention_top50, rotation_pick, rotation_merge, cross_line_median, bold_layout, bold_verdict, display_status, upload_gates, batch_gates, rotation_option)}
 
@@ -433,7 +456,7 @@ h AS (SELECT *, CASE WHEN verdict <> 'pass' THEN worst WHEN skipped = 0 THEN 'Ev
     refused = "CASE WHEN n = 0 THEN 'The file is empty.' WHEN n > 5242880 THEN 'The file is larger than 5 MB.' WHEN k > 1 THEN 'The file is not a PNG or JPEG image.' END"
     window = "substr(read, greatest(i, 0) + 1, least(len(read), i + len(quote)) - greatest(i, 0))"
     back = "substr(quote, greatest(i, 0) + 1, least(len(quote), i + len(read)) - greatest(i, 0))"
-    return {
+    out = {
         "rules": f"SELECT * FROM (VALUES {rows}) v(rule_pos, id, citation, strategy, field, version)",
         "rulebook_version": f"SELECT substr(sha256(string_agg(text, '' ORDER BY name)), 1, 12) AS version FROM (VALUES {files}) v(name, text)",
         "health": f"SELECT 'degraded' AS status, '{book.version}' AS rulebook_version, {len(book.rules)} AS rules, false AS reader, true AS ocr",
@@ -446,6 +469,7 @@ h AS (SELECT *, CASE WHEN verdict <> 'pass' THEN worst WHEN skipped = 0 THEN 'Ev
         "verify_report": f"{full} SELECT label_id, beverage, verdict, findings FROM r",
         "batch_summary": f"{items} SELECT batch_no, count_if(failure IS NULL AND verdict = 'pass')::BIGINT AS pass, count_if(failure IS NULL AND verdict = 'needs_review')::BIGINT AS needs_review, count_if(failure IS NULL AND verdict = 'fail')::BIGINT AS fail, count_if(failure IS NULL AND verdict = 'not_evaluable')::BIGINT AS not_evaluable, count_if(bad)::BIGINT AS error, count(*) AS total, count_if(coalesce(failure, '') <> 'pending')::BIGINT AS done, count_if(coalesce(failure, '') = 'pending') = 0 AS finished FROM i GROUP BY batch_no",
         "batch_items": f"{items} SELECT batch_no, row_number() OVER (PARTITION BY batch_no ORDER BY coalesce(failure, '') = 'rejected', label_id)::INT AS place, filename, CASE WHEN bad THEN 'error' WHEN failure = 'pending' THEN 'pending' ELSE verdict END AS shown, CASE failure WHEN 'rejected' THEN 'The file is empty.' WHEN 'reader' THEN 'The reader gave no answer in time.' WHEN 'other' THEN 'The label could not be checked.' END AS error FROM i",
+        "export_items": f"{items}, g AS (SELECT label_id, {grid} FROM f GROUP BY label_id) SELECT row_number() OVER (ORDER BY coalesce(failure, '') = 'rejected', i.label_id) AS place, filename, CASE WHEN bad THEN 'error' WHEN failure = 'pending' THEN 'pending' ELSE 'done' END AS status, {', '.join(f"CASE WHEN failure IS NULL THEN {c} ELSE '' END AS {c}" for c in ('verdict', *ids))} FROM i JOIN g USING (label_id)",
         "headline": f"{full} SELECT label_id, verdict, detail FROM h",
         "rule_grid": f"{full} SELECT any_value(h.filename) AS filename, 'done' AS status, any_value(h.verdict) AS verdict, any_value(h.detail) AS detail, {grid} FROM h JOIN f USING (label_id) GROUP BY label_id",
         "report_pages": f"{full} SELECT label_id, any_value(r.verdict) AS verdict, label_id % 7 + 0.25::DOUBLE AS seconds, string_agg(rule_id || '=' || f.verdict, ' ' ORDER BY pos) AS findings FROM r JOIN f USING (label_id) GROUP BY label_id",
@@ -497,6 +521,7 @@ h AS (SELECT *, CASE WHEN verdict <> 'pass' THEN worst WHEN skipped = 0 THEN 'Ev
         "batch_gates": f"WITH u AS ({uploads}), b AS (SELECT CASE WHEN k >= 2 THEN p_partkey % 3 ELSE p_partkey % 10 + 3 END AS batch_no, count(*) AS files, sum(n)::BIGINT AS bytes, count_if({refused} IS NULL)::BIGINT AS accepted FROM u GROUP BY 1) SELECT *, CASE WHEN files > 1000 THEN 'too many files' WHEN bytes > 1677721600 THEN 'too large' WHEN accepted = 0 THEN 'no image' END AS problem FROM b",
         "rotation_option": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber * 45 IN (0, 90, 180, 270) THEN l_linenumber * 45 END AS rotation FROM lineitem",
     }
+    return out | {"stream_progress": out["batch_summary"]}
 
 
 ORACLES = _sql()

@@ -92,6 +92,11 @@ def _rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, part=spread(part))
 
 
+def over(part: DataFrame) -> DataFrame:
+    """The surface of some rows of ``part``."""
+    return part.sparkSession.sql(surface_sql("{part}"), part=part)
+
+
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir, surface_sql("{part}"))
 

@@ -59,11 +59,17 @@ class Phases:
 
 
 def check_label(label: DataFrame, rulebook: Rulebook) -> DataFrame:
-    """The report of one label, collected: ``model.LABEL`` rows in, a local table of reports out."""
+    """The report of one label, collected: one ``model.LABEL`` row in, a local table of its report out.
+
+    More rows than a batch may hold are an error; they are for ``check_batch``.
+    """
     spark = label.sparkSession
     with pool(spark, INTERACTIVE):
         reports = verify(label, rulebook)
-        return spark.createDataFrame(reports.limit(batch.BATCH_FILES).collect(), reports.schema)
+        rows = reports.limit(batch.BATCH_FILES + 1).collect()
+        if len(rows) > batch.BATCH_FILES:
+            raise ValueError(f"an interactive check takes at most {batch.BATCH_FILES} labels")
+        return spark.createDataFrame(rows, reports.schema)
 
 
 def check_batch(labels: DataFrame, applications: DataFrame, rulebook: Rulebook, settings: Settings | None = None, read: Read | None = None) -> DataFrame:

@@ -73,15 +73,16 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
     """The same from files of any size; the order of rows within a file and of file names decides."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(path)
     names = [c.lstrip("﻿").strip().lower() for c in raw.columns]
-    if "filename" not in names:
-        raise ApplicationsError("The applications file has no column named filename.")
+    _places(names)
     raw = raw.toDF(*names).withColumn("pos", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     cells = [F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) if c in names else F.lit("").alias(c) for c in COLUMNS]
     return last_wins(raw.select("pos", *cells).where("filename <> ''"))
 
 
 def write_grid(items: DataFrame, rulebook: Rulebook, path: str) -> None:
-    """The grid of one batch (at most BATCH_FILES items) as one CSV file, in the order of upload."""
+    """The grid of one upload as one CSV file, in the order of upload; more items than one may have go to ``sources.export``."""
+    if items.limit(BATCH_FILES + 1).count() > BATCH_FILES:
+        raise ApplicationsError(f"One file takes at most {BATCH_FILES} items.")
     ordered = items.coalesce(1).sortWithinPartitions("grp", "pos")
     grid(ordered, rulebook).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 

@@ -97,15 +97,18 @@ def problem(length: Column, content: Column, facts: Column) -> Column:
             .when((facts["width"] * facts["height"]).isNull(), "The image cannot be read.").when(facts["width"] * facts["height"] > MAX_PIXELS, "The image has too many pixels."))
 
 
-def read_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """(place, filename, key, length, content, facts, problem); files beyond the limit are listed without reading their content."""
-    reader = (spark.readStream.schema(BINARY) if stream else spark.read).format("binaryFile").option("recursiveFileLookup", "true")
+def read_files(spark: SparkSession, path: str, stream: bool = False, most: int = 1000) -> DataFrame:
+    """(place, filename, key, length, content, facts, modified, problem); files beyond the limit are listed without reading their content.
+
+    A stream takes at most so many files at a time.
+    """
+    reader = (spark.readStream.schema(BINARY).option("maxFilesPerTrigger", most) if stream else spark.read).format("binaryFile").option("recursiveFileLookup", "true")
     files = reader.load(path).withColumn("place", F.col("_metadata.file_path"))
     if not stream:
         small = files.where(F.col("length") <= FILE_BYTES)  # pushed into the source
         files = small.unionByName(files.where(F.col("length") > FILE_BYTES).drop("content").withColumn("content", F.lit(None).cast("binary")))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    files = files.select("place", name.alias("filename"), pairing_key(name).alias("key"), "length", "content", image_facts(F.col("content")).alias("facts"))
+    files = files.select("place", name.alias("filename"), pairing_key(name).alias("key"), "length", "content", image_facts(F.col("content")).alias("facts"), F.col("modificationTime").alias("modified"))
     return files.withColumn("problem", problem(F.col("length"), F.col("content"), F.col("facts")))
 
 

@@ -11,8 +11,6 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-
 _own: list[str] = []
 _made: list[str] = []
 
@@ -89,10 +87,8 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def broadcast_bytes(spark: SparkSession) -> int:
-    """Bytes up to which a side of a join is broadcast: the session's own bound (spark.sql.autoBroadcastJoinThreshold)."""
-    value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().removesuffix("ib")
-    number, unit = (value[:-1], _UNITS[value[-1]]) if value[-1] in _UNITS else (value, 1)
-    return max(0, int(number) * unit)
+    """Bytes up to which a side of a join is broadcast: the session's own bound (spark.sql.autoBroadcastJoinThreshold), as Spark reads it."""
+    return max(0, spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
 #: The bound for keys that are joined to texts: to shuffle those costs far more than to send keys of a few bytes.

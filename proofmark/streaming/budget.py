@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -46,16 +47,23 @@ def admit_stream(checks: DataFrame, limit: Decimal | str) -> DataFrame:
     return days.groupBy("day").transformWithStateInPandas(DayCounter(allowance(limit)), OUTPUT, "Append", "None")
 
 
-def run_once(checks: DataFrame, limit: Decimal | str, folder: str) -> DataFrame:
-    """Run a bounded stream to its end; ``folder`` takes its state and its rows, and is shared by all executors."""
-    spark = checks.sparkSession
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB."""
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
+        yield
+    finally:
+        spark.conf.set(store, before)
+
+
+def run_once(checks: DataFrame, limit: Decimal | str, folder: str) -> DataFrame:
+    """Run a bounded stream to its end; ``folder`` takes its state and its rows, and is shared by all executors."""
+    spark = checks.sparkSession
+    with rocksdb(spark):
         query = (admit_stream(checks, limit).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
                  .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
         query.awaitTermination()
-    finally:
-        spark.conf.set(store, before)
     return spark.read.schema(OUTPUT).parquet(f"{folder}/rows")

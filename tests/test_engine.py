@@ -74,6 +74,13 @@ def test_pairing_keys(spark):
     assert column(spark, [(x,) for x in raw], text.pairing_key(F.col("c0"))) == ["label1.png", "label1.png", "b", "strasse.png", "x"]
 
 
+def test_squash_folds_every_letter_like_python(spark):
+    points = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    got = {r["id"]: r["s"] for r in points.select("id", squash(F.col("c")).alias("s")).where("s <> ''").collect()}
+    fold = lambda i: "".join(x for x in chr(i).casefold() if x.isascii() and x.isalnum())
+    assert got == {i: fold(i) for i in range(1, 0x110000) if fold(i)}
+
+
 def test_beverages(spark):
     raw = ["Table Wine", "Robust Porter", "Single Malt Whisky", "Vodka", None, "Pale Ale"]
     assert column(spark, [(x,) for x in raw], beverage_class(F.col("c0"))) == ["wine", "wine", "malt", "spirits", "spirits", "malt"]
@@ -408,17 +415,25 @@ def test_one_failure_does_not_end_a_batch(spark):
 
 
 def test_retry_asks_only_while_nothing_is_found(spark):
-    asked = []
+    """Reads are counted where they are made: however often the result is computed, no label is read twice at a turn."""
+    counted = {turn: spark.sparkContext.accumulator(0) for turn in rotation.ROTATIONS}
     rows = spark.createDataFrame([label(i, lines=[(0, "upright only", 0.9, None, 0)]) for i in range(4)] + [label(4)], LABEL)
 
     def read(df):
-        asked.append(sorted(tuple(r) for r in df.collect()))
+        def run(batches):
+            for pdf in batches:
+                for turn in pdf["rotation"]:
+                    counted[turn].add(1)
+                yield pdf
+
         line = F.struct(F.lit(0).alias("pos"), F.when(F.col("rotation") >= F.col("label_id") * 90, F.lit(REF)).otherwise("noise").alias("text"), F.lit(0.9).alias("confidence"), F.lit(None).alias("box"), F.lit(0).alias("rotation"))
-        return df.where("label_id > 0").select("label_id", "rotation", F.array(line).cast(LABEL["ocr_lines"].dataType).alias("lines"))
+        return df.mapInPandas(run, df.schema).where("label_id > 0").select("label_id", "rotation", F.array(line).cast(LABEL["ocr_lines"].dataType).alias("lines"))
 
-    got = {r["label_id"]: [x["rotation"] for x in r["ocr_lines"]] for r in rotation.retry(rows, read, REF).collect()}
-    assert got == {0: [0], 1: [0, 90], 2: [0, 180], 3: [0, 270], 4: [0, 0, 0]}
-    assert [len(a) for a in asked] == [4, 3, 2] and asked[2] == [(0, 270), (3, 270)]
+    out = rotation.retry(rows, read, REF)
+    for _ in range(2):
+        got = {r["label_id"]: [x["rotation"] for x in r["ocr_lines"]] for r in out.collect()}
+        assert got == {0: [0], 1: [0, 90], 2: [0, 180], 3: [0, 270], 4: [0, 0, 0]}
+    assert [counted[t].value for t in rotation.ROTATIONS] == [4, 3, 2]
 
 
 def test_pages_escape_and_read_back(spark):
@@ -486,6 +501,13 @@ def test_storage_needs_a_shared_folder_off_local_masters(spark, monkeypatch):
     with storage.scope(spark):
         folder = storage.shared_dir(spark)
         assert storage.materialize(spark.range(3), folder, "t").count() == 3 and 0 < storage.plan_bytes(storage.materialize(spark.range(1000), folder, "u")) < 1 << 20 and storage.broadcast_bytes(spark) == 10 << 20
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        try:
+            for text, size in (("10MB", 10 << 20), ("64mb", 64 << 20), ("1GB", 1 << 30), ("256k", 256 << 10), ("5kb", 5 << 10), ("2g", 2 << 30), ("77b", 77), ("77", 77), ("0", 0), ("-1", 0)):
+                spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+                assert storage.broadcast_bytes(spark) == size, text
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(f"{folder}/t").count()
     class Cluster:

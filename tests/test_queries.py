@@ -6,10 +6,12 @@ from collections import defaultdict
 import pytest
 
 from proofmark.functions.similarity import partial_ratio
-from proofmark.plans.queries import ORACLES, QUERIES
+from proofmark.plans import lifecycle, queries
 
 from .conftest import SF
 
+QUERIES, ORACLES = queries.QUERIES | lifecycle.QUERIES, queries.ORACLES | lifecycle.ORACLES
+
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows_equal_sql(spark, duck, same_rows, name):
