@@ -76,7 +76,7 @@ def test_pairing_keys(spark):
 
 def test_squash_folds_every_letter_like_python(spark):
     points = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
-    got = {r["id"]: r["s"] for r in points.select("id", squash(F.col("c")).alias("s")).where("s <> ''").collect()}
+    got = {r["id"]: r["s"] for r in points.select("id", text.squash(F.col("c")).alias("s")).where("s <> ''").collect()}
     fold = lambda i: "".join(x for x in chr(i).casefold() if x.isascii() and x.isalnum())
     assert got == {i: fold(i) for i in range(1, 0x110000) if fold(i)}
 

@@ -6,11 +6,11 @@ from collections import defaultdict
 import pytest
 
 from proofmark.functions.similarity import partial_ratio
-from proofmark.plans import lifecycle, queries
+from proofmark.plans import lifecycle, queries, rasters
 
 from .conftest import SF
 
-QUERIES, ORACLES = queries.QUERIES | lifecycle.QUERIES, queries.ORACLES | lifecycle.ORACLES
+QUERIES, ORACLES = queries.QUERIES | lifecycle.QUERIES | rasters.QUERIES, queries.ORACLES | lifecycle.ORACLES | rasters.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
