@@ -10,7 +10,7 @@ import difflib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,3 +166,25 @@ def lacks_support(floor: float):
 def word_edits(expected: pa.Array, found: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("op", pa.string()), ("expected", pa.string()), ("found", pa.string())]))
     return pa.array(_each_pair(word_diff, expected, found), kind)
+
+
+EDITS = "pos int, op string, expected string, found string"
+
+
+@F.udtf(returnType=EDITS, useArrow=True)
+class WordDiff:
+    """Table function of (expected, found): a row a word edit, numbered from 0; none for null."""
+
+    def eval(self, expected: str, found: str):
+        if expected is not None and found is not None:
+            for i, e in enumerate(word_diff(expected, found)):
+                yield i, e["op"], e["expected"], e["found"]
+
+
+def edit_rows(rows: DataFrame, expected: str, found: str, *keep: str) -> DataFrame:
+    """(*keep, pos, op, expected, found): the word edits between two columns as rows, by a lateral join; equal texts never reach the function."""
+    spark = rows.sparkSession
+    spark.udtf.register("proofmark_word_diff", WordDiff)
+    differ = rows.where(F.col(expected) != F.col(found))
+    names = "".join(f"r.`{c}`, " for c in keep)
+    return spark.sql(f"SELECT {names}e.* FROM {{rows}} r, LATERAL proofmark_word_diff(r.`{expected}`, r.`{found}`) e", rows=differ)

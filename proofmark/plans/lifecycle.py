@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..jobs import CANCELLED, JobStore
+from ..rulebook import load
+from ..service import Metrics, check_batch, write_batch
+from ..settings import Settings
 from ..sources import reader
+from ..sources.applications import last_wins
 from ..storage import shared_dir
 from ..streaming import retention
+from . import surface
 from .queries import ORACLES as CORE
 from .queries import table
 
@@ -80,7 +85,17 @@ def recorded_reads(spark, sf_dir):
     return got.select("key", "status", "attempts", F.from_json("payload", "brand_name struct<verbatim: string, found: boolean, value: string>")["brand_name"]["verbatim"].alias("brand"))
 
 
-QUERIES = {f.__name__: f for f in (retention_stream, job_items, job_cancelled, job_progress, recorded_reads)}
+def run_metrics(spark, sf_dir):
+    """Rows of each phase of a batch, as counted while it was written."""
+    rows = surface.flat(spark, sf_dir)
+    failures = [F.when(F.col("failure") == "reader", "The reader gave no answer in time.").alias("reader_error"), (F.col("failure") == "other").alias("failed")]
+    labels = surface.labels(rows.select(*rows.columns, *failures), "reader_error", "failed")
+    metrics = Metrics()
+    write_batch(check_batch(labels, last_wins(surface.applications(rows)), load(), Settings(), metrics=metrics), f"{shared_dir(spark)}/items", Settings())
+    return spark.createDataFrame(sorted(metrics.rows().items()), "phase string, rows long")
+
+
+QUERIES = {f.__name__: f for f in (retention_stream, job_items, job_cancelled, job_progress, recorded_reads, run_metrics)}
 
 _JOB = """WITH e AS (SELECT event_id AS pos, event_id % 4 AS part, event_type = 'error' AS failed, CASE WHEN value < 10 THEN 'fail' WHEN value < 20 THEN 'needs_review' ELSE 'pass' END AS verdict FROM events)"""
 
@@ -93,6 +108,8 @@ ORACLES = {
       CASE WHEN part > 0 THEN '{CANCELLED}' WHEN failed THEN 'The reader gave no answer in time.' ELSE 'value ' || pos END AS detail FROM e""",
     "job_progress": """SELECT o_orderpriority AS priority, count_if(o_orderstatus = 'F') AS pass, count_if(o_orderstatus NOT IN ('F', 'O')) AS needs_review, count(*) AS total, count_if(o_orderstatus <> 'O') AS done,
       count_if(o_orderstatus = 'O') = 0 AS finished, CASE WHEN count_if(o_orderstatus = 'O') = 0 THEN 'finished' ELSE 'running' END AS state FROM orders GROUP BY 1""",
+    "run_metrics": f"""WITH s AS ({surface.surface_sql('part')}), c AS (SELECT count(*) AS n, count_if(coalesce(failure, '') IN ('reader', 'other')) AS bad FROM s)
+      SELECT phase, rows FROM (SELECT unnest(['checked', 'failed', 'items', 'read']) AS phase, unnest([n - bad, bad, n, n - bad])::BIGINT AS rows FROM c)""",
     "recorded_reads": """SELECT key, CASE WHEN key LIKE 'a%' THEN 'missing' ELSE 'read' END AS status, 1 AS attempts, CASE WHEN key NOT LIKE 'a%' THEN 'Brand ' || n END AS brand
       FROM (SELECT DISTINCT sha256(html) AS key, length(html) AS n FROM pages WHERE html IS NOT NULL)""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import parse_alcohol, proof_matches
-from ..functions.similarity import field_support, word_edits
+from ..functions.similarity import edit_rows, field_support, word_edits
 from ..functions.text import canon_statutory, count_words, neutralize_csv_cell, pairing_key, squash, tokens
 from ..operators import batch, bold, budget, corroborate, gate, matchers, page, rotation
 from ..operators.verify import beverage_class, findings, verify
@@ -75,6 +75,12 @@ def warning_edits(spark, sf_dir):
     return rows.select("label_id", F.array_join(F.transform("edits", lambda e: F.concat_ws(":", e["op"], e["expected"], e["found"])), ";").alias("edits"))
 
 
+def warning_edit_rows(spark, sf_dir):
+    """The same as rows, from a table function."""
+    rows = surface.flat(spark, sf_dir).select("label_id", F.lit(load().warning.match.reference).alias("reference"), canon_statutory(F.col("warning_text")).alias("read"))
+    return edit_rows(rows, "reference", "read", "label_id")
+
+
 def brand_match(spark, sf_dir):
     got = matchers.match_brand(surface.flat(spark, sf_dir), "brand_label", "brand_filed", "brand", "raw")
     return got.select("label_id", "brand", F.round("raw", 4).alias("score"))
@@ -335,7 +341,7 @@ def rotation_option(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rules, rulebook_version, health, class_rules, abv_consistency, warning_verdict, warning_edits, brand_match, verify_findings, verify_report, batch_summary, batch_items, export_items, stream_progress, headline, rule_grid,
+    rules, rulebook_version, health, class_rules, abv_consistency, warning_verdict, warning_edits, warning_edit_rows, brand_match, verify_findings, verify_report, batch_summary, batch_items, export_items, stream_progress, headline, rule_grid,
     report_pages, defect_counts, evaluation, mutations, pairing, csv_unmatched, pairing_gate, page_keys, exact_corroboration, ocr_blob, field_support_scores, claim_support, body_words,
     csv_neutralize, daily_budget, budget_stream, retention_top50, rotation_pick, rotation_merge, cross_line_median, bold_layout, bold_verdict, display_status, upload_gates, batch_gates, rotation_option)}
 
@@ -464,6 +470,8 @@ h AS (SELECT *, CASE WHEN verdict <> 'pass' THEN worst WHEN skipped = 0 THEN 'Ev
         "abv_consistency": f"{base}, c AS (SELECT label_id, ({abv})::DECIMAL(10,4) AS abv, ({proof})::DECIMAL(10,4) AS proof FROM s) SELECT label_id, abv::DOUBLE AS abv, CASE WHEN abv IS NOT NULL THEN proof::DOUBLE END AS proof, abv * 2 = proof AS consistent FROM c",
         "warning_verdict": f"{base} SELECT label_id, {_warning(body)} AS warning FROM s",
         "warning_edits": f"{base} SELECT label_id, CASE label_id % 14 WHEN 3 THEN 'replace:defects.:effects.' WHEN 5 THEN 'replace:GOVERNMENT WARNING::GOVERNMENTWARNING:' WHEN 7 THEN 'replace:GOVERNMENT:GOVERMENT' ELSE 'replace:machinery,:machinery.' END AS edits FROM s WHERE label_id % 14 IN (3, 5, 7, 8)",
+        "warning_edit_rows": f"""{base}, e AS (SELECT label_id, CASE label_id % 14 WHEN 3 THEN ['replace', 'defects.', 'effects.'] WHEN 5 THEN ['replace', 'GOVERNMENT WARNING:', 'GOVERNMENTWARNING:'] WHEN 7 THEN ['replace', 'GOVERNMENT', 'GOVERMENT'] ELSE ['replace', 'machinery,', 'machinery.'] END AS e
+          FROM s WHERE label_id % 14 IN (3, 5, 7, 8)) SELECT label_id, 0 AS pos, e[1] AS op, e[2] AS expected, e[3] AS found FROM e""",
         "brand_match": f"{base}{brand} SELECT label_id, coalesce(v, 'review') AS brand, round(coalesce(score, 0.0), 4) AS score FROM s LEFT JOIN judged ON bl = brand_label AND bf = brand_filed",
         "verify_findings": f"{full} SELECT label_id, rule_id, verdict, held FROM f",
         "verify_report": f"{full} SELECT label_id, beverage, verdict, findings FROM r",

@@ -7,11 +7,12 @@ check gets free cores before a batch does.  Running tasks are not interrupted.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import batch, rotation
@@ -58,6 +59,25 @@ class Phases:
         return f"check total={time.perf_counter() - self.began:.3f}s{parts}"
 
 
+class Metrics:
+    """Rows of the phases of a run, counted by the run itself: work that is put off is counted when and where it is done."""
+
+    def __init__(self) -> None:
+        self.watched: dict[str, Observation] = {}
+        self.began = time.perf_counter()
+
+    def watch(self, rows: DataFrame, phase: str) -> DataFrame:
+        self.watched[phase] = Observation(f"{phase}-{uuid.uuid4().hex}")
+        return rows.observe(self.watched[phase], F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> dict[str, int]:
+        """Waits for the run's action to end."""
+        return {phase: o.get["rows"] for phase, o in self.watched.items()}
+
+    def line(self) -> str:
+        return f"batch total={time.perf_counter() - self.began:.3f}s" + "".join(f" {k}={v}" for k, v in self.rows().items())
+
+
 def check_label(label: DataFrame, rulebook: Rulebook) -> DataFrame:
     """The report of one label, collected: one ``model.LABEL`` row in, a local table of its report out.
 
@@ -72,17 +92,22 @@ def check_label(label: DataFrame, rulebook: Rulebook) -> DataFrame:
         return spark.createDataFrame(rows, reports.schema)
 
 
-def check_batch(labels: DataFrame, applications: DataFrame, rulebook: Rulebook, settings: Settings | None = None, read: Read | None = None) -> DataFrame:
+def check_batch(labels: DataFrame, applications: DataFrame, rulebook: Rulebook, settings: Settings | None = None, read: Read | None = None,
+                metrics: Metrics | None = None) -> DataFrame:
     """Batch items of labels (with ``reader_error`` and ``failed``) against filings, one row a key.
 
     ``read`` reads labels again at a rotation, for those whose upright read lacks the statement, if the settings say so.
+    ``metrics`` counts what was read, failed, was checked and became an item, while the result is written.
     """
+    watch = metrics.watch if metrics else lambda rows, phase: rows
     settings = settings or Settings.of(labels.sparkSession)
     good, errors = batch.isolate(labels)
+    good, errors = watch(good, "read"), watch(errors, "failed")
     good = batch.pair(good, applications).drop("matched")
     if read is not None and settings.rotations and rulebook.warning is not None:
         good = rotation.retry(good, read, rulebook.warning.match.reference or "")
-    return batch.to_items(verify(good, rulebook), errors.select(F.col("label_id").alias("pos"), "filename", "detail"))
+    items = batch.to_items(watch(verify(good, rulebook), "checked"), errors.select(F.col("label_id").alias("pos"), "filename", "detail"))
+    return watch(items, "items")
 
 
 def write_batch(items: DataFrame, path: str, settings: Settings | None = None) -> None:
