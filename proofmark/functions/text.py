@@ -30,7 +30,18 @@ CYRILLIC = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "
             "ь": "", "э": "e", "ю": "yu", "я": "ya", "ё": "yo", "і": "i", "ї": "yi", "є": "ye", "ґ": "g"}
 GREEK = {"α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o",
          "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o"}
-ROMAN = LETTERS | CYRILLIC | GREEK
+# Romanisation of Hebrew and Arabic letters (vowel signs are marks and fall away) and the sound of common Han characters.
+HEBREW = {"א": "'", "ב": "v", "ג": "g", "ד": "d", "ה": "h", "ו": "v", "ז": "z", "ח": "h", "ט": "t", "י": "y", "כ": "k", "ך": "k", "ל": "l", "מ": "m", "ם": "m",
+          "נ": "n", "ן": "n", "ס": "s", "ע": "'", "פ": "f", "ף": "f", "צ": "ts", "ץ": "ts", "ק": "k", "ר": "r", "ש": "sh", "ת": "t"}
+ARABIC = {"ا": "a", "ب": "b", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "س": "s", "ش": "sh", "ص": "s",
+          "ض": "d", "ط": "t", "ظ": "z", "ع": "'", "غ": "gh", "ف": "f", "ق": "q", "ك": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "w", "ي": "y",
+          "ة": "h", "ى": "a", "ء": "'", "پ": "p", "چ": "ch", "ژ": "zh", "ک": "k", "گ": "g", "ی": "y"}
+HAN = {"酒": "jiu", "白": "bai", "黄": "huang", "红": "hong", "紅": "hong", "青": "qing", "岛": "dao", "島": "dao", "茅": "mao", "台": "tai", "啤": "pi", "米": "mi",
+       "山": "shan", "水": "shui", "龙": "long", "龍": "long", "金": "jin", "大": "da", "小": "xiao", "中": "zhong", "国": "guo", "國": "guo", "北": "bei", "京": "jing",
+       "上": "shang", "海": "hai", "深": "shen", "圳": "zhen", "东": "dong", "東": "dong", "西": "xi", "南": "nan", "天": "tian", "王": "wang", "李": "li", "张": "zhang",
+       "老": "lao", "新": "xin", "江": "jiang", "河": "he", "湖": "hu", "花": "hua", "雪": "xue", "春": "chun", "月": "yue", "日": "ri", "明": "ming", "香": "xiang",
+       "梅": "mei", "竹": "zhu", "高": "gao", "粱": "liang", "粮": "liang", "五": "wu", "液": "ye", "州": "zhou", "窖": "jiao", "剑": "jian", "福": "fu"}
+ROMAN = LETTERS | CYRILLIC | GREEK | HEBREW | ARABIC | HAN
 
 _ASCII = r"^\p{ASCII}*$"
 
@@ -49,17 +60,60 @@ def _nfkc(column: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in column.to_pylist()], pa.string())
 
 
+def _whole(text: str) -> str | None:
+    """The text with all of its bytes read anew, if they decode and get fewer."""
+    for encoding in ("cp1252", "latin-1"):
+        try:
+            fixed = text.encode(encoding).decode("utf-8")
+        except UnicodeError:
+            continue
+        if len(fixed) < len(text):
+            return fixed
+    return None
+
+
+#: A letter beyond ASCII -> the byte that a single-byte encoding writes it with.
+_BYTES = {chr(b): b for b in range(0x80, 0x100)} | {c: b for b in range(0x80, 0x100) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+
+def _sequence(text: str, at: int) -> str:
+    """The character that the bytes from here on encode in two to four of them; empty if they encode none."""
+    lead = _BYTES.get(text[at], 0)
+    n = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
+    try:
+        c = bytes(_BYTES.get(x, 0) for x in text[at : at + n]).decode("utf-8") if n and at + n <= len(text) else ""
+    except UnicodeError:
+        return ""
+    return c if len(c) == 1 and unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") else ""
+
+
+def _spans(text: str) -> str:
+    """The longest runs of a text whose bytes encode characters, read anew; what is around them stays.
+
+    A run is believed if a character of three or more bytes is in it, or two of one script, or one of Latin whose last byte is
+    no mark that can follow a letter (a closing quote or a dash), unless a letter comes after it; a dash never ends a letter beyond Latin-1.
+    """
+    out, at = [], 0
+    while at < len(text):
+        run, end = [], at
+        while end < len(text) and (c := _sequence(text, end)):
+            run.append(c)
+            end += len(c.encode())
+        if run and (any(ord(c) > 0x7FF for c in run) or (len(run) > 1 and len({ord(c) >> 8 for c in run}) == 1)
+                    or all(ord(c) < (0x100 if unicodedata.category(text[end - 1]) == "Pd" else 0x180) for c in run) and (unicodedata.category(text[end - 1]) not in ("Pd", "Pf", "Pi", "Ps", "Po") or text[end : end + 1].isalpha())):
+            out.append("".join(run))
+            at = end
+        else:
+            out.append(text[at])
+            at += 1
+    return "".join(out)
+
+
 def repair(text: str) -> str:
-    """Undo UTF-8 read as a single-byte encoding, once or twice, where that decodes and gets shorter."""
+    """Undo UTF-8 read as a single-byte encoding, once or twice: of the whole text if all of it decodes, else of the runs that do."""
     for _ in range(2):
-        for encoding in ("cp1252", "latin-1"):
-            try:
-                fixed = text.encode(encoding).decode("utf-8")
-            except UnicodeError:
-                continue
-            if len(fixed) < len(text):
-                break
-        else:
+        fixed = _whole(text)
+        if fixed is None and (fixed := _spans(text)) == text:
             return text
         text = fixed
     return text
@@ -77,7 +131,7 @@ def _roman(c: str) -> str:
 
 
 def transliterate(text: str) -> str:
-    """Letters to ASCII: Latin without its marks, Cyrillic, Greek, kana and Hangul by sound; other scripts stay, and so never equal an ASCII name."""
+    """Letters to ASCII: Latin without its marks, Cyrillic, Greek, Hebrew, Arabic, kana, Hangul and common Han by sound; others stay, and so never equal an ASCII name."""
     out = []
     for c in unicodedata.normalize("NFC", text):
         got = _roman(c)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .operators.batch import FINISHED_JOBS, summary
 from .rulebook import Rulebook
-from .storage import remove
+from .storage import commit_new, names, read_file, remove
 
 ITEMS = "pos long, filename string"
 RESULTS = "pos long, status string, verdict string, detail string, rule_verdicts map<string,string>"
@@ -50,45 +50,21 @@ class Version:
 class JobStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     # ------------------------------------------------------------ versions
 
     def _names(self, folder: str) -> list[str]:
-        path = self._path(folder)
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(path)) if self._fs.exists(path) else []
+        return names(self.spark, folder)
 
     def _commit(self, job: str, version: Version) -> bool:
         """Write a version; false if another writer was first."""
-        folder = f"{self.folder}/{job}/versions"
-        beside, final = self._path(f"{folder}/.{uuid.uuid4().hex}"), self._path(f"{folder}/{version.number:08d}")
-        out = self._fs.create(beside)
-        try:
-            out.write(bytearray(json.dumps(asdict(version)).encode()))
-        finally:
-            out.close()
-        java = self.spark._jvm.org.apache.hadoop.fs
-        none = self.spark.sparkContext._gateway.new_array(getattr(java, "Options$Rename"), 1)
-        none[0] = getattr(java, "Options$Rename").NONE
-        try:
-            java.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(beside, final, none)
-        except Exception as e:
-            self._fs.delete(beside, False)
-            if "FileAlreadyExists" in str(e):
-                return False
-            raise
-        return True
+        return commit_new(self.spark, f"{self.folder}/{job}/versions/{version.number:08d}", json.dumps(asdict(version)).encode())
 
     def version(self, job: str) -> Version:
-        names = [x for x in self._names(f"{self.folder}/{job}/versions") if x.isdigit()] if job.isalnum() else []
-        if not names:
+        known = [x for x in self._names(f"{self.folder}/{job}/versions") if x.isdigit()] if job.isalnum() else []
+        if not known:
             raise JobError("That batch was not found; only the newest ones are kept.")
-        stream = self._fs.open(self._path(f"{self.folder}/{job}/versions/{names[-1]}"))
-        try:
-            got = json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
+        got = json.loads(read_file(self.spark, f"{self.folder}/{job}/versions/{known[-1]}"))
         return Version(**got | {"parts": tuple(got["parts"])})
 
     def _advance(self, job: str, change: Callable[[Version], Version]) -> Version:

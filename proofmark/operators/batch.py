@@ -126,6 +126,12 @@ def evaluate(reports: DataFrame, manifest: DataFrame) -> DataFrame:
         F.count_if(wrong & (F.col("verdict") == "fail")).alias("false_fail"), F.count_if(F.col("verdict").isNull()).alias("missing"))
 
 
+def disagreements(reports: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(label_id, filename, defect, expected, verdict, detail) of the labels whose verdict is not the expected one, or missing."""
+    got = manifest.select("label_id", "defect", "expected").join(reports.select("label_id", "filename", "verdict", headline(F.col("findings"), F.col("verdict")).alias("detail")), "label_id", "left")
+    return got.where(~F.col("verdict").eqNullSafe(F.col("expected"))).select("label_id", "filename", "defect", "expected", "verdict", "detail")
+
+
 def job_id() -> Column:
     """A random name of 32 hexadecimal digits."""
     return F.replace(F.uuid(), F.lit("-"), F.lit(""))

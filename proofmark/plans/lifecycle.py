@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..jobs import CANCELLED, JobStore
+from ..operators.batch import disagreements
+from ..operators.budget import Ledger
+from ..operators.verify import verify
 from ..rulebook import load
 from ..service import Metrics, check_batch, write_batch
 from ..settings import Settings
@@ -95,7 +98,22 @@ def run_metrics(spark, sf_dir):
     return spark.createDataFrame(sorted(metrics.rows().items()), "phase string, rows long")
 
 
-QUERIES = {f.__name__: f for f in (retention_stream, job_items, job_cancelled, job_progress, recorded_reads, run_metrics)}
+def budget_ledger(spark, sf_dir):
+    """What each day grants to three batches of its events, one after the other."""
+    asked = table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day"), (F.col("event_id") % 3).alias("wave")).agg(F.count("*").alias("asked"))
+    ledger = Ledger(spark, shared_dir(spark), "0.5")
+    rows = [(r["day"], r["wave"], r["asked"], ledger.reserve(r["asked"], r["day"])) for r in asked.orderBy("day", "wave").collect()]  # three rows a day
+    return spark.createDataFrame(rows, "day string, wave long, asked long, granted long")
+
+
+def evaluation_list(spark, sf_dir):
+    """The labels on which verdicts and an opposite manifest disagree, with what the report says."""
+    rows = surface.corpus(spark, sf_dir)
+    opposite = F.when(F.col("label_id") % 10 == 0, F.when(F.col("expected") == "pass", "fail").otherwise("pass")).otherwise(F.col("expected"))
+    return disagreements(verify(surface.labels(rows), load()), rows.withColumn("expected", opposite)).select("label_id", "filename", "defect", "expected", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (retention_stream, job_items, job_cancelled, job_progress, recorded_reads, run_metrics, budget_ledger, evaluation_list)}
 
 _JOB = """WITH e AS (SELECT event_id AS pos, event_id % 4 AS part, event_type = 'error' AS failed, CASE WHEN value < 10 THEN 'fail' WHEN value < 20 THEN 'needs_review' ELSE 'pass' END AS verdict FROM events)"""
 
@@ -108,6 +126,10 @@ ORACLES = {
       CASE WHEN part > 0 THEN '{CANCELLED}' WHEN failed THEN 'The reader gave no answer in time.' ELSE 'value ' || pos END AS detail FROM e""",
     "job_progress": """SELECT o_orderpriority AS priority, count_if(o_orderstatus = 'F') AS pass, count_if(o_orderstatus NOT IN ('F', 'O')) AS needs_review, count(*) AS total, count_if(o_orderstatus <> 'O') AS done,
       count_if(o_orderstatus = 'O') = 0 AS finished, CASE WHEN count_if(o_orderstatus = 'O') = 0 THEN 'finished' ELSE 'running' END AS state FROM orders GROUP BY 1""",
+    "budget_ledger": """WITH a AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id % 3 AS wave, count(*) AS asked FROM events GROUP BY ALL),
+      b AS (SELECT *, coalesce(sum(asked) OVER (PARTITION BY day ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a)
+      SELECT day, wave, asked, greatest(0, least(asked, 100 - before))::BIGINT AS granted FROM b""",
+    "evaluation_list": f"""WITH s AS ({surface.corpus_sql('part')}) SELECT label_id, filename, defect, CASE expected WHEN 'pass' THEN 'fail' ELSE 'pass' END AS expected, expected AS verdict FROM s WHERE label_id % 10 = 0""",
     "run_metrics": f"""WITH s AS ({surface.surface_sql('part')}), c AS (SELECT count(*) AS n, count_if(coalesce(failure, '') IN ('reader', 'other')) AS bad FROM s)
       SELECT phase, rows FROM (SELECT unnest(['checked', 'failed', 'items', 'read']) AS phase, unnest([n - bad, bad, n, n - bad])::BIGINT AS rows FROM c)""",
     "recorded_reads": """SELECT key, CASE WHEN key LIKE 'a%' THEN 'missing' ELSE 'read' END AS status, 1 AS attempts, CASE WHEN key NOT LIKE 'a%' THEN 'Brand ' || n END AS brand

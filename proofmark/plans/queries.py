@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import parse_alcohol, proof_matches
 from ..functions.similarity import edit_rows, field_support, word_edits
-from ..functions.text import canon_statutory, count_words, neutralize_csv_cell, pairing_key, squash, tokens
+from ..functions.text import canon_brand, canon_statutory, count_words, neutralize_csv_cell, pairing_key, squash, tokens
 from ..operators import batch, bold, budget, corroborate, gate, matchers, page, rotation
 from ..operators.verify import beverage_class, findings, verify
 from ..rulebook import Rulebook, load, texts
@@ -81,6 +81,17 @@ def warning_edit_rows(spark, sf_dir):
     return edit_rows(rows, "reference", "read", "label_id")
 
 
+#: Names in other scripts, or half of them read in another encoding, and what they stand for.
+SCRIPTS = [("caf\u00c3\u00a9 caf\u00e9 ", "cafe cafe "), ("\u767d\u9152 ", "baijiu "), ("\u0633\u0644\u0645\u0627\u0646 ", "slman "), ("\u05d0\u05d1\u05e8\u05d4\u05dd ", "vrhm "), ("\u00e2\u20ac\u0153Gr\u00fcn\u00e2\u20ac\u009d ", "grun "),
+           ("\u00d0\u0092\u00d0\u00be\u00d0\u00b4\u00d0\u00b0 \u0412\u043e\u0434\u0430 ", "voda voda "), ("Tsingtao \u9752\u5c9b ", "tsingtao qingdao "), ("MA\u00c7\u00c3\u201d ", "maca ")]
+
+
+def brand_scripts(spark, sf_dir):
+    """Canonical names whose beginning is in another script or badly read."""
+    lead = F.element_at(F.array(*[F.lit(a) for a, _ in SCRIPTS]), (F.col("p_partkey") % len(SCRIPTS) + 1).cast("int"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", canon_brand(F.concat(lead, F.col("p_name"))).alias("name"))
+
+
 def brand_match(spark, sf_dir):
     got = matchers.match_brand(surface.flat(spark, sf_dir), "brand_label", "brand_filed", "brand", "raw")
     return got.select("label_id", "brand", F.round("raw", 4).alias("score"))
@@ -341,7 +352,7 @@ def rotation_option(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rules, rulebook_version, health, class_rules, abv_consistency, warning_verdict, warning_edits, warning_edit_rows, brand_match, verify_findings, verify_report, batch_summary, batch_items, export_items, stream_progress, headline, rule_grid,
+    rules, rulebook_version, health, class_rules, abv_consistency, warning_verdict, warning_edits, warning_edit_rows, brand_scripts, brand_match, verify_findings, verify_report, batch_summary, batch_items, export_items, stream_progress, headline, rule_grid,
     report_pages, defect_counts, evaluation, mutations, pairing, csv_unmatched, pairing_gate, page_keys, exact_corroboration, ocr_blob, field_support_scores, claim_support, body_words,
     csv_neutralize, daily_budget, budget_stream, retention_top50, rotation_pick, rotation_merge, cross_line_median, bold_layout, bold_verdict, display_status, upload_gates, batch_gates, rotation_option)}
 
@@ -472,6 +483,7 @@ h AS (SELECT *, CASE WHEN verdict <> 'pass' THEN worst WHEN skipped = 0 THEN 'Ev
         "warning_edits": f"{base} SELECT label_id, CASE label_id % 14 WHEN 3 THEN 'replace:defects.:effects.' WHEN 5 THEN 'replace:GOVERNMENT WARNING::GOVERNMENTWARNING:' WHEN 7 THEN 'replace:GOVERNMENT:GOVERMENT' ELSE 'replace:machinery,:machinery.' END AS edits FROM s WHERE label_id % 14 IN (3, 5, 7, 8)",
         "warning_edit_rows": f"""{base}, e AS (SELECT label_id, CASE label_id % 14 WHEN 3 THEN ['replace', 'defects.', 'effects.'] WHEN 5 THEN ['replace', 'GOVERNMENT WARNING:', 'GOVERNMENTWARNING:'] WHEN 7 THEN ['replace', 'GOVERNMENT', 'GOVERMENT'] ELSE ['replace', 'machinery,', 'machinery.'] END AS e
           FROM s WHERE label_id % 14 IN (3, 5, 7, 8)) SELECT label_id, 0 AS pos, e[1] AS op, e[2] AS expected, e[3] AS found FROM e""",
+        "brand_scripts": f"""SELECT p_partkey, [{", ".join(f"'{b}'" for _, b in SCRIPTS)}][p_partkey % {len(SCRIPTS)} + 1] || trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')) AS name FROM part""",
         "brand_match": f"{base}{brand} SELECT label_id, coalesce(v, 'review') AS brand, round(coalesce(score, 0.0), 4) AS score FROM s LEFT JOIN judged ON bl = brand_label AND bf = brand_filed",
         "verify_findings": f"{full} SELECT label_id, rule_id, verdict, held FROM f",
         "verify_report": f"{full} SELECT label_id, beverage, verdict, findings FROM r",

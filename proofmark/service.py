@@ -12,10 +12,12 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .jobs import JobStore, Version
 from .operators import batch, rotation
+from .operators.budget import Ledger
 from .operators.verify import verify
 from .rulebook import Rulebook
 from .settings import Settings
@@ -115,3 +117,54 @@ def write_batch(items: DataFrame, path: str, settings: Settings | None = None) -
     spark = items.sparkSession
     with pool(spark, BATCH):
         items.coalesce((settings or Settings.of(spark)).workers).write.mode("overwrite").parquet(path)
+
+
+class UploadError(ValueError):
+    """The upload is turned down as a whole; the message may be shown."""
+
+
+#: Why an upload is turned down, by ``operators.batch.batch_gate``.
+REFUSED = {"too many files": f"A batch takes at most {batch.BATCH_FILES} labels.", "too large": "The batch is too large to run in one go.", "no image": "There is no PNG or JPEG image among the files."}
+OVER_BUDGET = "The daily limit for reading labels is reached."
+
+
+def submit(store: JobStore, files: DataFrame, applications: DataFrame | None = None) -> str:
+    """A job over uploaded (pos, filename, length, head), whose unusable files are error rows at once; its id.
+
+    An upload of too many files or bytes, without an image, or with applications of which none fits, is turned down as a whole.
+    """
+    problem = batch.batch_gate(files).first()["problem"]
+    if problem:
+        raise UploadError(REFUSED[problem])
+    refused = files.withColumn("detail", batch.upload_gate(F.col("length"), F.col("head")))
+    if applications is not None:
+        if problem := batch.pairing_gate(refused.where("detail IS NULL"), applications).first()["problem"]:
+            raise UploadError(problem)
+    job = store.create(files.select("pos", "filename"))
+    store.land(job, _errors(refused.where("detail IS NOT NULL"), F.col("detail")))
+    return job
+
+
+def _errors(rows: DataFrame, detail: Column) -> DataFrame:
+    return rows.select("pos", F.lit("error").alias("status"), F.lit(None).cast("string").alias("verdict"), detail.alias("detail"), F.create_map().cast("map<string,string>").alias("rule_verdicts"))
+
+
+def run_job(store: JobStore, job: str, labels: DataFrame, applications: DataFrame, rulebook: Rulebook, ledger: Ledger | None = None, settings: Settings | None = None, read: Read | None = None) -> Version:
+    """Check a job's labels and land them, as far as the day's budget goes; the first ones in the order of upload are checked.
+
+    The budget is reserved before anything is read, so ``labels`` has to be lazy where reading costs.
+    """
+    spark = store.spark
+    if ledger is not None:
+        order = labels.select("label_id").orderBy("label_id")
+        wanted = order.count()
+        granted = ledger.reserve(wanted, str(spark.sql("SELECT current_date()").first()[0]))
+        if granted < wanted:
+            cut = order.limit(granted).agg(F.max("label_id")).first()[0] if granted else None
+            late = F.col("label_id") > cut if granted else F.lit(True)
+            store.land(job, _errors(labels.where(late).select(F.col("label_id").alias("pos")), F.lit(OVER_BUDGET)))
+            if not granted:
+                return store.version(job)
+            labels = labels.where(~late)
+    with pool(spark, BATCH):
+        return store.land(job, check_batch(labels, applications, rulebook, settings, read))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,61 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
+def commit_new(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Publish a small file under a name that is still free: written beside it, then renamed.  False if another writer was first.
+
+    A rename that never replaces a file is one step on HDFS; on a mounted folder a hard link is.
+    """
+    java = spark._jvm.org.apache.hadoop.fs
+    final = java.Path(path)
+    beside = java.Path(final.getParent(), f".{uuid.uuid4().hex}")
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":
+        old, new = Path(beside.toUri().getPath()), Path(final.toUri().getPath())
+        new.parent.mkdir(parents=True, exist_ok=True)
+        old.write_bytes(data)
+        try:
+            os.link(old, new)
+        except FileExistsError:
+            return False
+        finally:
+            old.unlink()
+        return True
+    out = fs.create(beside)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    options = getattr(java, "Options$Rename")
+    none = spark.sparkContext._gateway.new_array(options, 1)
+    none[0] = options.NONE
+    try:
+        java.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, final, none)
+    except Exception as e:
+        fs.delete(beside, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """The bytes of a small file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """The sorted names in a folder, none if it is not there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete tables or folders that are read no more, and the shuffle files behind them."""
     for p in paths:

@@ -388,6 +388,28 @@ def test_repair_and_transliteration():
     assert {k: text.transliterate(k) for k in cases} == cases and text.latin_name("ｻｹ  x-\n y") == "sake xy"
 
 
+def broken(x, encoding="cp1252"):
+    return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in x.encode())
+
+
+@pytest.mark.parametrize("name", ["café", "œuvre", "“Grün”", "Вода", "日本酒", "l’Étoile", "Łódź", "αβγ", "Señor – Jo", "😀 Bräu", "KÖLN"])
+def test_broken_spans_are_repaired_where_the_rest_is_right(name):
+    for before, after in (("", ""), ("é ", ""), ("Straße ", " Weiß"), ("“x” ", " ß")):
+        assert text.repair(before + broken(name) + after) == before + name + after
+        assert text.repair(before + name + after) == before + name + after
+    assert text.repair("ß " + broken(broken("café"))) == "ß café"
+
+
+@pytest.mark.parametrize("name", ["MAÇÃ”", "Å–Å", "É–BAR", "Ã", "x â", "ÃO", "Â", "100 £", "Ï»", ""])
+def test_right_texts_stay(name):
+    assert text.repair("ß " + name) == "ß " + name
+
+
+def test_other_scripts_are_romanised():
+    assert [text.transliterate(x).lower() for x in ("深圳", "青岛啤酒", "سلمان دراز", "אברהם", "Вода", "한국", "ὠδή")] == ["shenzhen", "qingdaopijiu", "slman draz", "'vrhm", "voda", "hangug", "odi"]
+    assert text.transliterate("鬱") == "鬱"
+
+
 def test_rule_map_and_pairing_counts(spark):
     row = spark.createDataFrame([label(0)], LABEL)
     got = verify(row, load()).select(batch.rule_map(F.col("findings")).alias("m")).first()["m"]
@@ -515,3 +537,14 @@ def test_storage_needs_a_shared_folder_off_local_masters(spark, monkeypatch):
         sparkContext = type("S", (), {"master": "spark://x"})
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         storage.shared_dir(Cluster)
+
+
+def test_a_file_is_published_once_whatever_the_store(spark, tmp_path):
+    from proofmark import storage
+
+    for path in (f"file://{tmp_path}/a/1", f"viewfs://local/b/1"):
+        spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.local.link./b", f"file://{tmp_path}/b")
+        (tmp_path / "b").mkdir(exist_ok=True)
+        assert storage.commit_new(spark, path, b"first") and not storage.commit_new(spark, path, b"second")
+        assert storage.read_file(spark, path) == b"first" and [x for x in storage.names(spark, path.rpartition("/")[0]) if not x.startswith(".")] == ["1"]
+    assert storage.names(spark, f"file://{tmp_path}/nothing") == []

@@ -10,13 +10,18 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from proofmark import service
 from proofmark.jobs import CANCELLED, JobError, JobStore
 from proofmark.operators.batch import BATCH_FILES, retain
+from proofmark.model import LABEL
+from proofmark.operators.budget import Ledger
 from proofmark.rulebook import load
 from proofmark.sources import applications, export, reader
 from proofmark.storage import shared_dir
 from proofmark.streaming import retention
 
+from .test_engine import label
+
 RESULT = "pos long, status string, verdict string, detail string, rule_verdicts map<string,string>"
 
 
@@ -145,6 +150,57 @@ def test_finished_jobs_beyond_the_newest_go(spark, store):
     assert {r["job"] for r in store.jobs().collect()} == {running, *ended[-2:], stopped}
 
 
+# ---------------------------------------------------------------- submission and budget
+
+def uploads(spark, rows):
+    return spark.createDataFrame([(i, f"l{i}.png", n, head) for i, (n, head) in enumerate(rows)], "pos long, filename string, length long, head binary")
+
+
+PNG_HEAD = b"\x89PNG\r\n\x1a\n"
+
+
+def test_an_upload_is_gated_read_within_the_budget_and_landed(spark, store, tmp_path):
+    files_ = uploads(spark, [(100, PNG_HEAD), (0, b""), (100, PNG_HEAD), (100, b"text"), (100, PNG_HEAD), (100, PNG_HEAD)])
+    filed = spark.createDataFrame([("l0.png", "l0.png", "Old Tom", "", "")], "key string, filename string, brand_name string, class_type string, fanciful_name string")
+    job = service.submit(store, files_, filed)
+    assert {r["pos"]: (r["status"], r["detail"]) for r in store.read(job).collect() if r["status"] != "pending"} == {1: ("error", "The file is empty."), 3: ("error", "The file is not a PNG or JPEG image.")}
+    asked = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(*label(i)[:6], None, False) for i in (0, 2, 4, 5)], LABEL.add("reader_error", "string").add("failed", "boolean"))
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger", "0.015")
+    v = service.run_job(store, job, rows, filed, load(), ledger)
+    got = {r["pos"]: (r["status"], r["verdict"], r["detail"]) for r in store.read(job).collect()}
+    assert v.state == "finished" and got[5] == ("error", None, service.OVER_BUDGET) and {got[i][0] for i in (0, 2, 4)} == {"done"} and got[0][1] == "pass"
+    again = service.submit(store, uploads(spark, [(100, PNG_HEAD)]))  # nothing is left: nothing is read
+    assert service.run_job(store, again, rows.limit(1).mapInArrow(count, rows.schema).withColumn("label_id", F.lit(0).cast("long")), filed, load(), ledger).state == "finished"
+    assert store.read(again).first()["detail"] == service.OVER_BUDGET
+
+
+def test_uploads_are_turned_down_as_a_whole(spark, store):
+    filed = spark.createDataFrame([("other.png", "other.png", "", "", "")], "key string, filename string, brand_name string, class_type string, fanciful_name string")
+    good = [(100, PNG_HEAD)]
+    for rows, applications_, message in (([], None, "no PNG or JPEG"), ([(5, b"text")], None, "no PNG or JPEG"), (good * (BATCH_FILES + 1), None, "at most 1000"), ([(4 << 20, PNG_HEAD)] * 500, None, "too large"), (good, filed, "none of the images")):
+        with pytest.raises(service.UploadError, match=message):
+            service.submit(store, uploads(spark, rows), applications_)
+    assert store.jobs().count() == 0
+
+
+def test_reservations_at_once_never_pass_the_limit(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger", "0.05")
+    granted = []
+    threads = [threading.Thread(target=lambda n=n: granted.append(ledger.reserve(n, "2024-01-01"))) for n in (1, 2, 3, 4, 5, 6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sum(granted) == 10 == ledger.reserved("2024-01-01")[1] and ledger.reserve(3, "2024-01-01") == 0 and ledger.reserve(3, "2024-01-02") == 3
+
+
 # ---------------------------------------------------------------- retention
 
 def test_retention_stream_over_restarts_and_several_shards(spark, tmp_path):
