@@ -12,10 +12,9 @@ from ..functions.similarity import edit_rows, field_support, word_edits
 from ..functions.text import canon_brand, canon_statutory, count_words, neutralize_csv_cell, pairing_key, squash, tokens
 from ..operators import batch, bold, budget, corroborate, gate, matchers, page, rotation
 from ..operators.verify import beverage_class, findings, verify
-from ..rulebook import Rulebook, load, texts
+from ..rulebook import Rulebook, load, scan, texts
 from ..sources import export
-from ..sources.applications import health as health_row
-from ..sources.applications import last_wins
+from ..sources.applications import from_files, last_wins, status
 from ..sources.images import media_type, png_size
 from ..storage import is_file, shared_dir, spread
 from ..streaming.budget import run_once
@@ -31,17 +30,39 @@ def _reports(spark, sf_dir, *keep: str) -> DataFrame:
     return verify(surface.labels(surface.flat(spark, sf_dir), *keep), load())
 
 
+def _books(spark, sf_dir) -> DataFrame:
+    """A rulebook for every supplier: the rules with its name in their citations; every seventh has a strategy that there is not."""
+    files = [F.struct(F.lit(n).alias("name"), F.lit(t).alias("text")) for n, t in texts()]
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.explode(F.array(*files)).alias("f"))
+    text = F.replace(F.col("f.text"), F.lit("27 CFR"), F.col("s_name"))
+    text = F.when(F.col("s_suppkey") % 7 == 3, F.replace(text, F.lit("brand_match,"), F.lit("guess,"))).otherwise(text)
+    return scan(rows.select("s_suppkey", F.col("f.name").alias("name"), text.alias("text")), "s_suppkey")
+
+
 def rules(spark, sf_dir):
-    return load().table(spark).select("rule_pos", "id", "citation", "strategy", "field", "version")
+    """The rules of each supplier's rulebook, in order."""
+    return _books(spark, sf_dir).select("s_suppkey", "version", F.explode("rules").alias("r")).select("s_suppkey", "r.rule_pos", "r.id", "r.citation", "r.strategy", "r.field", "version")
 
 
 def rulebook_version(spark, sf_dir):
-    files = spark.createDataFrame(texts(), "name string, text string")
-    return files.agg(F.substring(F.sha2(F.expr("listagg(text) WITHIN GROUP (ORDER BY name)"), 256), 1, 12).alias("version"))
+    return _books(spark, sf_dir).select("s_suppkey", "version", F.col("problem").isNotNull().alias("broken"))
 
 
 def health(spark, sf_dir):
-    return health_row(spark, load().version, len(load().rules), reader=False, ocr=True)
+    """What is loaded and reachable for each supplier."""
+    books = _books(spark, sf_dir).withColumns({"reader": F.col("s_suppkey") % 2 == 0, "ocr": F.col("problem").isNull()})
+    return books.select("s_suppkey", status(F.col("reader"), F.col("ocr")).alias("status"), F.col("version").alias("rulebook_version"), F.size("rules").alias("rules"), "reader", "ocr")
+
+
+def applications_csv(spark, sf_dir):
+    """Filings as CSV files give them: those of half of the labels are filed twice, and the last one counts."""
+    rows = surface.applications(surface.flat(spark, sf_dir))
+    first = rows.where(F.col("pos") % 2 == 0).select((F.col("pos") * 2).alias("pos"), F.upper("filename").alias("Filename "), F.lit('old "name", first').alias("BRAND_NAME"), F.lit("x\ny").alias("class_type"), F.lit("").alias("other"))
+    last = rows.select((F.col("pos") * 2 + 1).alias("pos"), F.col("filename").alias("Filename "), F.concat(F.lit(" "), "brand_name").alias("BRAND_NAME"), "class_type", F.lit("").alias("other"))
+    folder = f"{shared_dir(spark)}/filed"
+    both = first.unionByName(last).repartition(F.floor(F.col("pos") / 2)).sortWithinPartitions("pos").drop("pos")
+    both.write.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return from_files(spark, folder).select("key", "filename", "brand_name", "class_type", "fanciful_name")
 
 
 def _by_class() -> Rulebook:
@@ -352,7 +373,7 @@ def rotation_option(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rules, rulebook_version, health, class_rules, abv_consistency, warning_verdict, warning_edits, warning_edit_rows, brand_scripts, brand_match, verify_findings, verify_report, batch_summary, batch_items, export_items, stream_progress, headline, rule_grid,
+    rules, rulebook_version, health, applications_csv, class_rules, abv_consistency, warning_verdict, warning_edits, warning_edit_rows, brand_scripts, brand_match, verify_findings, verify_report, batch_summary, batch_items, export_items, stream_progress, headline, rule_grid,
     report_pages, defect_counts, evaluation, mutations, pairing, csv_unmatched, pairing_gate, page_keys, exact_corroboration, ocr_blob, field_support_scores, claim_support, body_words,
     csv_neutralize, daily_budget, budget_stream, retention_top50, rotation_pick, rotation_merge, cross_line_median, bold_layout, bold_verdict, display_status, upload_gates, batch_gates, rotation_option)}
 
@@ -461,8 +482,9 @@ r AS (SELECT label_id, any_value(filename) AS filename, any_value(beverage) AS b
   arg_min(detail, (CASE verdict WHEN 'fail' THEN 0 WHEN 'needs_review' THEN 1 WHEN 'not_evaluable' THEN 2 ELSE 3 END) * 10 + pos) AS worst,
   count_if(verdict = 'not_evaluable') AS skipped, min(CASE WHEN verdict = 'not_evaluable' THEN pos || detail END) AS skip FROM f GROUP BY label_id),
 h AS (SELECT *, CASE WHEN verdict <> 'pass' THEN worst WHEN skipped = 0 THEN 'Every check passed.' WHEN skipped = 1 THEN 'Every check that ran passed. Left out: ' || substr(skip, 2) ELSE 'Every check that ran passed; left out: ' || skipped END AS detail FROM r)"""
-    rows = ", ".join(f"({i}, '{r.id}', '{r.citation}', '{r.match.strategy}', '{r.match.field}', '{book.version}')" for i, r in enumerate(book.rules))
-    files = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in texts())
+    rows = ", ".join(f"({i}, '{r.id}', '{r.citation.removeprefix('27 CFR')}', '{r.match.strategy}', '{r.match.field}')" for i, r in enumerate(book.rules))
+    files = " || ".join("replace('{}', '27 CFR', s_name)".format(t.replace("'", "''")) for _, t in texts())
+    books = f"WITH b AS (SELECT s_suppkey, s_name, s_suppkey % 7 = 3 AS broken, substr(sha256({files}), 1, 12) AS version FROM supplier)"
     ids = [r.id for r in book.rules]
     apps = f"{base}, a AS (SELECT {_key('filed_filename')} AS key, arg_max(brand_filed, label_id) AS brand_name FROM s GROUP BY 1)"
     words = " + ".join(f"contains(lower(text), '{w}')::BIGINT" for w in bold.BODY_WORDS)
@@ -474,9 +496,10 @@ h AS (SELECT *, CASE WHEN verdict <> 'pass' THEN worst WHEN skipped = 0 THEN 'Ev
     window = "substr(read, greatest(i, 0) + 1, least(len(read), i + len(quote)) - greatest(i, 0))"
     back = "substr(quote, greatest(i, 0) + 1, least(len(quote), i + len(read)) - greatest(i, 0))"
     out = {
-        "rules": f"SELECT * FROM (VALUES {rows}) v(rule_pos, id, citation, strategy, field, version)",
-        "rulebook_version": f"SELECT substr(sha256(string_agg(text, '' ORDER BY name)), 1, 12) AS version FROM (VALUES {files}) v(name, text)",
-        "health": f"SELECT 'degraded' AS status, '{book.version}' AS rulebook_version, {len(book.rules)} AS rules, false AS reader, true AS ocr",
+        "rules": f"{books} SELECT s_suppkey, rule_pos, id, s_name || part AS citation, strategy, field, version FROM b JOIN (VALUES {rows}) v(rule_pos, id, part, strategy, field) ON NOT broken",
+        "rulebook_version": f"{books} SELECT s_suppkey, CASE WHEN NOT broken THEN version END AS version, broken FROM b",
+        "health": f"{books} SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 AND NOT broken THEN 'ok' ELSE 'degraded' END AS status, CASE WHEN NOT broken THEN version END AS rulebook_version, CASE WHEN broken THEN 0 ELSE {len(book.rules)} END AS rules, s_suppkey % 2 = 0 AS reader, NOT broken AS ocr FROM b",
+        "applications_csv": f"{base} SELECT {_key('filed_filename')} AS key, filed_filename AS filename, brand_filed AS brand_name, class_filed AS class_type, '' AS fanciful_name FROM s",
         "class_rules": f"{base}, b AS (SELECT label_id, {beverage} AS beverage FROM s) SELECT *, '{ids[0]}' || CASE beverage WHEN 'wine' THEN ',{ids[1]}' WHEN 'malt' THEN ',{ids[1]},{ids[3]}' ELSE ',{ids[2]}' END AS rules FROM b",
         "abv_consistency": f"{base}, c AS (SELECT label_id, ({abv})::DECIMAL(10,4) AS abv, ({proof})::DECIMAL(10,4) AS proof FROM s) SELECT label_id, abv::DOUBLE AS abv, CASE WHEN abv IS NOT NULL THEN proof::DOUBLE END AS proof, abv * 2 = proof AS consistent FROM c",
         "warning_verdict": f"{base} SELECT label_id, {_warning(body)} AS warning FROM s",

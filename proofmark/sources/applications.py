@@ -6,7 +6,7 @@ import csv
 import io
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import pairing_key
@@ -98,6 +98,12 @@ def progress_json(counts: DataFrame, items: DataFrame, pairing: DataFrame) -> Da
         F.to_json(F.struct("total", "done", F.struct(*keys).alias("summary"), "csv_rows", "csv_unmatched", shown.alias("items")), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def status(reader: Column, ocr: Column) -> Column:
+    """ok where both ways of reading a label are reachable, else degraded."""
+    return F.when(reader & ocr, "ok").otherwise("degraded")
+
+
 def health(spark: SparkSession, version: str, rules: int, reader: bool, ocr: bool) -> DataFrame:
     """One row on what is loaded and reachable."""
-    return spark.createDataFrame([("ok" if reader and ocr else "degraded", version, rules, reader, ocr)], "status string, rulebook_version string, rules int, reader boolean, ocr boolean")
+    row = spark.createDataFrame([(version, rules, reader, ocr)], "rulebook_version string, rules int, reader boolean, ocr boolean")
+    return row.select(status(F.col("reader"), F.col("ocr")).alias("status"), "*")

@@ -548,3 +548,13 @@ def test_a_file_is_published_once_whatever_the_store(spark, tmp_path):
         assert storage.commit_new(spark, path, b"first") and not storage.commit_new(spark, path, b"second")
         assert storage.read_file(spark, path) == b"first" and [x for x in storage.names(spark, path.rpartition("/")[0]) if not x.startswith(".")] == ["1"]
     assert storage.names(spark, f"file://{tmp_path}/nothing") == []
+
+
+def test_each_rulebook_of_a_table_is_parsed_and_fails_alone(spark):
+    from proofmark.rulebook import scan, texts
+
+    good = texts()
+    files = [("a", n, t) for n, t in reversed(good)] + [("b", "1.yaml", "rules: [{id: x}]"), ("c", "1.yaml", "rules: ["), ("d", "1.yaml", ""), ("e", "1.yaml", "- 1"), (None, "1.yaml", good[1][1])]
+    got = {r["book"]: r for r in scan(spark.createDataFrame(files, "book string, name string, text string"), "book").collect()}
+    assert got["a"]["version"] == load().version and [r["id"] for r in got["a"]["rules"]] == [r.id for r in load().rules] and got["a"]["problem"] is None
+    assert all(got[k]["problem"] and not got[k]["rules"] and got[k]["version"] is None for k in "bcde") and len(got[None]["rules"]) == 2
