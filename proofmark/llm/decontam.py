@@ -14,7 +14,7 @@ whatever their cosine: the rank is smaller than a large benchmark's row space, a
 
 Candidates are decided on words: the longest common subsequence of the item and the window must cover
 ``min_lcs`` of the item, or ``min_paraphrase`` of it together with ``min_answer`` of its last ``ANSWER`` words (the
-answer).  Items of fewer than ``LEAST`` words are matched as consecutive words.
+answer).  A hit's ``route`` says what found it: ``latent`` where some window's cosine did, ``words`` where rare words alone did.  Items of fewer than ``LEAST`` words are matched as consecutive words.
 
 Documents are read once for the frequencies and once for each block of ``BLOCK_WORDS`` words of the benchmark, and never
 shuffled; what tasks send is a count a vocabulary word.  The basis, the vocabulary and what is broadcast are bounded by the block,
@@ -390,8 +390,8 @@ class Retriever:
         answer = lcs(answers, n, text) / n
         return (share, answer) if share >= min_lcs or answer >= min_answer else None
 
-    def hits(self, w: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
-        """(document, item, cosine, lcs, answer, word) for each hit."""
+    def hits(self, w: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float, int, str]]:
+        """(document, item, cosine, lcs, answer, word, route) for each hit."""
         at, k = self.space.vocabulary.find(w)
         if not len(at) or not self.items:
             return []
@@ -403,13 +403,16 @@ class Retriever:
         p, item = key // len(self.items), key % len(self.items)
         cosine, place = self.cosines(p, item, at, k, starts, lead)
         best: dict[tuple[int, int], tuple] = {}
+        routes: dict[tuple[int, int], str] = {}
         doc = np.searchsorted(lead, p, side="right") - 1
-        for x in np.flatnonzero(sure | (cosine >= self.limits[0])).tolist():
+        near = cosine >= self.limits[0]
+        for x in np.flatnonzero(sure | near).tolist():
             i, d = int(item[x]), int(doc[x])
             got = self.measure(i, w[starts[p[x]] : min(first[d + 1], starts[p[x]] + 4 * HALF + self.lengths[i])])
             if got:
                 best[d, i] = max(best.get((d, i), (0.0,)), (*got, float(cosine[x]), int(starts[place[x]] - first[d])))
-        return [(d, i, x[2], x[0], x[1], x[3]) for (d, i), x in sorted(best.items())]
+                routes[d, i] = "latent" if near[x] else routes.get((d, i), "words")
+        return [(d, i, x[2], x[0], x[1], x[3], routes[d, i]) for (d, i), x in sorted(best.items())]
 
 
 class Exact:
@@ -423,7 +426,7 @@ class Exact:
             order = np.argsort(h, kind="stable")
             self.by_length[n] = h[order], np.array(own)[order]
 
-    def hits(self, w: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float | None, float, float, int]]:
+    def hits(self, w: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float | None, float, float, int, str]]:
         found: dict[tuple[int, int], int] = {}
         for n, (hashes, own) in self.by_length.items():
             grams = gram_hashes(w, n)
@@ -434,7 +437,7 @@ class Exact:
             for p, d in zip(at[inside].tolist(), doc[inside].tolist()):
                 for i in own[left[p] : right[p]].tolist():
                     found.setdefault((d, i), p - int(first[d]))
-        return [(d, i, None, 1.0, 1.0, p) for (d, i), p in sorted(found.items())]
+        return [(d, i, None, 1.0, 1.0, p, "words") for (d, i), p in sorted(found.items())]
 
 
 def retrievers(docs: DataFrame, benchmark: DataFrame, folder: str, min_cosine: float = 0.4, min_lcs: float = 0.75,
@@ -470,16 +473,16 @@ def retrievers(docs: DataFrame, benchmark: DataFrame, folder: str, min_cosine: f
             yield Exact([np.frombuffer(x, np.uint64) for x in made.column(1).to_pylist()]), made.column(0).combine_chunks()
 
 
-HITS = "cosine double, lcs double, answer double, word integer"
+HITS = "cosine double, lcs double, answer double, word integer, route string"
 
 
 def find(docs: DataFrame, benchmark: DataFrame, folder: str | None = None, **limits) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer, word) for each document and item that match."""
+    """(doc_id, item_id, cosine, lcs, answer, word, route) for each document and item that match."""
     spark = docs.sparkSession
     schema = docs.select("doc_id").schema.add(benchmark.schema["item_id"])
     for f in HITS.split(", "):
         schema = schema.add(*f.split())
-    kinds = [pa.float64(), pa.float64(), pa.float64(), pa.int32()]
+    kinds = [pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.string()]
     out = None
     for searcher, ids in retrievers(docs, benchmark, folder or shared_dir(spark), **limits):
         shared = spark.sparkContext.broadcast((searcher, ids))
