@@ -18,7 +18,8 @@ Documents are sets of hashed word shingles.  Equal sets are one node from the st
     Larger ones are compared with a few pivots; what the pivots leave outside the main component meets others
     through an index inside the cluster (``large_links``).  So no link between different texts is lost.
 
-Shuffles carry packed hashes, not texts, and their tasks hold one bucket at a time; equal sets, popular signatures and large clusters are all
+The search's shuffles carry packed hashes, not texts, and their tasks hold one bucket at a time.  Texts travel once to be joined with the keys of what survives the
+prefix filter, and once more where rows are dropped; both joins are the same merge join at every size, so figures measured small hold at size.  Equal sets, popular signatures and large clusters are all
 split or collapsed before they meet in a task, and joins on labels split hot ones.  Hashes have 64 bits.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing, not
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_JOIN_BYTES, bucket_count, buckets, by_bucket, carried, chunks, gram_hashes, hash_words, join_unique, materialize, mix64, remove, shared_dir, small, spread, text_bytes, tidy
+from .common import TASK_BYTES, bucket_count, buckets, by_bucket, carried, chunks, gram_hashes, hash_words, join_unique, materialize, mix64, remove, shared_dir, small, spread, text_bytes, tidy
 
 K = 5
 POPULAR = 8
@@ -585,7 +586,7 @@ def set_components(docs: DataFrame, sets: DataFrame, folder: str, k: int = K) ->
     stats = wanted.agg(F.count("*").alias("rows"), F.max("n").alias("largest"), F.sum("n").alias("shingles")).first()
     if not stats["rows"]:
         return spark.createDataFrame([], "set_id long, label long")
-    texts = docs.withColumn("id", key).join(small(wanted.select("id", "check", "wanted"), TEXT_JOIN_BYTES), ["id", "check"]).select("wanted", "text")
+    texts = docs.withColumn("id", key).join(wanted.select("id", "check", "wanted").hint("merge"), ["id", "check"]).select("wanted", "text")
 
     def keep(batches):
         for batch in batches:
@@ -600,8 +601,9 @@ def set_components(docs: DataFrame, sets: DataFrame, folder: str, k: int = K) ->
     remove(spark, *[f"{folder}/{x}" for x in ("wanted", "grouped", "left_out", "kept", "hubs")])
     sizes = materialize(clusters.groupBy("label").agg(F.count("*").alias("size")), folder, "sizes")
     placed = materialize(join_unique(clusters, sizes, ["label"]).select(F.col("node").alias("set_id"), F.col("label").alias("cluster"), "size"), folder, "placed")
-    members = surviving.join(small(placed), "set_id")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = materialize(surviving.join(placed.hint("merge"), "set_id"), folder, "members")  # the sets travel once, whatever the number of clusters
+    remove(spark, f"{folder}/surviving")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * int(stats["shingles"]) // TASK_BYTES))
     few = members.where(F.col("size") <= CLUSTER).repartition(parts, "cluster").groupBy("cluster").applyInArrow(verify_cluster, "set_id long, label long")
     labels = materialize(few, folder, "small_labels")
     if not placed.where(F.col("size") > CLUSTER).isEmpty():
@@ -620,7 +622,7 @@ def _components(docs: DataFrame, folder: str, k: int) -> DataFrame:
     classes = materialize(classes.join(small(labels), "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), folder, "classes")
     smallest = classes.groupBy("label").agg(F.min("least").alias("component"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
     linked = materialize(join_unique(classes.select("set_id", "label"), materialize(smallest, folder, "smallest"), ["label"]).select("set_id", "component"), folder, "linked")
-    remove(spark, *[f"{folder}/{x}" for x in ("surviving", "placed", "sizes", "small_labels", "classes", "smallest")])
+    remove(spark, *[f"{folder}/{x}" for x in ("members", "placed", "sizes", "small_labels", "classes", "smallest")])
     none, some = sets.where("set_id IS NULL"), sets.where("set_id IS NOT NULL")
     out = join_unique(some, linked, ["set_id"], "left").select("doc_id", "check", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.unionByName(none.select("doc_id", "check", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -644,7 +646,7 @@ def deduplicate(docs: DataFrame, folder: str | None = None, k: int = K) -> DataF
     other = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("component_id") != F.col("doc_id")))
     gone = materialize(found.where(other).select(id_.alias("id"), "check").distinct(), folder, "gone")
     rows = carried(docs, id_.alias("id"), F.coalesce(F.crc32("text"), F.lit(0)).alias("check"))
-    return rows.join(small(gone, TEXT_JOIN_BYTES), ["id", "check"], "left_anti").select("row.*")
+    return rows.join(gone.hint("merge"), ["id", "check"], "left_anti").select("row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
