@@ -148,13 +148,9 @@ def broadcast_bytes(spark: SparkSession) -> int:
     return max(0, spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
-#: The bound for keys that are joined to texts: to shuffle those costs far more than to send keys of a few bytes.
-TEXT_JOIN_BYTES = 8 << 20
-
-
-def small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Marked for broadcast if its size is within a bound, the session's own if none is given; otherwise the join shuffles.
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its size is within the session's bound; otherwise the join shuffles.
 
     Best asked of a table just written.
     """
-    return F.broadcast(df) if plan_bytes(df) <= (broadcast_bytes(df.sparkSession) if limit is None else limit) else df
+    return F.broadcast(df) if plan_bytes(df) <= broadcast_bytes(df.sparkSession) else df
