@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import join_unique, materialize, shared_dir, small
+from .common import join_unique, materialize, remove, shared_dir, small
 from .warc import filesystem, run_spread
 
 
@@ -216,6 +216,7 @@ def compact(rows: DataFrame, folder: str | None = None, parts: int = 150, under:
     plan = materialize(plan_groups(files, share(total, under), share(total, most)), work, "plan")
     staged = materialize(execute(spark, rows.schema, folder, plan), work, "staged")
     final = materialize(settle(staged), work, "final")
+    remove(spark, f"{folder}/_merged")  # empty folders by now
     return inspect(final)
 
 

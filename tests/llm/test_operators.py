@@ -493,6 +493,17 @@ def test_jaccard_joins_without_broadcasts_and_with_hot_keys(spark, monkeypatch,
     assert spark_rows(jaccard.join_components(docs(spark, texts))) == brute.components(texts)
 
 
+def test_queries_of_links_and_repeats_equal_plain_versions(spark):
+    """op7 and op9 as they are registered, over the whole table."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    texts = [t for _, t in rows]
+    assert [i for i, _ in rows] == list(range(len(rows)))  # places are ids
+    assert spark_rows(QUERIES["op7_jaccard_components"](spark, SF)) == brute.components(texts)
+    got = QUERIES["op9_substring_dedup"](spark, SF).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got] == brute.dedup(texts)
+    assert any(r["n_removed"] for r in got)
+
+
 def test_deduplicate_keeps_one_row_of_a_component(spark):
     rows = docs(spark, awkward(), extra=True)
     kept = jaccard.deduplicate(rows).collect()

@@ -158,6 +158,7 @@ def test_compaction_query_equals_a_plain_version(spark):
     assert {r["columns"] for r in rows} == {",".join(clicks.columns)} and {r["rewritten"] for r in rows} == {True, False}
     folder = next(p for p in local(rows[0]["path"]).parents if p.name == "table")
     assert {p for p in folder.rglob("*") if p.is_file() and p.suffix == ".parquet"} == {local(r["path"]) for r in rows}
+    assert not (folder / "_merged").exists()
     back = spark.read.parquet(str(folder)).select(*clicks.columns)
     assert back.schema == clicks.schema and back.exceptAll(clicks).count() == clicks.exceptAll(back).count() == 0
 
