@@ -50,15 +50,34 @@ def raster_strokes(spark, sf_dir):
         bold.decide(F.lit(True), F.col("m"))["verdict"].alias("verdict"), "pixel_key", copy["width"].alias("width"), copy["height"].alias("height"), F.col("fields").alias("brand"))
 
 
-QUERIES = {"raster_strokes": raster_strokes}
+def raster_previews(spark, sf_dir):
+    """The size of every image's preview, and whether it decodes to nearly the image."""
+    folder = shared_dir(spark)
+    rows = _drawn(spark, sf_dir)
+    materialize(drawing.write_images(rows, f"{folder}/images"), folder, "written")
+    decoded = images.read_rasters(spark, f"{folder}/images")
+    previews = decoded.select(F.concat("key", F.lit(".jpg")).alias("name"), images.preview(F.col("image")).alias("content"))
+    materialize(images.store_files(previews, f"{folder}/previews"), folder, "stored")
+    back = images.read_rasters(spark, f"{folder}/previews").select(F.replace("key", F.lit(".png.jpg"), F.lit(".png")).alias("key"), F.col("image").alias("preview"))
+    known = rows.select(pairing_key(F.col("name")).alias("key"), "p_partkey")
+    both = decoded.join(back, "key").join(known, "key")
+    return both.select("p_partkey", F.col("preview.width").cast("long").alias("width"), F.col("preview.height").cast("long").alias("height"), (images.differences(F.col("image"), F.col("preview")) <= 2).alias("near"))
+
+
+QUERIES = {"raster_strokes": raster_strokes, "raster_previews": raster_previews}
 
 _ROW = lambda n, s: f"repeat('ffffff', {M}) || repeat(repeat('000000', {s}) || repeat('ffffff', 2 * {s}), {n - 1}) || repeat('000000', {s}) || repeat('ffffff', w - {M} - {3 * n - 2} * {s})"
 
 #: The stroke of a bar is read at the middle of it: twice the pixels to its edge.
-ORACLES = {"raster_strokes": f"""
+_DRAWN = f"""
 WITH p AS (SELECT p_partkey, p_brand, 2 + p_size % 7 AS hs, 2 + p_partkey % 5 AS bs, 14 + p_size % 9 AS hc, 14 + p_partkey % 11 AS bc FROM part WHERE p_partkey % 29 <> 5),
-d AS (SELECT *, ({2 * M} + greatest({3 * HEAD - 2} * hs, {3 * BODY - 2} * bs))::BIGINT AS w, ({2 * M + GAP} + hc + bc)::BIGINT AS h, (2.0 * ((hs + 1) // 2))::DOUBLE AS hm, (2.0 * ((bs + 1) // 2))::DOUBLE AS bm FROM p),
+d AS (SELECT *, ({2 * M} + greatest({3 * HEAD - 2} * hs, {3 * BODY - 2} * bs))::BIGINT AS w, ({2 * M + GAP} + hc + bc)::BIGINT AS h, (2.0 * ((hs + 1) // 2))::DOUBLE AS hm, (2.0 * ((bs + 1) // 2))::DOUBLE AS bm FROM p)"""
+
+ORACLES = {
+    "raster_previews": f"""{_DRAWN} SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN w ELSE h END AS width, CASE WHEN p_partkey % 2 = 0 THEN h ELSE w END AS height, true AS near FROM d""",
+    "raster_strokes": f"""{_DRAWN},
 k AS (SELECT *, sha256(encode(w || 'x' || h || ':') || from_hex(repeat(repeat('ffffff', w), {M}) || repeat({_ROW(HEAD, 'hs')}, hc) || repeat(repeat('ffffff', w), {GAP}) || repeat({_ROW(BODY, 'bs')}, bc) || repeat(repeat('ffffff', w), {M}))) AS pixel_key FROM d)
 SELECT p_partkey, hm AS head_stroke, hc::DOUBLE AS head_cap, bm AS body_stroke, bc::DOUBLE AS body_cap,
   CASE WHEN hm / bm >= 1.30 THEN 'bold_ok' WHEN hm / bm <= 0.90 AND greatest(hc, bc) <= 1.40 * least(hc, bc) THEN 'not_bold' ELSE 'review' END AS verdict,
-  pixel_key, w AS width, h AS height, min(p_brand) OVER (PARTITION BY pixel_key) AS brand FROM k"""}
+  pixel_key, w AS width, h AS height, min(p_brand) OVER (PARTITION BY pixel_key) AS brand FROM k""",
+}

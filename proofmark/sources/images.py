@@ -145,6 +145,33 @@ def _copy(files: DataFrame, folder: str) -> DataFrame:
     return files.sparkSession.read.schema(schema).parquet(f"{folder}-list")
 
 
+def store_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write (name, content) as files of a folder that executors share; (name, size) of each.  Rows without content give none."""
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                with store.open_output_stream(f"{root}/{name.as_py()}", compression=None) as out:
+                    out.write(content.as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c.as_py()) for c in batch.column(1)], pa.int64())], names=["name", "size"])
+
+    return files.where("content IS NOT NULL").select("name", "content").mapInArrow(run, "name string, size long")
+
+
+def differences(a: Column, b: Column) -> Column:
+    """The largest difference of a grey level or colour between two images of one size and number of channels; null if they are not."""
+    return _differences(a["data"], b["data"], (a["height"] == b["height"]) & (a["width"] == b["width"]) & (a["nChannels"] == b["nChannels"]))
+
+
+@F.arrow_udf(T.IntegerType())
+def _differences(a: pa.Array, b: pa.Array, alike: pa.Array) -> pa.Array:
+    levels = lambda x: np.frombuffer(x.as_py(), np.uint8).astype(np.int16)
+    return pa.array([int(np.abs(levels(x) - levels(y)).max(initial=0)) if same.as_py() and x.is_valid and y.is_valid else None for x, y, same in zip(a, b, alike)], pa.int32())
+
+
 def rotate(raster: np.ndarray, clockwise: int) -> np.ndarray:
     """Undo an apparent clockwise turn of 0, 90, 180 or 270 degrees."""
     if clockwise not in (0, 90, 180, 270):
@@ -230,6 +257,26 @@ def vision_copy(image: Column) -> Column:
     return _vision(image["data"], image["height"], image["width"], image["nChannels"])
 
 
+#: Fixed value: the longer edge of a preview.
+PREVIEW_EDGE = 1200
+
+
+@F.arrow_udf(T.BinaryType())
+def _preview(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
+    from .jpeg import encode
+
+    out = []
+    for d, h, w, c in zip(data, height, width, channels):
+        ok = d.is_valid and w.as_py() > 0
+        out.append(encode(shrink(np.frombuffer(d.as_py(), np.uint8).reshape(h.as_py(), w.as_py(), c.as_py()), PREVIEW_EDGE)) if ok else None)
+    return pa.array(out, pa.binary())
+
+
+def preview(image: Column) -> Column:
+    """The image as a JPEG file of bounded size, without metadata, for a page; null if it could not be decoded."""
+    return _preview(image["data"], image["height"], image["width"], image["nChannels"])
+
+
 def _pixel_keys(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
     import hashlib
 

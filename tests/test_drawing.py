@@ -1,11 +1,13 @@
 """Drawn labels measure as they were drawn."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from proofmark.functions.strokes import measure
-from proofmark.sources import drawing, images
+from proofmark.sources import drawing, images, jpeg
 from proofmark.storage import shared_dir
 
 
@@ -39,3 +41,37 @@ def test_files_decode_to_what_was_drawn(spark):
         i, image = int(r["key"][1:-4]), r["image"]
         expected = drawing.draw([("HI", 3, i + 14)], 1 + 2 * (i % 2), i % 4 * 90)
         assert np.array_equal(np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"]), expected)
+
+
+# ---------------------------------------------------------------- previews
+
+def rasters():
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[0:61, 0:83]
+    slope = ((x * 2 + y) % 256).astype(np.uint8)
+    return {"white": np.full((17, 9, 1), 255, np.uint8), "dot": np.zeros((1, 1, 3), np.uint8), "slope": slope[:, :, None], "colours": np.dstack([slope, slope[::-1], slope[:, ::-1]]), "label": drawing.draw([("HELTFI", 3, 24), ("III", 2, 15)], 3, 90),
+            "noise": rng.integers(0, 256, (40, 56, 1), dtype=np.uint8), "checks": np.indices((33, 47)).sum(0).astype(np.uint8)[:, :, None] % 2 * 255, "alpha": np.dstack([slope] * 3 + [np.full_like(slope, 7)])}
+
+
+def test_previews_decode_to_nearly_what_they_were_made_of(spark):
+    folder = shared_dir(spark)
+    made = rasters()
+    rows = spark.createDataFrame([(k, (None, *v.shape, 16, bytearray(v.tobytes()))) for k, v in made.items()], f"name string, image {images.IMAGE.simpleString()}")
+    Path(folder.removeprefix("file://")).mkdir()
+    for r in rows.select("name", images.preview(F.col("image")).alias("jpeg")).collect():
+        assert r["jpeg"][:2] == b"\xff\xd8" and b"Exif" not in r["jpeg"] and images.jpeg_facts(bytes(r["jpeg"]))[:2] == made[r["name"]].shape[1::-1]
+        (Path(folder.removeprefix("file://")) / f"{r['name']}.jpg").write_bytes(r["jpeg"])
+    got = {r["key"].removesuffix(".jpg"): r["image"] for r in images.read_rasters(spark, folder).collect()}
+    for name, raster in made.items():
+        image = got[name]
+        back = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"]).astype(int)
+        worst = np.abs(back - raster[:, :, : back.shape[2]]).max()
+        assert worst <= (2 if made[name].shape[2] == 1 else 4), (name, worst)
+
+
+def test_previews_are_bounded_and_smaller_than_their_source(spark):
+    big = drawing.draw([("HELTFI" * 12, 6, 60)])
+    row = spark.createDataFrame([((None, *big.shape, 0, bytearray(big.tobytes())),), ((None, -1, -1, -1, -1, bytearray()),)], f"image {images.IMAGE.simpleString()}")
+    a, b = [r[0] for r in row.select(images.preview(F.col("image"))).collect()]
+    assert b is None and images.jpeg_facts(bytes(a))[0] == images.PREVIEW_EDGE and len(a) < big.size / 4
+    assert len(jpeg.encode(big, 8)) < len(jpeg.encode(big, 0))
