@@ -423,17 +423,50 @@ def verify_cluster(table: pa.Table) -> pa.Table:
     return pa.table({"set_id": pa.array([x[0] for x in got], pa.int64()), "label": pa.array([x[1] for x in got], pa.int64())})
 
 
-def compare_groups(table: pa.Table) -> pa.Table:
-    """(a, b): the groups of two blocks whose popular parts alone reach the threshold at the sets' whole sizes."""
-    side, ids, n, parts = table.column("side").to_numpy(), table.column("id").to_pylist(), table.column("n").to_pylist(), _tokens(table.column("tokens"))
-    links = []
-    for i in np.flatnonzero(side == 0):
-        for j in np.flatnonzero(side == 1):
-            if DEN * min(n[i], n[j]) >= NUM * max(n[i], n[j]):
-                both = len(np.intersect1d(parts[i], parts[j], assume_unique=True))
-                if DEN * both >= NUM * (n[i] + n[j] - both):
-                    links.append((ids[i], ids[j]))
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+def reach(batches):
+    """Of (a, b, na, nb, ta, tb): the groups whose popular parts alone reach the threshold at the sets' whole sizes."""
+    for batch in batches:
+        n = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(_tokens(batch.column(4)), _tokens(batch.column(5)))]
+        yield batch.filter(pa.array([DEN * k >= NUM * (i + j - k) for k, (i, j) in zip(both, n)], pa.bool_())).select([0, 1])
+
+
+def part_tokens(batches):
+    """(cluster, id, n, odd, token), a row for each token of a group's popular part."""
+    for batch in batches:
+        parts = _tokens(batch.column(2))
+        row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        token = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+        for at in range(0, len(row), 100_000):
+            cut = slice(at, at + 100_000)
+            own = [batch.column(i).take(pa.array(row[cut])) for i in (0, 3, 1, 4)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(token[cut])], names=["cluster", "id", "n", "odd", "token"])
+
+
+def alike_groups(grouped: DataFrame, folder: str) -> DataFrame:
+    """(a, b): groups of (cluster, n, tokens, id, odd), one of them odd, whose popular parts reach the threshold alone.
+
+    Two that reach the threshold t share at least ``t n`` popular tokens, n the whole size of either: with
+    each part's tokens in order of the groups that hold them, fewest first, the prefixes of ``p - ceil(t n) + 1`` meet.
+    The index of those prefixes gives the candidates; a place in both says how much can still be shared.
+    """
+    save = lambda df, name: materialize(df, folder, f"large_{name}")
+    tokens = grouped.select("cluster", "n", "tokens", "id", "odd").mapInArrow(part_tokens, "cluster long, id long, n long, odd int, token long")
+    held = tokens.groupBy("cluster", "token").agg(F.count("*").alias("groups"))
+    order = F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("order")
+    ordered = tokens.join(held, ["cluster", "token"]).groupBy("cluster", "id", "n", "odd").agg(order).withColumn("p", F.size("order"))
+    prefix = F.slice("order", 1, (F.col("p") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))
+    met = save(ordered.select("cluster", "id", "n", "odd", "p", F.posexplode(prefix).alias("pos", "at")).select("cluster", F.col("at.token").alias("token"), "id", "n", "odd", (F.col("p") - F.col("pos")).alias("rest")), "prefixes")
+    a, b = (met.where(f).select("cluster", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "rest")]) for s, f in (("a", "odd = 1"), ("b", "true")))
+    can = (F.col("id_a") != F.col("id_b")) & ((NUM + DEN) * F.least("rest_a", "rest_b") >= NUM * (F.col("n_a") + F.col("n_b")))
+    pairs = a.join(b, ["cluster", "token"]).where(can).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    pairs = save(pairs, "group_pairs")
+    for side in ("a", "b"):
+        pairs = pairs.join(grouped.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("tokens").alias(f"t{side}")), side)
+    near = pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(reach, "a long, b long")
+    p = F.octet_length("tokens") / 8
+    within = grouped.where((F.col("odd") == 1) & (DEN * p >= NUM * (2 * F.col("n") - p))).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return save(near.unionByName(within), "alike")
 
 
 RARE = np.dtype([("token", "<u8"), ("cluster", "<i8"), ("set", "<i8"), ("label", "<i8"), ("odd", "u1")])
@@ -503,8 +536,8 @@ def large_links(members: DataFrame, folder: str, shingles: int) -> DataFrame:
     Sets that pivots do not join to the cluster's main component are odd.  A token of more than ``CLUSTER`` sets of the
     cluster is popular there.  A partner of an odd set shares a rare token with it, and then one among those
     that a prefix of its rare ones holds; or it does not, and then the popular parts of the two reach the
-    threshold alone.  The first are found through an inverted index of rare tokens, each in few sets; the second by
-    comparing the distinct (popular part, size) groups, whose members are then alike.
+    threshold alone.  The first are found through an inverted index of rare tokens, each in few sets; the second through
+    one of the distinct (popular part, size) groups' prefixes (``alike_groups``), whose members are then alike.
     """
     spark = members.sparkSession
     save = lambda df, name: materialize(df, folder, f"large_{name}")
@@ -557,13 +590,7 @@ def large_links(members: DataFrame, folder: str, shingles: int) -> DataFrame:
     parts = save(rows.mapInArrow(popular_parts, "id long, cluster long, n long, tokens binary, odd int"), "parts")
     grouped = save(parts.groupBy("cluster", "n", "tokens").agg(F.min("id").alias("id"), F.max("odd").alias("odd")), "groups")
     members_of = parts.join(grouped.select("cluster", "n", "tokens", F.col("id").alias("group")), ["cluster", "n", "tokens"]).select("id", "group")
-    blocks = save(grouped.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("blocks")), "blocks")
-    placed = grouped.join(small(blocks), "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["cluster", "x", "y", "side", "id", "n", "tokens"]
-    a = placed.where("odd = 1").withColumn("x", F.col("own")).withColumn("y", other).withColumn("side", F.lit(0)).select(columns)
-    b = placed.withColumn("y", F.col("own")).withColumn("x", other).withColumn("side", F.lit(1)).select(columns)
-    alike = save(a.unionByName(b).groupBy("cluster", "x", "y").applyInArrow(compare_groups, "a long, b long"), "alike")
+    alike = alike_groups(grouped, folder)
     # every member of a group is linked to every member of a group alike: to its first one, that is
     partner = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
     through = members_of.join(partner, F.col("group") == F.col("a")).select(F.col("id").alias("a"), "b")

@@ -483,6 +483,33 @@ def test_jaccard_of_lines_that_hold_a_cluster_together(spark, monkeypatch):
     assert spark_rows(jaccard.join_components(docs(spark, texts))) == brute.components(texts)
 
 
+def grouped_parts(spark, parts):
+    """Groups of one cluster from (whole size, tokens)."""
+    rows = [(1, n, np.array(sorted(t), np.uint64).tobytes(), i, int(i % 3 > 0)) for i, (n, t) in enumerate(parts)]
+    return spark.createDataFrame(rows, "cluster long, n long, tokens binary, id long, odd int")
+
+
+def test_popular_parts_meet_through_prefixes_as_through_all_pairs(spark):
+    rng = random.Random(8)
+    parts = []
+    for _ in range(150):
+        base = rng.choice((0, 10, 20))
+        tokens = {t if rng.random() < 0.9 else rng.randrange(60) for t in range(base, base + 24)}
+        parts.append((len(tokens) + rng.randrange(len(tokens) // 4), tokens))
+    expected = {(i, j) for i, (n, a) in enumerate(parts) for j, (m, b) in enumerate(parts) if i <= j and (i % 3 or j % 3) and 4 * len(a & b) >= 3 * (n + m - len(a & b))}
+    got = [tuple(r) for r in jaccard.alike_groups(grouped_parts(spark, parts), common.shared_dir(spark)).collect()]
+    assert sorted(got) == sorted(expected) and len(expected) > 300
+
+
+def test_comparisons_of_popular_parts_grow_with_the_groups(spark):
+    """20,000 groups of one cluster that share two thirds of their tokens, in families of four."""
+    parts = [(60, [*range(40), *(1000 + 21 * (i // 4) + j for j in range(21) if j != i % 4)]) for i in range(20_000)]
+    folder = common.shared_dir(spark)
+    got = jaccard.alike_groups(grouped_parts(spark, parts), folder).where("a <> b").collect()
+    assert sorted(map(tuple, got)) == [(i, j) for i in range(20_000) for j in range(i + 1, i // 4 * 4 + 4) if i % 3 or j % 3]
+    assert spark.read.parquet(f"{folder}/large_group_pairs").count() <= 2 * len(got)
+
+
 def spark_rows(df):
     return [(r["n_shingles"], r["component_id"]) for r in df.orderBy("doc_id").collect()]
 
