@@ -444,26 +444,46 @@ def part_tokens(batches):
 
 
 def alike_groups(grouped: DataFrame, folder: str) -> DataFrame:
-    """(a, b): groups of (cluster, n, tokens, id, odd), one of them odd, whose popular parts reach the threshold alone.
+    """(a, b): links of groups of (cluster, n, tokens, id, odd), one of them odd, whose popular parts reach the threshold alone.
+
+    They connect, with the groups that are not odd as connected already, what all such links connect.
 
     Two that reach the threshold t share at least ``t n`` popular tokens, n the whole size of either: with
     each part's tokens in order of the groups that hold them, fewest first, the prefixes of ``p - ceil(t n) + 1`` meet.
-    The index of those prefixes gives the candidates; a place in both says how much can still be shared.
+    The index of those prefixes gives the candidates; a place in both, and masks of 256 bits, say how much can be shared.
     """
     save = lambda df, name: materialize(df, folder, f"large_{name}")
     tokens = grouped.select("cluster", "n", "tokens", "id", "odd").mapInArrow(part_tokens, "cluster long, id long, n long, odd int, token long")
     held = tokens.groupBy("cluster", "token").agg(F.count("*").alias("groups"))
     order = F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("order")
-    ordered = tokens.join(held, ["cluster", "token"]).groupBy("cluster", "id", "n", "odd").agg(order).withColumn("p", F.size("order"))
+    masks = [F.bit_xor(F.expr(f"IF(pmod(token, 256) DIV 64 = {i}, shiftleft(1L, CAST(pmod(token, 64) AS INT)), 0L)")).alias(f"m{i}") for i in range(4)]
+    side = ["id", "n", "rest", "p", "m0", "m1", "m2", "m3"]
+    ordered = tokens.join(held, ["cluster", "token"]).groupBy("cluster", "id", "n", "odd").agg(order, *masks).withColumn("p", F.size("order"))
     prefix = F.slice("order", 1, (F.col("p") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))
-    met = save(ordered.select("cluster", "id", "n", "odd", "p", F.posexplode(prefix).alias("pos", "at")).select("cluster", F.col("at.token").alias("token"), "id", "n", "odd", (F.col("p") - F.col("pos")).alias("rest")), "prefixes")
-    a, b = (met.where(f).select("cluster", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "rest")]) for s, f in (("a", "odd = 1"), ("b", "true")))
-    can = (F.col("id_a") != F.col("id_b")) & ((NUM + DEN) * F.least("rest_a", "rest_b") >= NUM * (F.col("n_a") + F.col("n_b")))
-    pairs = a.join(b, ["cluster", "token"]).where(can).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    pairs = save(pairs, "group_pairs")
-    for side in ("a", "b"):
-        pairs = pairs.join(grouped.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("tokens").alias(f"t{side}")), side)
-    near = pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(reach, "a long, b long")
+    met = save(ordered.select("*", F.posexplode(prefix).alias("pos", "at")).select("cluster", F.col("at.token").alias("token"), "odd", (F.col("p") - F.col("pos")).alias("rest"), *[c for c in side if c != "rest"]), "prefixes")
+
+    def verified(found, name):
+        """The pairs of ``side`` and another, numbered 2, that can reach the threshold, and do.
+
+        Two parts share no more than the rest of either from a common token on, nor than the bits in which their masks differ allow.
+        """
+        apart = sum(F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"m{i}2"))) for i in range(4))
+        enough = NUM * (F.col("n") + F.col("n2"))
+        can = ((NUM + DEN) * F.least("rest", "rest2") >= enough) & ((NUM + DEN) * (F.col("p") + F.col("p2") - apart) >= 2 * enough) & (F.col("id") != F.col("id2"))
+        pairs = save(found.where(can).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), f"{name}_pairs")
+        for x in ("a", "b"):
+            pairs = pairs.join(grouped.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")), x)
+        return save(pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(reach, "a long, b long"), name)
+
+    # first one group of each list, of the main component where it can be; then only what is not connected by that
+    hubs = met.groupBy("cluster", "token").agg(F.min(F.struct("odd", *side)).alias("hub")).select("cluster", "token", *[F.col(f"hub.{c}").alias(f"{c}2") for c in side])
+    stars = verified(met.where("odd = 1").join(hubs, ["cluster", "token"]), "stars")
+    main = grouped.where("odd = 0").select("cluster", "id")
+    main = main.join(main.groupBy("cluster").agg(F.min("id").alias("b")), "cluster").select(F.col("id").alias("a"), "b")
+    labels = components(stars.unionByName(main), folder, "group").withColumnRenamed("node", "id")
+    known = save(join_unique(met, labels, ["id"], "left").withColumn("label", F.coalesce("label", "id")), "known")
+    others = known.select("cluster", "token", *[F.col(c).alias(f"{c}2") for c in (*side, "label")])
+    near = stars.unionByName(verified(known.where("odd = 1").join(others, ["cluster", "token"]).where("label <> label2"), "near"))
     p = F.octet_length("tokens") / 8
     within = grouped.where((F.col("odd") == 1) & (DEN * p >= NUM * (2 * F.col("n") - p))).select(F.col("id").alias("a"), F.col("id").alias("b"))
     return save(near.unionByName(within), "alike")
