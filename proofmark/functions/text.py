@@ -43,16 +43,18 @@ HAN = {"酒": "jiu", "白": "bai", "黄": "huang", "红": "hong", "紅": "hong",
        "梅": "mei", "竹": "zhu", "高": "gao", "粱": "liang", "粮": "liang", "五": "wu", "液": "ye", "州": "zhou", "窖": "jiao", "剑": "jian", "福": "fu"}
 ROMAN = LETTERS | CYRILLIC | GREEK | HEBREW | ARABIC | HAN
 
-_ASCII = r"^\p{ASCII}*$"
+def _ascii(column: Column) -> Column:
+    """Whether a text has a byte a character, so that nothing beyond ASCII is in it."""
+    return F.octet_length(column) == F.length(column)
 
 
 def _on_unicode(column: Column, function: Column) -> Column:
     """``function`` (of the column, null for ASCII) where it applies, else the column."""
-    return F.when(column.rlike(_ASCII), column).otherwise(function)
+    return F.when(_ascii(column), column).otherwise(function)
 
 
 def _other(column: Column) -> Column:
-    return F.when(~column.rlike(_ASCII), column)
+    return F.when(~_ascii(column), column)
 
 
 @F.arrow_udf(T.StringType())
@@ -157,19 +159,20 @@ def _latin_names(column: pa.Array) -> pa.Array:
 
 def canon_statutory(text: Column, unicode: bool = True) -> Column:
     """Case-preserving form: broken words joined, NFKC, plain quotes and dashes, single spaces."""
-    x = F.regexp_replace(text, r"(?U)-\s*\n\s*", "")
+    x = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, r"(?U)-\s*\n\s*", "")).otherwise(text)
     if unicode:
-        x = _on_unicode(x, _nfkc(_other(x)))
-        x = F.translate(x, SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + DELETED, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES))
+        plain = F.translate(_nfkc(_other(x)), SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + DELETED, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES))
+        x = _on_unicode(x, plain)
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
 def squash(text: Column) -> Column:
     """Case-folded ASCII letters and digits, nothing else."""
     x = F.lower(text)
+    folded = x
     for a, b in CASE_FOLDS.items():
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.regexp_replace(x, "[^a-z0-9]", "")
+        folded = F.replace(folded, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.when(_ascii(text), x).otherwise(folded), "[^a-z0-9]+", "")
 
 
 def canon_brand(text: Column, unicode: bool = True) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -138,6 +138,17 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns, each computed once however often later steps read it.
+
+    The optimizer writes a column that holds a Python function out again wherever it is read, with all that it was made of; it does not
+    look into rows that a generator made.
+    """
+    names = list(columns)
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in columns], F.inline_outer(F.array(made)).alias(*names))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size of a table, without running anything: of one just written, the size of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

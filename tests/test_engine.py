@@ -558,3 +558,21 @@ def test_each_rulebook_of_a_table_is_parsed_and_fails_alone(spark):
     got = {r["book"]: r for r in scan(spark.createDataFrame(files, "book string, name string, text string"), "book").collect()}
     assert got["a"]["version"] == load().version and [r["id"] for r in got["a"]["rules"]] == [r.id for r in load().rules] and got["a"]["problem"] is None
     assert all(got[k]["problem"] and not got[k]["rules"] and got[k]["version"] is None for k in "bcde") and len(got[None]["rules"]) == 2
+
+
+def test_verify_computes_each_step_once(spark):
+    """A step that passes a Python function is not written out again wherever it is read."""
+    rows = spark.createDataFrame([label(0)], LABEL)
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 27)
+    plan = verify(rows, load())._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxPlanStringLength")
+    assert plan.count("regexp_replace(") < 120 and "Exchange" not in plan
+
+
+def test_settled_columns_and_ascii_forms(spark):
+    from proofmark.storage import settled
+
+    got = settled(spark.range(3), id=F.col("id") + 1, b=F.when(F.col("id") > 0, F.col("id") * 2)).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, None), (2, 2), (3, 4)]
+    forms = [("aKb-C1", "akbc1"), ("Straße ﬃ 1", "strasseffi1"), ("plain -- Text\n2", "plaintext2"), ("İx", "ix"), ("", ""), (None, None)]
+    assert column(spark, [(a,) for a, _ in forms], text.squash(F.col("c0"))) == [b for _, b in forms]
