@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import pairing_key
 from ..operators import bold
 from ..sources import drawing, images
-from ..storage import materialize, shared_dir, spread
+from ..storage import materialize, settled, shared_dir, small, spread
 from .queries import table
 
 M, GAP = drawing.MARGIN, drawing.LEADING
@@ -31,37 +31,42 @@ def _around(n: int, top, stroke: str, cap: str):
     return F.struct(part(F.lit(M - 4)).alias("x0"), part(top - 4).alias("y0"), part((3 * n - 2) * F.col(stroke) + M + 4).alias("x1"), part(top + F.col(cap) + 4).alias("y1"))
 
 
+def _decoded(spark, sf_dir, folder: str):
+    """(rows with the key of their drawing, decoded drawings by key): what is drawn alike is drawn, stored, gated and decoded once."""
+    spec = F.struct("lines", "channels", "turn")
+    rows = _drawn(spark, sf_dir).withColumn("name", F.concat(F.sha2(F.to_json(spec), 256), F.lit(".png"))).withColumn("key", pairing_key(F.col("name")))
+    made = rows.select("name", "lines", "channels", "turn").distinct().repartition(4 * spark.sparkContext.defaultParallelism)
+    materialize(drawing.write_images(made, f"{folder}/images"), folder, "written")
+    return rows, materialize(images.read_rasters(spark, f"{folder}/images"), folder, "decoded")
+
+
 def raster_strokes(spark, sf_dir):
     """Strokes, heights, verdict, pixel key, size of the reader's copy and replayed brand of every image that passes the gates."""
     folder = shared_dir(spark)
-    rows = _drawn(spark, sf_dir)
-    materialize(drawing.write_images(rows, f"{folder}/images"), folder, "written")
-    decoded = images.read_rasters(spark, f"{folder}/images")
-    known = rows.select(pairing_key(F.col("name")).alias("key"), "p_partkey", "p_brand", "head", "body", "head_cap", "body_cap", "turn")
+    rows, decoded = _decoded(spark, sf_dir, folder)
+    known = rows.select("key", "head", "body", "head_cap", "body_cap", "turn").distinct()
     upright = images.turn(decoded.join(known, "key"), F.col("turn"))
     keyed = materialize(upright.withColumn("pixel_key", images.pixel_key(F.col("image"))).drop("turn"), folder, "upright")
-    recorded = keyed.groupBy("pixel_key").agg(F.min("p_brand").alias("fields"))
+    recorded = rows.select("key", "p_brand").join(small(keyed.select("key", "pixel_key")), "key").groupBy("pixel_key").agg(F.min("p_brand").alias("fields"))
+    recorded = materialize(recorded, folder, "recorded")
     rectangles = F.array(_around(HEAD, F.lit(M), "head", "head_cap"), _around(BODY, M + F.col("head_cap") + GAP, "body", "body_cap"))
     image = F.col("image")
-    measured = images.replay(keyed.drop("pixel_key"), recorded).withColumn("m", bold.measure_rectangles(image["data"], image["height"], image["width"], image["nChannels"], rectangles))
-    copy = images.png_size(images.vision_copy(image))
-    return measured.select(
-        "p_partkey", F.col("m")[0]["stroke"].alias("head_stroke"), F.col("m")[0]["cap"].alias("head_cap"), F.col("m")[1]["stroke"].alias("body_stroke"), F.col("m")[1]["cap"].alias("body_cap"),
-        bold.decide(F.lit(True), F.col("m"))["verdict"].alias("verdict"), "pixel_key", copy["width"].alias("width"), copy["height"].alias("height"), F.col("fields").alias("brand"))
+    measured = settled(images.replay(keyed.drop("pixel_key"), recorded), m=bold.measure_rectangles(image["data"], image["height"], image["width"], image["nChannels"], rectangles), copy=images.png_size(images.vision_copy(image)))
+    told = measured.select(
+        "key", F.col("m")[0]["stroke"].alias("head_stroke"), F.col("m")[0]["cap"].alias("head_cap"), F.col("m")[1]["stroke"].alias("body_stroke"), F.col("m")[1]["cap"].alias("body_cap"),
+        bold.decide(F.lit(True), F.col("m"))["verdict"].alias("verdict"), "pixel_key", F.col("copy.width").alias("width"), F.col("copy.height").alias("height"), F.col("fields").alias("brand"))
+    return rows.select("p_partkey", "key").join(small(materialize(told, folder, "told")), "key").drop("key")
 
 
 def raster_previews(spark, sf_dir):
     """The size of every image's preview, and whether it decodes to nearly the image."""
     folder = shared_dir(spark)
-    rows = _drawn(spark, sf_dir)
-    materialize(drawing.write_images(rows, f"{folder}/images"), folder, "written")
-    decoded = images.read_rasters(spark, f"{folder}/images")
+    rows, decoded = _decoded(spark, sf_dir, folder)
     previews = decoded.select(F.concat("key", F.lit(".jpg")).alias("name"), images.preview(F.col("image")).alias("content"))
     materialize(images.store_files(previews, f"{folder}/previews"), folder, "stored")
     back = images.read_rasters(spark, f"{folder}/previews").select(F.replace("key", F.lit(".png.jpg"), F.lit(".png")).alias("key"), F.col("image").alias("preview"))
-    known = rows.select(pairing_key(F.col("name")).alias("key"), "p_partkey")
-    both = decoded.join(back, "key").join(known, "key")
-    return both.select("p_partkey", F.col("preview.width").cast("long").alias("width"), F.col("preview.height").cast("long").alias("height"), (images.differences(F.col("image"), F.col("preview")) <= 2).alias("near"))
+    both = decoded.join(back, "key").select("key", F.col("preview.width").cast("long").alias("width"), F.col("preview.height").cast("long").alias("height"), (images.differences(F.col("image"), F.col("preview")) <= 2).alias("near"))
+    return rows.select("p_partkey", "key").join(small(materialize(both, folder, "compared")), "key").drop("key")
 
 
 QUERIES = {"raster_strokes": raster_strokes, "raster_previews": raster_previews}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import pairing_key
-from ..storage import shared_dir
+from ..storage import gather, shared_dir
 
 # Signatures and bounds.
 PNG, JPEG, RIFF, WEBP = "89504E470D0A1A0A", "FFD8FF", "52494646", "57454250"
@@ -124,7 +124,7 @@ def read_rasters(spark: SparkSession, path: str) -> DataFrame:
         files = _copy(files.where("problem IS NULL"), folder)
     known = files.select("place", "key", F.col("facts.orientation").alias("orientation"))
     images = spark.read.schema("image " + IMAGE.simpleString()).format("image").option("recursiveFileLookup", "true").load(folder)
-    return images.select(place.alias("place"), "image").join(known, "place").select("key", upright(F.col("image"), F.col("orientation")).alias("image"))
+    return gather(images).select(place.alias("place"), "image").join(known, "place").select("key", upright(F.col("image"), F.col("orientation")).alias("image"))
 
 
 def _copy(files: DataFrame, folder: str) -> DataFrame:
@@ -141,7 +141,7 @@ def _copy(files: DataFrame, folder: str) -> DataFrame:
     schema = files.drop("content").schema
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    files.mapInArrow(run, schema).write.parquet(f"{folder}-list")  # before the decoder looks for the files
+    gather(files).mapInArrow(run, schema).write.parquet(f"{folder}-list")  # before the decoder looks for the files
     return files.sparkSession.read.schema(schema).parquet(f"{folder}-list")
 
 

@@ -75,3 +75,20 @@ def test_previews_are_bounded_and_smaller_than_their_source(spark):
     a, b = [r[0] for r in row.select(images.preview(F.col("image"))).collect()]
     assert b is None and images.jpeg_facts(bytes(a))[0] == images.PREVIEW_EDGE and len(a) < big.size / 4
     assert len(jpeg.encode(big, 8)) < len(jpeg.encode(big, 0))
+
+
+def test_rows_that_are_drawn_alike_share_a_file(spark, same_rows, tmp_path):
+    import duckdb
+
+    from proofmark import storage
+    from proofmark.plans import rasters as plan
+
+    part = spark.range(60).select(((F.col("id") % 3 + 4) + F.floor(F.col("id") / 3) * 5 * 11 * 4 * 29).alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id").cast("string")).alias("p_brand"), (F.col("id") % 3).cast("int").alias("p_size"))
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    for name, query in plan.QUERIES.items():
+        before = len(storage._made)
+        same_rows(query(spark, str(tmp_path)), con.sql(plan.ORACLES[name]))
+        folder = Path(storage._made[before].removeprefix("file://"))
+        assert len(list((folder / "images").glob("*.png"))) == 3
