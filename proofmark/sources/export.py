@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.batch import grid
 from ..rulebook import Rulebook
+from ..storage import materialize, remove, shared_dir
 
 FORMAT = "proofmark_export"
 MANIFEST = "_manifest.json"
@@ -113,13 +114,19 @@ class PartWriter(DataSourceWriter):
 
 
 def write_rows(rows: DataFrame, grp: str, pos: str, path: str, kind: str = "csv") -> None:
-    """Write the other columns of ``rows`` in the order of (grp, pos), which no two rows share, to a new folder."""
+    """Write the other columns of ``rows`` in the order of (grp, pos), which no two rows share, to a new folder.
+
+    The rows are written once before: they are counted, their ranges found and dealt out, and each would compute them again.
+    """
     spark = rows.sparkSession
     spark.dataSource.register(Export)
+    folder = shared_dir(spark)
+    rows = materialize(rows, folder, "rows")
     n = max(1, -(-rows.count() // PART_ROWS))
     ordered = rows.select(F.col(grp).cast("long").alias("__grp"), F.col(pos).cast("long").alias("__pos"), *[c for c in rows.columns if c not in (grp, pos)])
     ordered = ordered.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER)
     ordered.write.format(FORMAT).option("path", path).option("kind", kind).mode("append").save()
+    remove(spark, folder)
 
 
 def write_grid(items: DataFrame, rulebook: Rulebook, path: str) -> None:

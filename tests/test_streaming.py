@@ -38,3 +38,25 @@ def test_batch_stream_lands_items_and_errors(spark, tmp_path):
     run_batch(spark, str(tmp_path / "in"), extract, load(), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = progress(spark, str(tmp_path / "out")).first()
     assert (got["pass"], got["error"], got["total"]) == (1, 1, 2)
+
+
+def test_micro_batches_are_dealt_out_and_exports_compute_rows_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from proofmark.plans import surface
+    from proofmark.sources import export
+    from proofmark.storage import shared_dir
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1)
+    assert surface.over(part).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(i):
+        made.add(1)
+        return f"row {i}"
+
+    monkeypatch.setattr(export, "PART_ROWS", 10)  # several ranges
+    folder = f"{shared_dir(spark)}/x"
+    export.write_rows(spark.range(50).select(F.lit(0).alias("grp"), F.col("id").alias("pos"), told("id").alias("told")), "grp", "pos", folder)
+    assert export.manifest(folder)["rows"] == 50 and made.value == 50
