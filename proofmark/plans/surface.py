@@ -93,8 +93,8 @@ def _rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def over(part: DataFrame) -> DataFrame:
-    """The surface of some rows of ``part``."""
-    return part.sparkSession.sql(surface_sql("{part}"), part=part)
+    """The surface of some rows of ``part``; those of fewer files than cores, as in a micro-batch, are dealt out."""
+    return part.sparkSession.sql(surface_sql("{part}"), part=spread(part))
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
