@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import neutralize_csv_cell, pairing_key
 from ..model import APPLICATION, SEVERITY
 from ..rulebook import Rulebook
-from ..storage import small
 
 # Limits of an upload.
 FILE_BYTES, CSV_BYTES, BATCH_BYTES, BATCH_FILES = 5 << 20, 5 << 20, 1600 << 20, 1000
@@ -20,9 +19,10 @@ FAILED = "The label could not be checked."
 def pair(labels: DataFrame, applications: DataFrame) -> DataFrame:
     """Every label with the filing of its file name; without one, an empty filing.
 
-    ``applications`` has one row a key (``sources.applications``); it is broadcast only if measured to be small.
+    ``applications`` has one row a key (``sources.applications``).  The join is the same merge join at every size: the optimizer's size
+    of a table that is derived, not read, is a small part of what a broadcast of it takes.
     """
-    filed = small(applications.select("key", "brand_name", "class_type", "fanciful_name")).select("key", F.struct("brand_name", "class_type", "fanciful_name").alias("application"))
+    filed = applications.select("key", F.struct("brand_name", "class_type", "fanciful_name").alias("application")).hint("merge")
     empty = F.struct(*[F.lit("").alias(f) for f in APPLICATION.names])
     joined = labels.drop("application").withColumn("key", pairing_key(F.col("filename"))).join(filed, "key", "left")
     return joined.withColumn("matched", F.col("application").isNotNull()).withColumn("application", F.coalesce("application", empty)).drop("key")

@@ -94,7 +94,8 @@ def run_metrics(spark, sf_dir):
     failures = [F.when(F.col("failure") == "reader", "The reader gave no answer in time.").alias("reader_error"), (F.col("failure") == "other").alias("failed")]
     labels = surface.labels(rows.select(*rows.columns, *failures), "reader_error", "failed")
     metrics = Metrics()
-    write_batch(check_batch(labels, last_wins(surface.applications(rows)), load(), Settings(), metrics=metrics), f"{shared_dir(spark)}/items", Settings())
+    items = check_batch(labels, last_wins(surface.applications(rows)), load(), Settings(), metrics=metrics)
+    write_batch(items, f"{shared_dir(spark)}/items", Settings(), table(spark, sf_dir, "part").count())
     return spark.createDataFrame(sorted(metrics.rows().items()), "phase string, rows long")
 
 

@@ -112,11 +112,12 @@ def check_batch(labels: DataFrame, applications: DataFrame, rulebook: Rulebook,
     return watch(items, "items")
 
 
-def write_batch(items: DataFrame, path: str, settings: Settings | None = None) -> None:
-    """Write a batch's items from at most ``workers`` tasks, behind interactive checks."""
+def write_batch(items: DataFrame, path: str, settings: Settings | None = None, labels: int = batch.BATCH_FILES) -> None:
+    """Write a batch's items from at most ``workers`` tasks, behind interactive checks; more ``labels`` than an upload may have are as many batches."""
     spark = items.sparkSession
+    batches = max(1, -(-labels // batch.BATCH_FILES))
     with pool(spark, BATCH):
-        items.coalesce((settings or Settings.of(spark)).workers).write.mode("overwrite").parquet(path)
+        items.coalesce(batches * (settings or Settings.of(spark)).workers).write.mode("overwrite").parquet(path)
 
 
 class UploadError(ValueError):

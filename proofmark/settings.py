@@ -17,7 +17,7 @@ class Settings(BaseModel):
     daily_limit: Decimal = Field(Decimal("5.00"), ge=0, description="dollars a day for the reader")
     reader_name: str = Field("", description="which reader fills the extractions; empty: none is reachable")
     rotations: bool = Field(True, description="whether batches read sideways labels again")
-    workers: int = Field(6, ge=1, description="tasks of a batch at a time")
+    workers: int = Field(6, ge=1, description="tasks of a batch of up to 1,000 labels at a time")
 
     @classmethod
     def of(cls, spark: SparkSession) -> Settings:

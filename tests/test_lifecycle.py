@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from proofmark import service
 from proofmark.jobs import CANCELLED, JobError, JobStore
+from proofmark.operators import batch
 from proofmark.operators.batch import BATCH_FILES, retain
 from proofmark.model import LABEL
 from proofmark.operators.budget import Ledger
@@ -329,3 +330,22 @@ def test_recorded_reads_come_from_their_bucket(spark, monkeypatch):
     assert got == {str(i): ("read", f"p{i}") if i % 3 == 0 else ("missing", None) for i in range(500)}
     assert reader.ask(keys.where("false"), recorded).count() == 0
     assert {r["status"] for r in reader.ask(keys, recorded.where("false")).collect()} == {"missing"}
+
+
+def merged(rows):
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_filings_are_no_side_of_a_broadcast(spark):
+    filings = spark.range(3).select(F.concat(F.lit("l"), "id", F.lit(".png")).alias("filename"), F.col("id").alias("pos"), *[F.lit("b").alias(c) for c in ("brand_name", "class_type", "fanciful_name")])
+    paired = batch.pair(items(spark, 4).withColumn("filename", F.concat("filename", F.lit(".png"))), applications.last_wins(filings))
+    assert merged(paired)
+    assert sorted((r["pos"], r["matched"]) for r in paired.collect()) == [(0, True), (1, True), (2, True), (3, False)]
+
+
+def test_more_labels_than_a_batch_may_have_get_more_tasks(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 9)
+    for n, tasks in ((BATCH_FILES, 6), (3 * BATCH_FILES, 9)):
+        service.write_batch(rows, str(tmp_path / str(n)), service.Settings(), n)
+        assert len(list((tmp_path / str(n)).glob("*.parquet"))) == tasks
